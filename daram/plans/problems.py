@@ -114,12 +114,12 @@ pat AS (SELECT pattern_id AS k, min(created_at) AS since FROM learned_pattern WH
 gone AS (SELECT DISTINCT table_name AS t, key_id AS k FROM deleted_key),
 known AS (SELECT 'correction_log' AS t, * FROM log UNION ALL SELECT 'learned_pattern', * FROM pat),
 refs AS (
-  SELECT 'learned_pattern' AS table_name, pattern_id AS row_id, 'learned_from_log_id' AS field_name, 'correction_log' AS t, min(learned_from_log_id) AS k, min(created_at) AS at FROM learned_pattern WHERE learned_from_log_id IS NOT NULL GROUP BY 2
+  SELECT 'learned_pattern' AS table_name, pattern_id AS row_id, 'learned_from_log_id' AS field_name, 'correction_log' AS t, min(learned_from_log_id) AS k, min(created_at) AS ref_at FROM learned_pattern WHERE learned_from_log_id IS NOT NULL GROUP BY 2
   UNION ALL SELECT 'few_shot_example', example_id, 'source_log_id', 'correction_log', min(source_log_id), min(created_at) FROM few_shot_example WHERE source_log_id IS NOT NULL GROUP BY 2
   UNION ALL SELECT 'few_shot_example', example_id, 'related_pattern_id', 'learned_pattern', min(related_pattern_id), min(created_at) FROM few_shot_example WHERE related_pattern_id IS NOT NULL GROUP BY 2),
 judged AS (
-  SELECT table_name, row_id, field_name, at,
-    CASE WHEN known.k IS NOT NULL THEN CASE WHEN known.since > at THEN 'late' END WHEN gone.k IS NOT NULL THEN 'deleted' ELSE 'missing' END AS orphan_kind
+  SELECT table_name, row_id, field_name, ref_at,
+    CASE WHEN known.k IS NOT NULL THEN CASE WHEN known.since > ref_at THEN 'late' END WHEN gone.k IS NOT NULL THEN 'deleted' ELSE 'missing' END AS orphan_kind
   FROM refs LEFT JOIN known ON known.t = refs.t AND known.k = refs.k LEFT JOIN gone ON gone.t = refs.t AND gone.k = refs.k)
 """
 
@@ -127,7 +127,7 @@ judged AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _REFS + "SELECT table_name, row_id, field_name, orphan_kind FROM judged WHERE orphan_kind IS NOT NULL",
-        "p4_report": _REFS + """SELECT table_name, field_name, strftime(at, '%Y-%m') AS period, count(*) AS n_references,
+        "p4_report": _REFS + """SELECT table_name, field_name, strftime(ref_at, '%Y-%m') AS period, count(*) AS n_references,
             count(*) FILTER (orphan_kind = 'missing') AS n_missing, count(*) FILTER (orphan_kind = 'deleted') AS n_deleted, count(*) FILTER (orphan_kind = 'late') AS n_late
             FROM judged GROUP BY 1, 2, 3""",
     }
