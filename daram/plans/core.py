@@ -1,39 +1,15 @@
-"""Queries of the relational core, each with the SQL that gives the same rows."""
+"""All queries of the core."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from daram.functions import numbers
-from daram.session import read
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""SELECT l_orderkey, l_linenumber, CAST((2 * c * q * 10000 + s * 1000000) // (2 * s * 1000000) AS BIGINT) AS amount FROM (
-    SELECT l_orderkey, l_linenumber, CAST(round(p_retailprice * 100) AS BIGINT) AS c, CAST(l_quantity AS BIGINT) AS q, CAST(p_size AS BIGINT) AS s FROM lineitem JOIN part ON p_partkey = l_partkey)""")
-def exact_amounts(spark: SparkSession, d: str) -> DataFrame:
-    """Rate times amount over a base, rounded half up in integers."""
-    line, part = read(spark, d, "lineitem"), read(spark, d, "part")
-    n = numbers.cents(F.col("p_retailprice")) * F.col("l_quantity").cast("bigint") * 10000
-    return line.join(part, line.l_partkey == part.p_partkey).select("l_orderkey", "l_linenumber", numbers.half_up(n, F.col("p_size").cast("bigint") * 1_000_000).alias("amount"))
+from daram.plans import mutations, relational, text  # noqa: F401  (register their queries)
+from daram.plans.registry import QUERIES, SQL
+from daram.streaming import learning
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return QUERIES | {"stream_fold": learning.stream_fold}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return SQL | {"stream_fold": SQL["pattern_upsert_fold"]}
