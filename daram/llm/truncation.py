@@ -12,7 +12,8 @@
    other files, while their file has nothing longer), else cut on the way. Suspicious ones are cases only at such a length.
 
 Defined results: null, empty and blank texts and lone dashes are no cases; a null source file is a file of
-its own; a row sent twice counts once; texts are used whole, whatever their length; ties don't matter, as no
+its own; a row sent twice counts once
+(only the vocabulary counts it as sent); texts are used whole, whatever their length; ties don't matter, as no
 row is ranked; tables may be empty.
 """
 
@@ -23,71 +24,80 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daram.functions.text import ASCII_SIGNS, FULL_WIDTH, INVISIBLE, is_blank
+from daram.functions.text import ASCII_BLANKS, ASCII_SIGNS, FULL_WIDTH, INVISIBLE, UNICODE_BLANKS, is_blank
 from daram.session import cut
 
-DELIMITER = r"[,;/|、·+，；／｜\n\t]"
-SEPARATOR = DELIMITER + r"|\s및\s|(?<=[납)])\s+"
-BROKEN = r"(�|…|\.\.\.)\s*$"
+# Delimiters of list fields, quotes and list brackets around entries, and signs of a broken end.
+DELIMITERS = ",;/|、·+\n\t"
+AROUND = "\"'“”‘’[]"
+BROKEN = ("�", "…", "...")
 NEIGHBOURS = 10
 FALSE_DISCOVERIES = 0.01
 RARELY_ENDS = 0.1
 LEAST_SEEN = 20
 COMMON_ENDINGS = 1_000
-END = "\u0003"
-KEY = ["table_name", "field_name"]
+KEY = ["field"]
 
 
 def texts(table: DataFrame, table_name: str, row_id: str, fields: dict[str, str], resent: bool = False) -> DataFrame:
-    """(table_name, row_id, field_name, src_file, kind, text); ``fields`` maps a field to list or prose."""
-    rows = table.select(F.col(row_id).cast("bigint").alias("row_id"), "src_file", *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields)))
-    if resent:
-        rows = rows.dropDuplicates(["row_id"])
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.lit(kind).alias("kind"), F.col(f"f{i}").alias("text")) for i, (f, kind) in enumerate(fields.items()))))
-    return rows.select(F.lit(table_name).alias("table_name"), "row_id", "src_file", each.alias("t")).select("table_name", "row_id", "t.field_name", "src_file", "t.kind", "t.text").filter(~is_blank(F.col("text")))
+    """(field as table:name, row_id, src_file, kind, resent, text); ``fields`` maps a field to list or prose."""
+    each = F.explode(F.array(*(F.struct(F.lit(f"{table_name}:{f}").alias("field"), F.lit(kind).alias("kind"), F.col(f).alias("text")) for f, kind in fields.items())))
+    rows = table.select(F.col(row_id).cast("bigint").alias("row_id"), "src_file", each.alias("t"))
+    return rows.select("t.field", "row_id", "src_file", "t.kind", F.lit(resent).alias("resent"), "t.text").filter(~is_blank(F.col("text")))
 
 
-def skeleton(text: Column) -> Column:
-    plain = F.translate(F.regexp_replace(text, f"[{INVISIBLE}]", ""), FULL_WIDTH, ASCII_SIGNS)
-    return F.regexp_replace(plain, r"[0-9OolI]*[0-9][0-9OolI]*", "0")
+def _mapped(pairs: dict[str, str], dropped: str) -> tuple[str, str]:
+    return "".join(pairs) + dropped, "".join(pairs.values())
 
 
-def units(rows: DataFrame) -> DataFrame:
-    """The units of every text in order, as structs (unit, ends): list entries always end a value, words do before a full stop or at the end."""
-    bare = F.concat(F.regexp_replace(skeleton(F.col("text")), r"\s+$", ""), F.lit(END))
-    entries = F.transform(F.filter(F.split(bare, SEPARATOR), lambda x: ~x.isin("", " ", END)), lambda x: F.struct(F.regexp_replace(x, rf"^[\s\"'\[“‘]+|[\s\"'\]”’{END}]+$", "").alias("unit"), F.lit(True).alias("ends")))
-    words = F.filter(F.split(bare, r"\s+"), lambda x: ~x.isin("", END))
-    prose = F.transform(words, lambda w: F.struct(F.regexp_replace(w, rf"[.。]*{END}?$", "").alias("unit"), w.rlike(rf"[.。{END}]$").alias("ends")))
-    return rows.withColumn("units", F.when(F.col("kind") == "list", entries).otherwise(prose))
+def plain(text: Column, kind: Column) -> Column:
+    """Lists with commas only and no quotes, prose with single kinds of blanks and stops; numbers as 0. Translations and plain replacements, one pattern."""
+    wide = dict(zip(FULL_WIDTH, ASCII_SIGNS))
+    a_list = wide | {w: "," for w, c in wide.items() if c in DELIMITERS} | dict.fromkeys(DELIMITERS, ",") | dict.fromkeys(UNICODE_BLANKS, " ")
+    prose = wide | {"。": "."} | dict.fromkeys(ASCII_BLANKS[1:] + UNICODE_BLANKS, " ")
+    entries = F.rtrim(F.translate(text, *_mapped(a_list, AROUND + INVISIBLE)))
+    for old, new in ((" 및 ", ","), ("납 ", "납,"), (") ", "),")):  # blanks behind a finished entry separate, too
+        entries = F.replace(entries, F.lit(old), F.lit(new))
+    return F.regexp_replace(F.when(kind == "list", entries).otherwise(F.translate(text, *_mapped(prose, INVISIBLE))), "[0-9]+", "0")
 
 
-def vocabulary(split: DataFrame) -> DataFrame:
+def vocabulary(rows: DataFrame) -> DataFrame:
     """Of every unit and every beginning of one: how often it ends a value and how often it goes on. Counted once per distinct unit before beginnings are taken."""
-    seen = split.select(*KEY, F.explode("units").alias("u")).groupBy(*KEY, F.col("u.unit").alias("unit")).agg(F.sum(F.col("u.ends").cast("bigint")).alias("stops"), F.sum((~F.col("u.ends")).cast("bigint")).alias("goes"))
+    a_list = F.col("kind") == "list"
+    bare = rows.select(*KEY, "kind", F.rtrim(plain(F.col("text"), F.col("kind"))).alias("bare"))
+    each = bare.select(*KEY, "kind", F.explode(F.split(F.when(a_list, F.col("bare")).otherwise(F.concat("bare", F.lit("."))), F.when(a_list, ",").otherwise(" "))).alias("u"))
+    ends = a_list | F.endswith("u", F.lit("."))
+    unit = F.when(a_list, F.trim("u")).otherwise(F.rtrim("u", F.lit(".")))
+    seen = each.groupBy(*KEY, unit.alias("unit"), ends.alias("ends")).agg(F.count(F.lit(1)).alias("n")).filter(F.length("unit") > 0)
+    seen = seen.groupBy(*KEY, "unit").agg(F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(F.col("ends"), 0).otherwise(F.col("n"))).alias("goes"))
     begins = seen.filter(F.length("unit") > 1).select(*KEY, F.explode(F.transform(F.sequence(F.lit(1), F.length("unit") - 1), lambda k: F.substring(F.col("unit"), F.lit(1), k))).alias("unit"), F.lit(0).cast("bigint").alias("stops"), (F.col("stops") + F.col("goes")).alias("goes"))
     return seen.unionByName(begins).groupBy(*KEY, "unit").agg(F.sum("stops").alias("stops"), F.sum("goes").alias("goes"))
 
 
-def endings(split: DataFrame, words: DataFrame) -> DataFrame:
-    """Every text with ``incomplete`` (why, or null), ``suspicious`` and its lengths.
+def endings(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Every text, once, with ``incomplete`` (why, or null), ``suspicious`` and its lengths.
 
     The commonest last units (a bounded list) are settled by broadcast, so that no hot unit meets one task; the others are shuffled.
     """
     rare = words.filter((F.col("stops") < RARELY_ENDS * (F.col("stops") + F.col("goes"))) & (F.col("goes") >= LEAST_SEEN)).select(*KEY, F.col("unit").alias("last"), F.lit(True).alias("rare"))
     count = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     is_open = (count("(（") > count(")）")) | (count("[［") > count("]］"))
-    a_list = F.col("kind") == "list"
-    ends_list, stopped = F.col("text").rlike(DELIMITER + r"\s*$"), F.col("text").rlike(r"[.。]\s*$")
-    last = F.when(a_list & ends_list | ~a_list & stopped | (F.size("units") == 0), None).otherwise(F.element_at(F.col("units"), -1)["unit"])
-    why = F.when(F.col("text").rlike(BROKEN), "broken").when(is_open, "open").when(a_list & ends_list, "dangling")
-    rows = split.select(
-        *KEY, "row_id", "src_file", last.alias("last"), why.alias("why"), (~a_list & F.col("text").rlike(r"\s$")).alias("suspicious"),
-        F.length("text").alias("chars"), F.octet_length(F.regexp_replace("text", r"�$", "")).alias("bytes"),
+    a_list, bare = F.col("kind") == "list", F.col("bare")
+    final = lambda x: F.substring(x, -1, 1)
+    dangling, stopped = a_list & (final(bare) == ","), ~a_list & (final(bare) == ".")
+    last = F.when(~dangling & ~stopped, F.when(a_list, F.trim(F.substring_index(bare, ",", -1))).otherwise(F.substring_index(bare, " ", -1)))
+    broken = reduce(lambda a, b: a | b, [F.endswith("end", F.lit(x)) for x in BROKEN])
+    why = F.when(broken, "broken").when(is_open, "open").when(dangling, "dangling")
+    looked = rows.withColumn("bare", F.rtrim(plain(F.col("text"), F.col("kind")))).withColumn("end", F.rtrim("text")).select(
+        *KEY, "row_id", "src_file", "resent", F.nullif(last, F.lit("")).alias("last"), why.alias("why"), (~a_list & (F.length("end") < F.length("text"))).alias("suspicious"),
+        F.length("text").alias("chars"), F.octet_length(F.rtrim("text", F.lit("�"))).alias("bytes"),
     )
+    once = looked.filter("NOT resent").unionByName(looked.filter("resent").dropDuplicates([*KEY, "row_id"])).drop("resent")
+    once = cut(once)  # ids, last units and numbers; read several times below
     key = [*KEY, "last"]
-    common = rows.filter(F.col("last").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *key).limit(COMMON_ENDINGS).select(*key)
+    common = once.filter(F.col("last").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *key).limit(COMMON_ENDINGS).select(*key)
     settled = F.broadcast(F.broadcast(common).join(rare, key, "left").withColumn("common", F.lit(True)))
-    first = rows.join(settled, key, "left")
+    first = once.join(settled, key, "left")
     is_settled = F.col("last").isNull() | F.col("common").isNotNull()
     done, rest = first.filter(is_settled).drop("common"), first.filter(~is_settled).drop("common", "rare").join(rare, key, "left")
     return done.unionByName(rest).select(*KEY, "row_id", "src_file", F.coalesce("why", F.when(F.col("rare"), "unfinished")).alias("incomplete"), "suspicious", "chars", "bytes")
@@ -103,7 +113,7 @@ def lengths(ended: DataFrame) -> DataFrame:
 
 
 def limits(measured: DataFrame, q: float = FALSE_DISCOVERIES) -> DataFrame:
-    """Significant lengths of each file: (table_name, field_name, src_file, measure, bin, length, k bad endings among risk texts, log_p)."""
+    """Significant lengths of each file: (field, src_file, measure, bin, length, k bad endings among risk texts, log_p)."""
     bad = F.col("incomplete").isNotNull() | F.col("suspicious")
     hist = measured.groupBy(*KEY, "src_file", "measure", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("int")).alias("k"), F.max("length").alias("length"))
     by = Window.partitionBy(*KEY, "src_file", "measure").orderBy("bin")
@@ -124,27 +134,42 @@ def limits(measured: DataFrame, q: float = FALSE_DISCOVERIES) -> DataFrame:
     return tested.withColumn("step", step).join(F.broadcast(cut), KEY).filter((F.col("step") >= F.col("least")) & (F.col("k") >= 2)).select(*KEY, "src_file", "measure", "bin", "length", "k", "risk", "log_p")
 
 
-def cut_texts(rows: DataFrame) -> DataFrame:
-    """The cases: (table_name, row_id, field_name, src_file, reason, at_limit). The judged endings (ids and numbers only) are written once to the shared folder."""
-    split = units(rows)
-    ended = cut(endings(split, vocabulary(split)))
+def judged(rows: DataFrame) -> DataFrame:
+    """Every text with its ending, written to the shared folder as ids and numbers only; the vocabulary is written, too, as two steps read it."""
+    return cut(endings(rows, cut(vocabulary(rows))))
+
+
+def cases(ended: DataFrame) -> DataFrame:
+    """The cases: (field, row_id, src_file, reason, at_limit)."""
     measured = lengths(ended)
     found = limits(measured)
     longest = measured.groupBy(*KEY, "src_file", "measure").agg(F.max("bin").alias("bin"))
     general = found.select(*KEY, "measure", "bin").distinct()
     shared = longest.join(general, [*KEY, "measure", "bin"]).select(*KEY, "src_file", "measure", "bin")
     at = found.select(*KEY, "src_file", "measure", "bin").unionByName(shared).distinct().select(*(F.col(c).alias(f"at_{c}") for c in (*KEY, "src_file", "measure", "bin")), F.lit(True).alias("hit"))
-    cases = measured.filter(F.col("suspicious") | F.col("incomplete").isNotNull())
+    maybe = measured.filter(F.col("suspicious") | F.col("incomplete").isNotNull())
     same = [F.col(c) == F.col(f"at_{c}") for c in (*KEY, "measure", "bin")] + [F.col("src_file").eqNullSafe(F.col("at_src_file"))]
-    placed = cases.join(at, reduce(lambda a, b: a & b, same), "left")
+    placed = maybe.join(at, reduce(lambda a, b: a & b, same), "left")
     one = placed.groupBy(*KEY, "row_id", "src_file").agg(F.max("incomplete").alias("incomplete"), F.coalesce(F.max("hit"), F.lit(False)).alias("at_limit"))
     return one.filter(F.col("incomplete").isNotNull() | F.col("at_limit")).select(*KEY, "row_id", "src_file", F.coalesce("incomplete", F.lit("blank")).alias("reason"), "at_limit")
 
 
+def named(df: DataFrame) -> DataFrame:
+    """``field`` taken apart into table_name and field_name."""
+    parts = F.split("field", ":")
+    return df.select(parts[0].alias("table_name"), parts[1].alias("field_name"), *[c for c in df.columns if c != "field"])
+
+
+def cut_texts(rows: DataFrame) -> DataFrame:
+    """(table_name, field_name, row_id, src_file, reason, at_limit) of every text that lacks its end."""
+    return named(cases(judged(rows)))
+
+
 def report(rows: DataFrame) -> DataFrame:
     """Texts, cut texts and their share per source file."""
-    whole = rows.groupBy(*KEY, "src_file").agg(F.count(F.lit(1)).alias("n_texts"))
-    bad = cut_texts(rows).groupBy(*KEY, "src_file").agg(F.count(F.lit(1)).alias("n_cut"), F.count(F.when(F.col("at_limit"), 1)).alias("n_at_limit")).withColumnRenamed("src_file", "file")
-    same = [whole[c] == bad[c] for c in KEY] + [whole["src_file"].eqNullSafe(bad["file"])]
-    n = F.coalesce(bad["n_cut"], F.lit(0))
-    return whole.join(bad, reduce(lambda a, b: a & b, same), "left").select(whole["*"], n.alias("n_cut"), F.coalesce(bad["n_at_limit"], F.lit(0)).alias("n_at_limit"), F.round(n / F.col("n_texts"), 4).alias("share_cut"))
+    ended = judged(rows)
+    whole = ended.groupBy(*KEY, "src_file").agg(F.count(F.lit(1)).alias("n_texts"))
+    bad = cases(ended).groupBy(F.col("field").alias("f"), F.col("src_file").alias("s")).agg(F.count(F.lit(1)).alias("n_cut"), F.count(F.when(F.col("at_limit"), 1)).alias("n_at_limit"))
+    joined = whole.join(bad, (F.col("field") == F.col("f")) & F.col("src_file").eqNullSafe(F.col("s")), "left")
+    n = F.coalesce("n_cut", F.lit(0))
+    return named(joined.select("field", "src_file", "n_texts", n.alias("n_cut"), F.coalesce("n_at_limit", F.lit(0)).alias("n_at_limit"), F.round(n / F.col("n_texts"), 4).alias("share_cut")))
