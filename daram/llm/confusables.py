@@ -54,11 +54,18 @@ _DIGITS = (
 
 
 def statement() -> str:
-    """The embedded SQL over a relation ``part`` with a column ``text``; parameters: the translate pair."""
+    """The embedded SQL over a relation ``part`` with a column ``text``; parameters: the translate pair.
+
+    Texts of plain signs only skip the translation, which leaves them as they are; forms without O, o, I, l skip the digits.
+    """
     form = f"nfc_normalize(translate(regexp_replace(text, '[{SHOWS_NOTHING}]', '', 'g'), $1, $2))"
+    digits = "mapped"
     for pattern, put in _DIGITS:
-        form = f"regexp_replace({form}, '{pattern}', '{put.replace(chr(92) + 'g', chr(92))}', 'g')"
-    return f"SELECT *, form IS DISTINCT FROM text AS differs FROM (SELECT *, {form} AS form FROM part)"
+        digits = f"regexp_replace({digits}, '{pattern}', '{put.replace(chr(92) + 'g', chr(92))}', 'g')"
+    return f"""
+        WITH a AS (SELECT *, CASE WHEN regexp_matches(text, '[^ -~\\n\\r\\t가-힣]') THEN {form} ELSE text END AS mapped FROM part),
+        b AS (SELECT * EXCLUDE (mapped), CASE WHEN regexp_matches(mapped, '[OolI]') THEN {digits} ELSE mapped END AS form FROM a)
+        SELECT *, form IS DISTINCT FROM text AS differs FROM b"""
 
 
 def _normalise(batches):
