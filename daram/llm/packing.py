@@ -32,42 +32,58 @@ PLACED = "pack_name string, capacity_tokens int, group_id int, doc_id bigint, pi
 
 
 class Bins:
-    """Open containers of one group as a matrix of residuals; ids of containers stay when they are closed."""
+    """Open containers of one group, as arrays of residuals sorted by residual tokens, so that only a narrow stretch is scored."""
 
     def __init__(self, capacity: np.ndarray, weights: np.ndarray, rule: str):
         self.capacity, self.rule = capacity, rule
         self.scale = weights / capacity
-        self.left = np.empty((1024, 3))
+        self.left = np.empty((3, 1024))
         self.ids = np.empty(1024, np.int64)
         self.open = self.made = 0
 
     def place(self, item: np.ndarray) -> int:
-        left = self.left[: self.open]
-        fits = np.flatnonzero((left >= item).all(axis=1))
-        if len(fits):
-            rest = left[fits]
-            if self.rule == "dot":
-                best = fits[np.argmax((rest * self.scale * (item * self.scale)).sum(axis=1))]
-            else:
-                best = fits[np.argmin((((rest - item) * self.scale) ** 2).sum(axis=1))]
+        """Container of an item no longer than those before it."""
+        tokens = self.left[0]
+        at = int(tokens[: self.open].searchsorted(item[0]))
+        best = self._choose(at, item)
+        if best < 0:
+            rest, number = self.capacity - item, self.made
+            self.made += 1
+            if self.open == len(self.ids):
+                self.left, self.ids = np.concatenate([self.left, np.empty_like(self.left)], axis=1), np.concatenate([self.ids, np.empty_like(self.ids)])
+            best = self.open
+            self.open += 1
         else:
-            best = self.add()
-        self.left[best] -= item
-        return best
-
-    def add(self) -> int:
-        if self.open == len(self.ids):
-            self.left, self.ids = np.concatenate([self.left, np.empty_like(self.left)]), np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.left[self.open], self.ids[self.open] = self.capacity, self.made
-        self.made += 1
-        self.open += 1
-        return self.open - 1
+            rest, number = self.left[:, best] - item, self.ids[best]
+        to = int(self.left[0, :best].searchsorted(rest[0]))
+        self.left[:, to + 1 : best + 1] = self.left[:, to:best]  # move up those in between, then put it in its new place
+        self.ids[to + 1 : best + 1] = self.ids[to:best]
+        self.left[:, to], self.ids[to] = rest, number
+        return number
+
+    def _choose(self, at: int, item: np.ndarray) -> int:
+        """Place of the best container from ``at`` on that holds the item in every dimension, or -1. Beyond the stretch the token part of the norm alone is worse."""
+        end = self.open
+        if at == end:
+            return -1
+        if self.rule == "norm" and (self.left[:, at] >= item).all():
+            bound = np.sqrt(((((self.left[:, at] - item) * self.scale)) ** 2).sum())
+            end = int(self.left[0, :end].searchsorted(item[0] + bound / self.scale[0], "right"))
+        rest = self.left[:, at:end] - item[:, None]
+        if self.rule == "dot":
+            score = -((self.left[:, at:end] * item[:, None]) * (self.scale**2)[:, None]).sum(axis=0)
+        else:
+            score = ((rest * self.scale[:, None]) ** 2).sum(axis=0)
+        score[(rest < 0).any(axis=0)] = np.inf
+        best = int(score.argmin())
+        return at + best if score[best] < np.inf else -1
 
     def close(self, least: float) -> None:
-        """Containers that can't take even the smallest item left leave the matrix."""
-        keep = np.flatnonzero((self.left[: self.open, 0] >= least) & (self.left[: self.open, 1] >= 1))
-        self.left[: len(keep)], self.ids[: len(keep)] = self.left[keep], self.ids[keep]
-        self.open = len(keep)
+        """Containers that can't take even the smallest item left leave the arrays."""
+        keep = (self.left[0, : self.open] >= least) & (self.left[1, : self.open] >= 1)
+        n = int(keep.sum())
+        self.left[:, :n], self.ids[:n] = self.left[:, : self.open][:, keep], self.ids[: self.open][keep]
+        self.open = n
 
 
 def pack(sizes: np.ndarray, capacity: int, max_documents: int | None = None, max_cost: float | None = None, rule: str = "norm", weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,8 +99,7 @@ def pack(sizes: np.ndarray, capacity: int, max_documents: int | None = None, max
     where = np.empty(len(order), np.int64)
     least = float(rest[order[-1]]) if len(order) else 0.0
     for i, length in enumerate(rest[order].tolist()):
-        best = bins.place(np.array([length, 1.0, float(length) * length]))
-        where[i] = bins.ids[best]
+        where[i] = bins.place(np.array([length, 1.0, float(length) * length]))
         if i % 512 == 511:
             bins.close(least)
     item = np.concatenate([split, order])
