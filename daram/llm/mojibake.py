@@ -13,6 +13,7 @@ as it is; texts are run over whole, whatever their length; repeated rows give eq
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from daram.session import ship
 
 GAP = 24
+LONGEST = 16
 
 
 @dataclass(frozen=True)
@@ -120,17 +122,33 @@ class Finder:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        signs: set[str] = set()
         for g, pair, original in sequences():
             if (known := self.automaton.get(g, None)) is None:
                 self.automaton.add_word(g, (len(g), ((pair, original),)))
             else:
                 self.automaton.add_word(g, (len(g), (*known[1], (pair, original))))
+            signs.update(c for c in g if not (c.isascii() or 0xAC00 <= ord(c) < 0xD7A4))
         self.automaton.make_automaton()
+        # every sequence holds a sign that is neither ASCII nor a syllable, so the automaton need only run around these
+        self.sign = re.compile("[" + re.escape("".join(sorted(signs))) + "]+")
+
+    def matches(self, text: str):
+        """All matches, leftmost and longest first. Between stretches around signs no sequence can lie, so they are left out."""
+        start, end = 0, -1
+        for m in self.sign.finditer(text):
+            if (begin := max(0, m.start() - LONGEST)) > end:
+                if end >= 0:
+                    yield from self.automaton.iter_long(text, start, end)
+                start = begin
+            end = min(len(text), m.end() + LONGEST)
+        if end >= 0:
+            yield from self.automaton.iter_long(text, start, end)
 
     def passages(self, text: str) -> list[tuple[str, int, int, list]]:
         """(pair, start, end, [(start, end, original)]) of every passage with enough evidence."""
         hits: dict[int, list] = {}
-        for last, (n, meanings) in self.automaton.iter_long(text):
+        for last, (n, meanings) in self.matches(text):
             for pair, original in meanings:
                 hits.setdefault(pair, []).append((last + 1 - n, last + 1, original))
         out = []
