@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daram.session import ship
+from daram.session import ship, store
 
 FLAT = "feed string, run_no int, line_no int, rec_id string, fmt string, path string, type string, value string"
 _FLAT_ARROW = pa.schema([("feed", pa.string()), ("run_no", pa.int32()), ("line_no", pa.int32()), ("rec_id", pa.string()), ("fmt", pa.string()), ("path", pa.string()), ("type", pa.string()), ("value", pa.string())])
@@ -173,11 +173,17 @@ def renames(flat: DataFrame, happened: DataFrame, min_share: float = 0.5) -> Dat
     )
 
 
+def history(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(values, files, footers, events) of all feeds. Values are written once to the shared folder; footers and events are metadata."""
+    flat, files = store(flat_values(lines)), store(runs(lines))
+    footers = store(catalogue(flat))
+    return flat, files, footers, store(events(lifespans(footers, files), files))
+
+
 def changes(lines: DataFrame) -> DataFrame:
     """Report of every change of a field between a run and the feed's next lower run present."""
-    flat, files = flat_values(lines), runs(lines)
-    happened = events(lifespans(catalogue(flat), files), files)
-    pairs = renames(flat, happened)
+    flat, _, _, happened = history(lines)
+    pairs = store(renames(flat, happened))
     roles = pairs.select("feed", "run_no", F.explode(F.array("old_path", "new_path")).alias("path"))
     rest = happened.join(roles, ["feed", "run_no", "path"], "left_anti")
     kind = F.when(F.col("event") == "gone", "removed").when(F.col("event") == "new", "added").otherwise("retyped")

@@ -42,10 +42,13 @@ def _chain(footers: pd.DataFrame) -> pd.DataFrame:
 
 def names(lines: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(feed, run_no, path, canonical, cast) of every field of every file."""
-    ship(lines.sparkSession)
-    flat, files = drift.flat_values(lines), drift.runs(lines)
-    footers = drift.catalogue(flat)
-    pairs = drift.renames(flat, drift.events(drift.lifespans(footers, files), files)).select("feed", "run_no", F.col("new_path").alias("path"), "old_path")
+    return _names(drift.history(lines), aliases)
+
+
+def _names(history: tuple, aliases: DataFrame | None) -> DataFrame:
+    flat, _, footers, happened = history
+    ship(flat.sparkSession)
+    pairs = drift.renames(flat, happened).select("feed", "run_no", F.col("new_path").alias("path"), "old_path")
     chained = footers.join(pairs, ["feed", "run_no", "path"], "left").select("feed", "run_no", "path", "old_path").groupBy("feed").applyInPandas(_chain, CHAIN)
     if aliases is not None:
         chained = chained.join(aliases.select(F.col("alias").alias("canonical"), F.col("canonical").alias("agreed")), "canonical", "left").withColumn("canonical", F.coalesce("agreed", "canonical")).drop("agreed")
@@ -58,8 +61,9 @@ def names(lines: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 
 def records(lines: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """One row per record with its fields under their consistent names; a line loaded twice is one record."""
-    agreed = names(lines, aliases).select("feed", "run_no", "path", "canonical")
-    rows = drift.flat_values(lines).join(agreed, ["feed", "run_no", "path"])
+    history = drift.history(lines)
+    agreed = _names(history, aliases).select("feed", "run_no", "path", "canonical")
+    rows = history[0].join(agreed, ["feed", "run_no", "path"])
     return (
         rows.groupBy("feed", "run_no", "line_no", "canonical").agg(F.max("value").alias("value"), F.max("rec_id").alias("rec_id"))
         .groupBy("feed", "run_no", "line_no").agg(F.max("rec_id").alias("rec_id"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("canonical", "value")))).alias("fields"))

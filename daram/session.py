@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a parquet table in the shared folder: compressed and columnar, for what is read several times."""
+    path = f"{shared_dir(df.sparkSession)}/daram-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, whatever their path is."""
     context = spark.sparkContext
