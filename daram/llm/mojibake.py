@@ -170,8 +170,10 @@ class Finder:
             if len(_whole_words(text, run, 2)) < LEAST[pair]:
                 return []
             run = _whole_words(text, run, 1)
-        elif SIDE[pair] > 1 and not any(a[1] == b[0] for a, b in zip(run, run[1:])):
-            return []
+        elif SIDE[pair] > 1:  # Latin letters in a row may read as hanja by chance; syllables side by side are the evidence
+            syllables = [h for h in run if h[2] and "가" <= h[2] <= "힣"]
+            if len(syllables) < LEAST[pair] or not any(a[1] == b[0] for a, b in zip(syllables, syllables[1:])):
+                return []
         return [(NAMES[pair], run[0][0], run[-1][1], run)]
 
     @staticmethod

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daram.functions.text import ASCII_BLANKS, ASCII_SIGNS, FULL_WIDTH, INVISIBLE, UNICODE_BLANKS, is_blank
-from daram.session import cut
+from daram.session import store
 
 # Delimiters of list fields, quotes and list brackets around entries, and signs of a broken end.
 DELIMITERS = ",;/|、·+\n\t"
@@ -61,8 +61,12 @@ def plain(text: Column, kind: Column) -> Column:
     return F.regexp_replace(F.when(kind == "list", entries).otherwise(F.translate(text, *_mapped(prose, INVISIBLE))), "[0-9]+", "0")
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """Of every unit and every beginning of one: how often it ends a value and how often it goes on. Counted once per distinct unit before beginnings are taken."""
+def vocabulary(rows: DataFrame, once: DataFrame) -> DataFrame:
+    """Of every unit and every beginning of one: how often it ends a value and how often it goes on.
+
+    Counted once per distinct unit before beginnings are taken, and these only of lengths that last units have (a set of
+    numbers per field), so that a very long unit has few.
+    """
     a_list = F.col("kind") == "list"
     bare = rows.select(*KEY, "kind", F.rtrim(plain(F.col("text"), F.col("kind"))).alias("bare"))
     each = bare.select(*KEY, "kind", F.explode(F.split(F.when(a_list, F.col("bare")).otherwise(F.concat("bare", F.lit("."))), F.when(a_list, ",").otherwise(" "))).alias("u"))
@@ -70,16 +74,13 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     unit = F.when(a_list, F.trim("u")).otherwise(F.rtrim("u", F.lit(".")))
     seen = each.groupBy(*KEY, unit.alias("unit"), ends.alias("ends")).agg(F.count(F.lit(1)).alias("n")).filter(F.length("unit") > 0)
     seen = seen.groupBy(*KEY, "unit").agg(F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(F.col("ends"), 0).otherwise(F.col("n"))).alias("goes"))
-    begins = seen.filter(F.length("unit") > 1).select(*KEY, F.explode(F.transform(F.sequence(F.lit(1), F.length("unit") - 1), lambda k: F.substring(F.col("unit"), F.lit(1), k))).alias("unit"), F.lit(0).cast("bigint").alias("stops"), (F.col("stops") + F.col("goes")).alias("goes"))
+    sizes = F.broadcast(once.filter(F.col("last").isNotNull()).groupBy(*KEY).agg(F.collect_set(F.length("last")).alias("sizes")))
+    begins = seen.join(sizes, KEY).withColumn("k", F.explode(F.filter("sizes", lambda k: k < F.length("unit")))).select(*KEY, F.substring(F.col("unit"), F.lit(1), F.col("k")).alias("unit"), F.lit(0).cast("bigint").alias("stops"), (F.col("stops") + F.col("goes")).alias("goes"))
     return seen.unionByName(begins).groupBy(*KEY, "unit").agg(F.sum("stops").alias("stops"), F.sum("goes").alias("goes"))
 
 
-def endings(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Every text, once, with ``incomplete`` (why, or null), ``suspicious`` and its lengths.
-
-    The commonest last units (a bounded list) are settled by broadcast, so that no hot unit meets one task; the others are shuffled.
-    """
-    rare = words.filter((F.col("stops") < RARELY_ENDS * (F.col("stops") + F.col("goes"))) & (F.col("goes") >= LEAST_SEEN)).select(*KEY, F.col("unit").alias("last"), F.lit(True).alias("rare"))
+def ends(rows: DataFrame) -> DataFrame:
+    """Every text, once: its last unit where that decides, what else is wrong with its end, and its lengths."""
     count = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     is_open = (count("(（") > count(")）")) | (count("[［") > count("]］"))
     a_list, bare = F.col("kind") == "list", F.col("bare")
@@ -92,8 +93,15 @@ def endings(rows: DataFrame, words: DataFrame) -> DataFrame:
         *KEY, "row_id", "src_file", "resent", F.nullif(last, F.lit("")).alias("last"), why.alias("why"), (~a_list & (F.length("end") < F.length("text"))).alias("suspicious"),
         F.length("text").alias("chars"), F.octet_length(F.rtrim("text", F.lit("�"))).alias("bytes"),
     )
-    once = looked.filter("NOT resent").unionByName(looked.filter("resent").dropDuplicates([*KEY, "row_id"])).drop("resent")
-    once = cut(once)  # ids, last units and numbers; read several times below
+    return looked.filter("NOT resent").unionByName(looked.filter("resent").dropDuplicates([*KEY, "row_id"])).drop("resent")
+
+
+def endings(once: DataFrame, words: DataFrame) -> DataFrame:
+    """Every text with ``incomplete`` (why, or null), ``suspicious`` and its lengths.
+
+    The commonest last units (a bounded list) are settled by broadcast, so that no hot unit meets one task; the others are shuffled.
+    """
+    rare = words.filter((F.col("stops") < RARELY_ENDS * (F.col("stops") + F.col("goes"))) & (F.col("goes") >= LEAST_SEEN)).select(*KEY, F.col("unit").alias("last"), F.lit(True).alias("rare"))
     key = [*KEY, "last"]
     common = once.filter(F.col("last").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *key).limit(COMMON_ENDINGS).select(*key)
     settled = F.broadcast(F.broadcast(common).join(rare, key, "left").withColumn("common", F.lit(True)))
@@ -135,8 +143,9 @@ def limits(measured: DataFrame, q: float = FALSE_DISCOVERIES) -> DataFrame:
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Every text with its ending, written to the shared folder as ids and numbers only; the vocabulary is written, too, as two steps read it."""
-    return cut(endings(rows, cut(vocabulary(rows))))
+    """Every text with its ending. What several steps read is written to the shared folder: ids, last units, numbers, and the vocabulary."""
+    once = store(ends(rows))
+    return store(endings(once, store(vocabulary(rows, once))))
 
 
 def cases(ended: DataFrame) -> DataFrame:
