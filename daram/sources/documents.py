@@ -1,8 +1,7 @@
 """Sources and sinks: files of text, mapping exports as CSV, overrides and results as JSON."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daram.functions.terms import code_of_file
@@ -18,10 +17,22 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]") -
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", "modified").orderBy("name")
 
 
+def _decoded(content: Column, encoding: str) -> Column:
+    """Spark's own decoder for the charsets it takes, else Arrow batches; bytes that don't fit become replacement characters."""
+    if encoding.lower() in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-32"):
+        return F.decode(content, encoding)
+
+    @F.pandas_udf("string")
+    def decoded(part: pd.Series) -> pd.Series:
+        return part.map(lambda b: None if b is None else bytes(b).decode(encoding, "replace"))
+
+    return decoded(content)
+
+
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt", encoding: str = "UTF-8") -> DataFrame:
-    """(name, code, text) of whole text files; other encodings than Spark's readers take are decoded from the bytes."""
+    """(name, code, text) of whole text files; other encodings than Spark takes are decoded from the bytes. Spark leaves out files of no bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    text = F.translate(F.regexp_replace(F.decode("content", encoding), r"\r\n?", "\n"), "\u00a0", " ")
+    text = F.translate(F.regexp_replace(_decoded(F.col("content"), encoding), r"\r\n?", "\n"), "\u00a0", " ")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(name.alias("name"), code_of_file(F.regexp_replace(name, r"\.[^.]*$", "")).alias("code"), text.alias("text"))
 
