@@ -121,3 +121,34 @@ def document_kind(c: Column) -> Column:
         F.when(c.isNull() | (F.length(F.trim(c)) < 100), "EMPTY").when(c.contains("한도표"), "TABLE").when(c.rlike(r"\d+년납") & c.rlike(r"\d+세"), "TERMS")
         .when(F.length(c) < 1000, "SIMPLE").otherwise("COMPLEX")
     )
+
+
+def between(c: Column, start: str, end: str) -> Column:
+    """Text between two marks, both of which must be there; null otherwise. Patterns go over line ends."""
+    return F.nullif(F.regexp_extract(c, rf"(?s){start}\s*(.*?)\s*{end}", 1), F.lit(""))
+
+
+def bare_years(c: Column, most: int = 50) -> Column:
+    """Numbers of years that are no payment terms (n년 not followed by 납), up to ``most``, once each."""
+    return F.filter(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(\d{1,4})년(?!납)"), F.lit(1)), lambda x: x.cast("int"))), lambda x: x <= most)
+
+
+def trailing_codes(c: Column, n: int) -> Column:
+    """The n codes a line ends with, in order; null if it doesn't end with so many."""
+    codes_at_end = F.regexp_extract(c, rf"((?:\s+\d{{5}}){{{n}}})\s*$", 1)
+    return F.when(codes_at_end != "", F.split(F.trim(codes_at_end), r"\s+"))
+
+
+def alias_match(a: Column, b: Column, groups: list[list[str]]) -> Column:
+    """Whether two titles match: one contains the other, or both name a word of the same alias group."""
+    x, y = normal_title(a), normal_title(b)
+    shared = F.lit(False)
+    for words in groups:
+        has = lambda t: t.rlike("|".join(words))  # noqa: E731, B023
+        shared = shared | (has(x) & has(y))
+    return F.contains(x, y) | F.contains(y, x) | shared
+
+
+def date_or_default(c: Column, as_of: Column, days: int) -> Column:
+    """Date of an ISO text; where there is none, so many days before ``as_of``."""
+    return F.coalesce(F.to_date(F.nullif(F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))), F.date_sub(as_of, days))

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space that Java's \s leaves out, and characters that show nothing.
-UNICODE_BLANKS = "\u0085                 　"
-INVISIBLE = "­͏​‌‍⁠﻿"
+UNICODE_BLANKS = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+INVISIBLE = "\u00ad\u034f\u200b\u200c\u200d\u2060\ufeff"
 
 ASCII_BLANKS = " \t\n\x0b\f\r"
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))

@@ -158,17 +158,25 @@ def age_band(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", numbers.band(F.col("p_size"), [10, 20, 30, 40], "세").alias("band"))
 
 
-@query("""WITH e AS (SELECT DISTINCT ON (example_id) * FROM few_shot_example), c AS (SELECT parse_id, p.insu_cd, e.example_id, CASE WHEN e.insu_cd = p.insu_cd THEN 0 ELSE 1 END AS far FROM parse_result p JOIN e ON e.insu_cd = p.insu_cd WHERE e.is_active)
-    SELECT parse_id, example_id FROM c QUALIFY row_number() OVER (PARTITION BY parse_id ORDER BY md5(parse_id || ':' || example_id)) <= 3""")
+@query("""WITH e AS (SELECT * FROM (SELECT DISTINCT insu_cd, example_id FROM few_shot_example WHERE is_active AND insu_cd IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY insu_cd ORDER BY md5('7:' || example_id), example_id) <= 3)
+    SELECT parse_id, example_id FROM parse_result p JOIN e ON e.insu_cd = p.insu_cd""")
 def few_shot_select(spark: SparkSession, d: str) -> DataFrame:
-    """Three examples of the same code per record, by hash order instead of chance.
-
-    Each code's examples get ranks by one hash first; a record takes the ranks of its own hash order among them.
-    """
-    e = read(spark, d, "few_shot_example").dropDuplicates(["example_id"]).filter("is_active").select("insu_cd", "example_id")
-    p = read(spark, d, "parse_result").select("parse_id", "insu_cd")
-    near = p.join(e, "insu_cd").withColumn("h", F.md5(F.concat(F.col("parse_id").cast("string"), F.lit(":"), F.col("example_id").cast("string"))))
-    return R.top_per_key(near, ["parse_id"], [F.col("h")], 3).select("parse_id", "example_id")
+    """Three examples of the same code per record, by hash order instead of chance. They are chosen per code, before records meet them."""
+    e = read(spark, d, "few_shot_example").filter("is_active AND insu_cd IS NOT NULL").select("insu_cd", "example_id").distinct()
+    chosen = R.top_per_key(e, ["insu_cd"], [F.md5(F.concat(F.lit("7:"), F.col("example_id").cast("string"))), F.col("example_id")], 3)
+    return read(spark, d, "parse_result").select("parse_id", "insu_cd").join(chosen, "insu_cd").select("parse_id", "example_id")
+
+
+@query("""SELECT doc_id, nullif(regexp_extract(text, '(?s)보험기간은\\s*(.*?)\\s*이며', 1), '') AS term FROM documents WHERE text IS NOT NULL""")
+def section_between(spark: SparkSession, d: str) -> DataFrame:
+    """Text between two marks, both needed."""
+    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", terms.between(F.col("text"), "보험기간은", "이며").alias("term"))
+
+
+@query("""SELECT log_id, CAST(date_diff('day', CAST(created_at AS DATE), CAST(verified_at AS DATE)) AS INT) AS days FROM (SELECT DISTINCT ON (log_id) * FROM correction_log) WHERE verified_at IS NOT NULL""")
+def days_between(spark: SparkSession, d: str) -> DataFrame:
+    """Calendar days from a correction to its verification."""
+    return read(spark, d, "correction_log").dropDuplicates(["log_id"]).filter("verified_at IS NOT NULL").select("log_id", F.datediff(F.col("verified_at").cast("date"), F.col("created_at").cast("date")).alias("days"))
 
 
 @query("""SELECT insu_cd, substr(string_agg(example_id || ': ' || coalesce(output_pay_term, '-'), chr(10) ORDER BY example_id), 1, 500) AS prompt FROM (SELECT DISTINCT ON (example_id) * FROM few_shot_example) WHERE insu_cd IS NOT NULL GROUP BY 1""")

@@ -57,8 +57,9 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     whole = os.path.join(top, f)
                     z.write(whole, os.path.join("daram", os.path.relpath(whole, PACKAGE)))
-    path = os.path.join(tempfile.mkdtemp(prefix="daram-code-"), "daram.zip")  # read by the driver only, which serves it
-    with open(path, "wb") as f:
-        f.write(packed.getvalue())
-    context.addPyFile(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/daram-{context.applicationId}/daram.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
     _shipped.add(context.applicationId)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from daram.functions import numbers, terms, text
-from daram.operators import relational, sections
+from daram.operators import extraction, relational, sections
 
 
 def one(spark, value, kind, column):
@@ -23,6 +23,20 @@ def test_terms(spark):
         assert one(spark, value, "string", column) == wanted, (value, wanted)
 
 
+def test_extraction(spark):
+    x = F.col("x")
+    for column, value, wanted in [
+        (terms.between(x, "시작", "끝"), "a 시작\n b \n끝 끝", "b"), (terms.between(x, "시작", "끝"), "시작 b", None), (terms.bare_years(x), "10년, 20년납 2024년 10년 30년", [10, 30]),
+        (terms.trailing_codes(x, 4), "이름 11111 22222 33333 44444 ", ["11111", "22222", "33333", "44444"]), (terms.trailing_codes(x, 4), "이름 11111", None),
+        (terms.alias_match(x, F.lit("(무)암 보험"), [["암", "cancer"]]), "Cancer plan", True), (terms.alias_match(x, F.lit("상해"), [["암", "cancer"]]), "Cancer", False),
+        (terms.date_or_default(x, F.lit("2024-01-31").cast("date"), 30).cast("string"), "2024-05-06T01:02", "2024-05-06"), (terms.date_or_default(x, F.lit("2024-01-31").cast("date"), 30).cast("string"), "", "2024-01-01"),
+    ]:
+        assert one(spark, value, "string", column) == wanted, (value, wanted)
+    score, reasons = extraction.rule_score({"a": (x == "1", 30), "b": (x.isNotNull(), 80)})
+    assert one(spark, None, "string", F.struct(score, reasons)) == (0, "a,b") and one(spark, "1", "string", F.struct(score, reasons)) == (100, "")
+    assert one(spark, "—", "string", extraction.resolve([("p", x), ("q", F.lit("v"))])) == ("v", "q")
+
+
 def test_numbers(spark):
     for n, d, wanted in [(25, 2, 13), (249, 20, 12), (24, 2, 12), (1, 0, None)]:
         assert spark.range(1).select(numbers.half_up(F.lit(n).cast("bigint"), F.lit(d).cast("bigint")).alias("y")).first()["y"] == wanted

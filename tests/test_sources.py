@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from daram.operators import relational, state
 from daram.sources import documents as D
+from daram.sources.tables import SCHEMAS, empty_as_null, read_jdbc
 from daram.streaming import learning
 
 
@@ -81,3 +82,17 @@ def test_windowed_counts(spark, tmp_path):
     q = learning.windowed_counts(stream).writeStream.format("memory").queryName("wc").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("wc").count() == 3
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(20).selectExpr("id", "cast(id as string) s").write.format("jdbc").option("url", url).option("dbtable", "t").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    df = read_jdbc(spark, url, "t", "id", (0, 20), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert df.rdd.getNumPartitions() == 4 and df.filter("id > 4").count() == 15
+
+
+def test_empty_as_null(spark):
+    df = spark.createDataFrame([("", 1), ("a", None)], "`a.b` string, n int")
+    assert [tuple(r) for r in empty_as_null(df).collect()] == [(None, 1), ("a", None)]
+    for ddl in SCHEMAS.values():
+        assert spark.createDataFrame([], ddl).count() == 0
