@@ -22,12 +22,13 @@ from daram.session import ship
 
 # Look-alikes of ASCII signs and of the letters O, I and others, beyond what Unicode's own tables relate.
 LOOKALIKES = {
-    ":": "꞉∶ː˸׃։", "~": "〜∼˜⁓∽", ",": "‚", "(": "❨", ")": "❩", "/": "∕⁄", "|": "∣ǀ", ";": ";", "-": "‐‑",
-    "A": "ΑА", "B": "ΒВ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "S": "Ѕ", "C": "СϹ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "V": "Ѵ", "L": "Ꮮ",
+    ":": "꞉∶ː˸׃։", "~": "〜∼˜⁓∽", ".": "․", "0": "〇", ",": "‚", "(": "❨", ")": "❩", "/": "∕⁄", "|": "∣ǀ", ";": ";", "-": "‐‑",
+    "A": "ΑА", "B": "ΒВ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀⅠ", "l": "ӏⅼ", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "S": "Ѕ", "C": "СϹ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "V": "Ѵ", "L": "Ꮮ",
     "a": "а", "c": "с", "e": "е", "i": "і", "j": "ј", "o": "οо", "p": "р", "s": "ѕ", "x": "х", "y": "у",
 }
-SHOWS_NOTHING = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻"
-SPACES = "               　"
+# Ranges of a character class that show nothing (controls other than tab and line ends, fillers, joiners, marks), and spaces.
+SHOWS_NOTHING = r"\x{01}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}" "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def table() -> tuple[str, str]:
