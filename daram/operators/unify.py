@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daram.operators import drift
@@ -52,11 +52,16 @@ def _names(history: tuple, aliases: DataFrame | None) -> DataFrame:
     chained = footers.join(pairs, ["feed", "run_no", "path"], "left").select("feed", "run_no", "path", "old_path").groupBy("feed").applyInPandas(_chain, CHAIN)
     if aliases is not None:
         chained = chained.join(aliases.select(F.col("alias").alias("canonical"), F.col("canonical").alias("agreed")), "canonical", "left").withColumn("canonical", F.coalesce("agreed", "canonical")).drop("agreed")
-    w = Window.partitionBy("canonical")
-    kinds = F.collect_set("type").over(w)
-    only = lambda k: (F.size(kinds) == 1) & F.array_contains(kinds, k)
+    named = chained.join(footers, ["feed", "run_no", "path"])
+    kinds = named.groupBy("canonical").agg(F.collect_set("type").alias("kinds"))  # four types at most
+    only = lambda k: (F.size("kinds") == 1) & F.array_contains("kinds", k)
     cast = F.when(only("number"), "double").when(only("boolean"), "boolean").otherwise("string")
-    return chained.join(footers, ["feed", "run_no", "path"]).withColumn("cast", cast).select("feed", "run_no", "path", "canonical", "cast", "type")
+    return named.join(kinds, "canonical").select("feed", "run_no", "path", "canonical", cast.alias("cast"), "type")
+
+
+def typed(rows: DataFrame, casts: dict[str, str]) -> DataFrame:
+    """Columns of the consistent table for the names wanted, by the casts of ``names``; what a cast can't read is null."""
+    return rows.select("feed", "run_no", "line_no", "rec_id", *(F.try_element_at("fields", F.lit(n)).try_cast(t).alias(n) for n, t in casts.items()))
 
 
 def records(lines: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

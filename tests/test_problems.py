@@ -67,6 +67,12 @@ def test_unify(spark):
     assert len(got) == 10
     assert {r["fields"].get("python_pay_term") for r in got if r.feed == "c_result"} == {f"p{i}" for i in range(4)}
     assert {r["fields"]["pay_term"] for r in got if r.feed == "d_mapping"} == {"p0", "p1"}
+    df = spark.createDataFrame(rows, LINES)
+    casts = {r.canonical: r["cast"] for r in unify.names(df).collect()}
+    assert casts == {"insu_cd": "string", "python_pay_term": "string", "code": "double", "pay_term": "string"}
+    assert sorted(r.code for r in unify.typed(unify.records(df), casts).filter("feed = 'd_mapping'").collect()) == [0.0, 1.0]
+    agreed = spark.createDataFrame([("python_pay_term", "pay_term")], "alias string, canonical string")
+    assert {n for r in unify.records(df, agreed).collect() for n in r["fields"]} == {"insu_cd", "code", "pay_term"}
 
 
 def at(day):
