@@ -6,8 +6,9 @@ every constraint holds, leaves the smallest weighted norm of the residual vector
 weighted dot product of residual and item). An item above the token capacity alone is split into full
 containers and a rest; nothing else is split.
 
-Items are packed in independent groups of about ``GROUP_ROWS`` by a hash of their id, so the work is
-spread evenly whatever the sizes, and only the last few containers of each group stay open.
+Items are packed in independent groups of about ``GROUP_ROWS`` by a hash of their id and their place in the
+written sizes, so the work is spread evenly whatever the sizes and however often an id is repeated, and only the
+last few containers of each group stay open.
 
 Defined results:
 * null and empty texts have 0 tokens and still get a place (one piece of length 0);
@@ -118,7 +119,7 @@ def assign(sizes: DataFrame, packs: DataFrame, rule: str = "norm", group_rows: i
         raise ValueError(f"more than {MAX_PACKS} packs")
     if not offers:
         offers = [F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("tokens"))]
-    group = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(groups)).cast("int")
+    group = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     each = sizes.withColumn("group_id", group).withColumn("pack", F.explode(F.array(*offers)))
 
     def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
