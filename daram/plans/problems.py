@@ -126,6 +126,9 @@ judged AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": """WITH t AS (SELECT rec_id, j.type AS kind, replace(j.fullkey, '"', '') AS f, replace(j.path, '"', '') AS up FROM (SELECT * FROM hybrid_result WHERE payload IS NOT NULL), json_tree(payload) j)
+            SELECT rec_id, substr(f, 3) AS node_path, coalesce(nullif(substr(regexp_replace(f, '\\.[^.]*$', ''), 3), ''), '') AS parent_path
+            FROM t WHERE f <> '$' AND (kind = 'OBJECT' OR (regexp_matches(up, '[.]codes$') AND NOT regexp_matches(f, '\\]$')))""",
         "p4_found": _REFS + "SELECT table_name, row_id, field_name, orphan_kind FROM judged WHERE orphan_kind IS NOT NULL",
         "p4_report": _REFS + """SELECT table_name, field_name, strftime(ref_at, '%Y-%m') AS period, count(*) AS n_references,
             count(*) FILTER (orphan_kind = 'missing') AS n_missing, count(*) FILTER (orphan_kind = 'deleted') AS n_deleted, count(*) FILTER (orphan_kind = 'late') AS n_late
