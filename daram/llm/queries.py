@@ -107,4 +107,8 @@ def oracle_sql() -> dict[str, str]:
             WHEN m = 'E' OR period_value = 999 THEN 'E999' WHEN NOT {_blank('period_kind')} AND period_value IS NOT NULL THEN m || CAST(period_value AS VARCHAR) END AS p FROM u),
     t AS (SELECT k, p, min(map_id) AS group_id, max(filled) AS f, max(loaded_at) AS a, max(trust) AS r, count(*) AS n FROM g WHERE p IS NOT NULL GROUP BY k, p)
     SELECT group_id, min(map_id) AS best_id FROM t JOIN g USING (k, p) WHERE n > 1 AND filled = f AND loaded_at = a AND trust = r GROUP BY group_id HAVING count(*) = 1"""
-    return {"p2_found": best}
+    form, (wide, narrow) = confusables.statement(), confusables.table()
+    form = form.replace("$1", "'" + wide.replace("'", "''") + "'").replace("$2", "'" + narrow.replace("'", "''") + "'")
+    part = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS row_id, '{f}' AS field_name, {f} AS text FROM {t}" for t, k, f in (("uw_code_mapping", "map_id", "entry_age_m"), ("correction_log", "log_id", "corrected.ageRange"), ("parse_result", "parse_id", "terms.ageRange")))
+    alike = f"WITH part AS ({part}), found AS ({form}) SELECT DISTINCT table_name, row_id, field_name FROM found WHERE differs"
+    return {"p2_found": best, "p7_found": alike}
