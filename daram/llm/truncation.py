@@ -34,7 +34,7 @@ BROKEN = ("�", "…", "...")
 NEIGHBOURS = 10
 FALSE_DISCOVERIES = 0.01
 RARELY_ENDS = 0.1
-LEAST_SEEN = 20
+LEAST_SEEN = 5
 COMMON_ENDINGS = 1_000
 KEY = ["field"]
 
