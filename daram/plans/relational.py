@@ -42,10 +42,10 @@ def key_lookup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem ORDER BY 1, 2, 3, 4 LIMIT 500""")
+@query("""SELECT l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem ORDER BY 1, 2, 3, 4""")
 def rates_of_key(spark: SparkSession, d: str) -> DataFrame:
-    """Alias projection with a three-key sort, cut to a report."""
-    return read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").limit(500)
+    """Alias projection with a sort by its keys; Spark sorts by ranges of them, over all tasks."""
+    return read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
 
 
 @query("""SELECT log_id, insu_cd, CASE WHEN m.code IS NULL THEN 'NO_MAPPING' END AS error FROM """ + _LOG + """ c LEFT JOIN (SELECT DISTINCT code FROM uw_code_mapping) m ON m.code = c.insu_cd""")
@@ -115,10 +115,10 @@ def pattern_apply(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "parse_result").join(p, "insu_cd", "left").select("parse_id", *(F.coalesce(f"p_{f}", f"terms.{f}").alias(n) for f, n in names.items()), F.coalesce("learned", F.lit(False)).alias("learned"))
 
 
-@query("""SELECT main_code, code, period_label, pay_term FROM uw_code_mapping WHERE main_code IS NOT NULL ORDER BY main_code, period_label NULLS FIRST, pay_term NULLS FIRST, code NULLS FIRST LIMIT 1000""")
+@query("""SELECT main_code, code, period_label, pay_term FROM uw_code_mapping WHERE main_code IS NOT NULL ORDER BY main_code, period_label NULLS FIRST, pay_term NULLS FIRST, code NULLS FIRST""")
 def mapping_by_main_code(spark: SparkSession, d: str) -> DataFrame:
-    """Mapping rows by main code, label and payment term in binary order, cut to a report."""
-    return read(spark, d, "uw_code_mapping").filter("main_code IS NOT NULL").select("main_code", "code", "period_label", "pay_term").orderBy("main_code", "period_label", "pay_term", "code").limit(1000)
+    """Mapping rows by main code, label and payment term in binary order."""
+    return read(spark, d, "uw_code_mapping").filter("main_code IS NOT NULL").select("main_code", "code", "period_label", "pay_term").orderBy("main_code", "period_label", "pay_term", "code")
 
 
 @query("SELECT log_id, insu_cd, created_at FROM " + _LOG + " ORDER BY created_at DESC, log_id DESC LIMIT 20 OFFSET 40")
