@@ -8,7 +8,7 @@ alias table the renames give.
 
 Defined results:
 * null, empty or unparsable payloads give no field but still count as a line of their file;
-* a null feed or run is a feed or run of its own;
+* lines without a feed or run belong to no file and give nothing;
 * lines loaded twice change nothing (presence and types are sets, values are taken once a product);
 * ties between rename candidates go to the larger share, then to equal last path segments, then by name;
 * an empty table gives an empty report; further columns are ignored.
@@ -91,7 +91,7 @@ def flatten_lines(batches):
 def flat_values(lines: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per field value of every line. CSV lines get their file's header by a join salted against hot files."""
     ship(lines.sparkSession)
-    lines = lines.select("feed", F.col("run_no").cast("int").alias("run_no"), F.col("line_no").cast("int").alias("line_no"), "payload", F.when(F.col("file_name").endswith(".csv") | F.col("feed").endswith("_mapping"), "csv").otherwise("json").alias("fmt"))
+    lines = lines.filter("feed IS NOT NULL AND run_no IS NOT NULL").select("feed", F.col("run_no").cast("int").alias("run_no"), F.col("line_no").cast("int").alias("line_no"), "payload", F.when(F.col("file_name").endswith(".csv") | F.col("feed").endswith("_mapping"), "csv").otherwise("json").alias("fmt"))
     is_csv = F.col("fmt") == "csv"
     head = (
         lines.filter(is_csv & (F.col("line_no") == 0)).groupBy("feed", "run_no").agg(F.max("payload").alias("header"))
@@ -109,7 +109,7 @@ def runs(lines: DataFrame) -> DataFrame:
     """Every file of a feed with its place ``ix`` among the runs present, the run before and the feed's last place."""
     w = Window.partitionBy("feed")
     return (
-        lines.select("feed", F.col("run_no").cast("int").alias("run_no")).distinct()
+        lines.filter("feed IS NOT NULL AND run_no IS NOT NULL").select("feed", F.col("run_no").cast("int").alias("run_no")).distinct()
         .withColumn("ix", F.row_number().over(w.orderBy("run_no"))).withColumn("prev_run", F.lag("run_no").over(w.orderBy("run_no"))).withColumn("last_ix", F.max("ix").over(w))
     )
 

@@ -29,8 +29,9 @@ def sections(df: DataFrame, text: str, heading: str, keys: list[str]) -> DataFra
 
 def with_neighbours(c: Column, before: int, after: int) -> Column:
     """Each line as a struct with the lines around it: (line, line_no, around)."""
-    whole = lines(c)
-    return F.transform(whole, lambda x, i: F.struct(x.alias("line"), i.alias("line_no"), F.slice(whole, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + 1 + after).alias("around")))
+    around = lambda whole, i: F.slice(whole, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + 1 + after)
+    per_line = lambda whole: F.transform(whole, lambda x, i: F.struct(x.alias("line"), i.alias("line_no"), around(whole, i).alias("around")))
+    return F.transform(F.array(lines(c)), per_line)[0]  # bound as a variable, so the text is split once and not for each line
 
 
 def combine(c: Column, done: str, ahead: int = 2) -> Column:

@@ -74,12 +74,20 @@ def value_cross_product(spark: SparkSession, d: str) -> DataFrame:
     j AS (SELECT parse_id, terms.payTerm AS p, m.pay_term AS q FROM parse_result LEFT JOIN m ON m.code = insu_cd)
     SELECT parse_id, count(q) AS n_rows, count(*) FILTER (p = q OR contains(p, q)) AS n_match, CASE WHEN count(q) = 0 THEN 'NO_MAPPING_DATA' WHEN count(*) FILTER (p = q OR contains(p, q)) > 0 AND count(*) FILTER (p = q OR contains(p, q)) * 100 // count(q) >= 70 THEN 'VALID' ELSE 'INVALID' END AS status FROM j GROUP BY parse_id""")
 def containment_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Equi-join on the code with containment as the residual; confidence is the truncated share of matching rows. Both sides are made distinct first, so hot codes don't multiply; results go back to the rows by an equi-join."""
+    """Share of a code's mapping terms that a parsed text equals or contains.
+
+    No pairs are compared: a text gives its parts of the lengths that the code's terms have, once each, and the parts meet the terms
+    by an equi-join. Results are made per distinct text and go back to the rows.
+    """
     m = read(spark, d, "uw_code_mapping").select("code", "pay_term").filter(F.col("code").isNotNull() & F.col("pay_term").isNotNull()).distinct()
     rows = read(spark, d, "parse_result").select("parse_id", "insu_cd", F.col("terms.payTerm").alias("p"))
-    hit = (F.col("p") == F.col("pay_term")) | F.contains(F.col("p"), F.col("pay_term"))
-    once = rows.filter("insu_cd IS NOT NULL").select("insu_cd", "p").distinct()
-    judged = once.join(m, F.col("code") == F.col("insu_cd")).groupBy("insu_cd", "p").agg(F.count("pay_term").alias("n_rows"), F.count(F.when(hit, 1)).alias("n_match")).select(F.col("insu_cd").alias("c"), F.col("p").alias("q"), "n_rows", "n_match")
+    of_code = m.groupBy("code").agg(F.count(F.lit(1)).alias("n_rows"), F.collect_set(F.length("pay_term")).alias("sizes"))
+    once = rows.filter("insu_cd IS NOT NULL").select("insu_cd", "p").distinct().join(of_code, F.col("code") == F.col("insu_cd")).drop("code")
+    fits = once.select("insu_cd", "p", F.explode(F.filter("sizes", lambda k: k <= F.length("p"))).alias("k"))
+    at = F.sequence(F.lit(1), F.length("p") - F.col("k") + 1)
+    parts = fits.select("insu_cd", "p", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("p"), i, F.col("k"))))).alias("part"))
+    hits = parts.join(m, (F.col("code") == F.col("insu_cd")) & (F.col("pay_term") == F.col("part"))).groupBy(F.col("insu_cd").alias("hc"), F.col("p").alias("hp")).agg(F.count(F.lit(1)).alias("n_match"))
+    judged = once.join(hits, (F.col("hc") == F.col("insu_cd")) & (F.col("hp") == F.col("p")), "left").select(F.col("insu_cd").alias("c"), F.col("p").alias("q"), "n_rows", F.coalesce("n_match", F.lit(0)).alias("n_match"))
     out = rows.join(judged, (F.col("c") == F.col("insu_cd")) & F.col("p").eqNullSafe(F.col("q")), "left").select("parse_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_match", F.lit(0)).alias("n_match"))
     confidence = numbers.int_percent(F.col("n_match"), F.col("n_rows"))
     return out.withColumn("status", F.when(F.col("n_rows") == 0, "NO_MAPPING_DATA").when((F.col("n_match") > 0) & (confidence >= 70), "VALID").otherwise("INVALID"))

@@ -34,6 +34,7 @@ def test_drift_json(spark):
         3: [rec(i, terms={"insuranceTerm": f"{i}년"}, n=str(i), codes={"2": {"z": 1}}, extra=None) for i in range(5)] * 2,
         4: [rec(i, terms={"insuranceTerm": "y" * 100_000}, n=str(i), flag=True) for i in range(5)],
     })
+    rows += [(99, None, 1, None, None, '{"a": 1}', "", 1), (98, "a_result", None, None, None, '{"a": 1}', "", 1)]
     assert report(spark, rows) == {
         ("a_result", 3, "renamed", "terms.insuTerm", "terms.insuranceTerm"), ("a_result", 3, "removed", "terms.renew", ""),
         ("a_result", 3, "retyped", "n", "n"), ("a_result", 4, "added", "", "flag"),
