@@ -46,8 +46,8 @@ PAIRS = (
 )
 SYLLABLES = [chr(c) for c in range(0xAC00, 0xD7A4)]
 KS_SYLLABLES = [s for s in SYLLABLES if len(b := s.encode("cp949")) == 2 and b[0] >= 0xB0 and b[1] >= 0xA1]
-# Further characters of the corpus that several bytes write: Latin letters and signs, punctuation, enclosed numbers, CJK signs, Greek, hanja of the basic set.
-OTHERS = [chr(c) for r in ((0xA0, 0x180), (0x391, 0x3CA), (0x2010, 0x2028), (0x2030, 0x203C), (0x20A9, 0x20AD), (0x2103, 0x2123), (0x2150, 0x2180), (0x2190, 0x21D5), (0x2200, 0x2290), (0x2460, 0x2500), (0x25A0, 0x2670), (0x3000, 0x3020), (0x3131, 0x3164), (0x3200, 0x3400), (0xFF01, 0xFF5F)) for c in range(*r)]
+# Further characters of the corpus that several bytes write: Latin letters and signs, Hangul letters, punctuation, enclosed numbers, CJK signs, Greek, hanja of the basic set.
+OTHERS = [chr(c) for r in ((0xA0, 0x180), (0x391, 0x3CA), (0x1100, 0x1200), (0x2010, 0x2028), (0x2030, 0x203C), (0x20A9, 0x20AD), (0x2103, 0x2123), (0x2150, 0x2180), (0x2190, 0x21D5), (0x2200, 0x2290), (0x2460, 0x2500), (0x25A0, 0x2670), (0x3000, 0x3020), (0x3131, 0x3164), (0x3200, 0x3400), (0xFF01, 0xFF5F)) for c in range(*r)]
 HANJA = [chr(c) for c in range(0x4E00, 0x9FA6)]
 EMOJI = [chr(c) for r in ((0x2600, 0x27C0), (0x1F300, 0x1F650), (0x1F680, 0x1F700), (0x1F900, 0x1FA00), (0xFE00, 0xFE10)) for c in range(*r)]
 CJK = range(0x3400, 0xA000)

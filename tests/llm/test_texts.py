@@ -74,6 +74,8 @@ def test_mojibake_restores():
             for _ in range(pair.times):
                 bad = wrong(bad, pair.written, pair.read)
             assert f.repair("앞 SÃO é. " + bad + " 뒤 Café")[0] == "앞 SÃO é. " + text + " 뒤 Café", pair.name
+    apart = unicodedata.normalize("NFD", KOREAN)
+    assert f.repair(wrong(apart, "utf-8", "cp1252"))[0] == apart and f.repair(apart) == (apart, [])
     for read in ("latin-1", "gbk"):
         assert f.repair("앞. " + wrong(KOREAN, "cp949", read) + " 뒤")[0] == "앞. " + KOREAN + " 뒤"
 
