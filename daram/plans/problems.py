@@ -104,8 +104,24 @@ def p6_ages(spark: SparkSession, d: str) -> DataFrame:
     return nested.contained(pays, ages, ["pay", "node_path"], levels=2).select("rec_id", "pre", "node_path", F.col("p_node_path").alias("entry_path"), F.col("p_pay").alias("pay"), "sex", F.col("from").alias("age_from"), F.col("to").alias("age_to"))
 
 
+def p6_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of code lists in either shape, with the branch whose interval contains them; a bare text is the name."""
+    tree = _tree(spark, d)
+    named = nested.flat(tree, r".*codes(?:\.\*|\[\])", {"code": "string", "name": "string"}).select("rec_id", "pre", F.col("code").alias("own_code"), "name")
+    entries = tree.filter(F.col("is_node") & F.col("shape").rlike(r"codes(\.\*|\[\])$")).select("rec_id", "pre", "post", "depth", "node_path", "kind", "node_key", "value")
+    branches = tree.filter("is_node AND depth = 1").select("rec_id", "pre", "post", "depth", F.col("node_key").alias("branch"))
+    held = nested.contained(branches, entries, ["branch"])
+    code = F.coalesce("own_code", F.when(~F.col("node_key").startswith("["), F.col("node_key")))
+    return held.join(named, ["rec_id", "pre"], "left").select("rec_id", "pre", "post", "node_path", F.col("p_branch").alias("branch"), "kind", code.alias("code"), F.coalesce("name", "value").alias("name"))
+
+
+def p6_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of each branch as one flat row."""
+    return nested.flat(_tree(spark, d), r"(?:python|ocr|best)\.terms", {"insuTerm": "string", "payTerm": "string", "renew": "string", "specialNotes": "string"}).select("rec_id", "node_path", F.col("parent_path").alias("branch"), "insuTerm", "payTerm", "renew", "specialNotes")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p4_found, p4_report, p5_found, p5_values, p6_found, p6_riders, p6_variants, p6_attempts, p6_ages)}
+    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p4_found, p4_report, p5_found, p5_values, p6_found, p6_entries, p6_terms, p6_riders, p6_variants, p6_attempts, p6_ages)}
 
 
 _REFS = """
@@ -126,6 +142,8 @@ judged AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_terms": " UNION ALL ".join(f"""SELECT rec_id, '{b}.terms' AS node_path, '{b}' AS branch, json_extract_string(t, '$.insuTerm') AS "insuTerm", json_extract_string(t, '$.payTerm') AS "payTerm", json_extract_string(t, '$.renew') AS renew, json_extract_string(t, '$.specialNotes') AS "specialNotes"
+            FROM (SELECT rec_id, json_extract(payload, '$.{b}.terms') AS t FROM hybrid_result) WHERE json_type(t) = 'OBJECT'""" for b in ("python", "ocr", "best")),
         "p6_found": """WITH t AS (SELECT rec_id, j.type AS kind, replace(j.fullkey, '"', '') AS f, replace(j.path, '"', '') AS up FROM (SELECT * FROM hybrid_result WHERE payload IS NOT NULL), json_tree(payload) j)
             SELECT rec_id, substr(f, 3) AS node_path, coalesce(nullif(substr(regexp_replace(f, '\\.[^.]*$', ''), 3), ''), '') AS parent_path
             FROM t WHERE f <> '$' AND (kind = 'OBJECT' OR (regexp_matches(up, '[.]codes$') AND NOT regexp_matches(f, '\\]$')))""",
