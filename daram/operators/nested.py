@@ -83,10 +83,11 @@ def enclosing(labels: list[list]) -> list[int]:
     return out
 
 
-def walk(batches):
+def walk(batches, only_nodes: bool = False):
+    """Arrow batches (rec_id, payload) to labelled values; ``only_nodes`` leaves out values that are no nodes."""
     doc = 0
     for batch in batches:
-        cols: list[list] = [[] for _ in _NODE]
+        rows: list[tuple] = []
         for rec, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             doc += 1
             if payload is None:
@@ -96,20 +97,20 @@ def walk(batches):
                 if not isinstance(record, dict):
                     raise ValueError("no object")
             except (ValueError, RecursionError) as e:
-                for c, v in zip(cols, (rec, doc, -1, -1, 0, "error", "", "", None, "", False, f"{type(e).__name__}: {e}"[:200], "")):
-                    c.append(v)
+                rows.append((rec, doc, -1, -1, 0, "error", "", "", None, "", False, f"{type(e).__name__}: {e}"[:200], ""))
                 continue
             labels = label(record)
             for (pre, post, depth, kind, key, path, node, value, shape), up in zip(labels, enclosing(labels)):
-                for c, v in zip(cols, (rec, doc, pre, post, depth, kind, key, path, labels[up][0] if up >= 0 else None, labels[up][5] if up >= 0 else "", node, value, shape)):
-                    c.append(v)
+                if node or not only_nodes:
+                    rows.append((rec, doc, pre, post, depth, kind, key, path, labels[up][0] if up >= 0 else None, labels[up][5] if up >= 0 else "", node, value, shape))
+        cols = zip(*rows) if rows else [()] * len(_NODE)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODE)], schema=_NODE)
 
 
-def nodes(records: DataFrame) -> DataFrame:
-    """(rec_id, payload) to one row per JSON value with interval labels and its nearest enclosing object."""
+def nodes(records: DataFrame, only_nodes: bool = False) -> DataFrame:
+    """(rec_id, payload) to one row per JSON value (or node) with interval labels and its nearest enclosing object."""
     ship(records.sparkSession)
-    return records.select(F.col("rec_id").cast("bigint").alias("rec_id"), "payload").mapInArrow(walk, NODE).filter(F.col("kind") != "error")
+    return records.select(F.col("rec_id").cast("bigint").alias("rec_id"), "payload").mapInArrow(lambda batches: walk(batches, only_nodes), NODE).filter(F.col("kind") != "error")
 
 
 def errors(records: DataFrame) -> DataFrame:

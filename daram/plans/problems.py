@@ -73,7 +73,7 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).filter("is_node").select("rec_id", "node_path", "parent_path")
+    return nested.nodes(read(spark, d, "hybrid_result"), only_nodes=True).select("rec_id", "node_path", "parent_path")
 
 
 def p6_riders(spark: SparkSession, d: str) -> DataFrame:
