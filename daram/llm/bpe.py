@@ -143,7 +143,14 @@ class Encoder:
     def __init__(self, vocabulary: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.automaton = _Automaton()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """The cache: a number for every piece, and the ids of all numbered pieces one behind the other."""
+        self.number: dict[str, int] = {}
+        self.fresh: list[tuple[int, ...]] = []
+        self.lengths = np.zeros(0, np.int64)
+        self.tokens = np.zeros(0, np.int32)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Pair merging of one piece, lowest rank first, leftmost of equals."""
@@ -188,16 +195,21 @@ class Encoder:
             i = end[i]
         return tuple(out)
 
-    def ids(self, piece: str) -> tuple[int, ...]:
-        found = self.merge(piece.encode("utf-8"))
-        if len(piece) <= LONG_PIECE:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[piece] = found
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, tokens per piece, start of each piece within its text, pieces per text)."""
+    def _add(self, piece: str) -> int:
+        self.fresh.append(self.merge(piece.encode("utf-8")))
+        self.number[piece] = n = len(self.number)
+        return n
+
+    def _pieces(self, joined: str, codes: np.ndarray, starts: np.ndarray) -> list[str]:
+        """The text cut before every start: a sign that doesn't occur is put there, then the text is split at it."""
+        sign = next(c for c in range(0x10FFFF, 0xE000, -1) if chr(c) not in joined)
+        marked = np.insert(codes, starts, np.uint32(sign))
+        return marked.tobytes().decode("utf-32-le").split(chr(sign))[1:]
+
+    def encode(self, texts: list[str], ids: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, or None unless wanted; tokens per piece; start of each piece within its text; pieces per text)."""
+        if len(self.number) >= CACHE or len(self.tokens) >= 8 * CACHE:
+            self._clear()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes + 1) - 1
         joined = "\0".join(texts) + "\0"
@@ -205,12 +217,19 @@ class Encoder:
         starts = np.flatnonzero(self.automaton.piece_starts(codes, ends))
         text_of = np.searchsorted(ends, starts, "left")
         inside = starts != ends[text_of]
-        stops = np.append(starts[1:], len(codes))[inside]
+        pieces = itertools.compress(self._pieces(joined, codes, starts), inside.tolist())
         starts, text_of = starts[inside], text_of[inside]
-        get, make = self.cache.get, self.ids
-        found = [get(p) or make(p) for p in map(joined.__getitem__, map(slice, starts.tolist(), stops.tolist()))]
-        per_piece = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(per_piece.sum()))
+        get, add = self.number.get, self._add
+        numbers = np.fromiter([n if (n := get(p)) is not None else add(p) for p in pieces], np.int64, len(starts))
+        if self.fresh:
+            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))])
+            self.tokens = np.concatenate([self.tokens, np.fromiter(itertools.chain.from_iterable(self.fresh), np.int32)])
+            self.fresh = []
+        per_piece = self.lengths[numbers]
+        flat = None
+        if ids:  # places in the table of ids: where a piece begins there, less where it begins here, plus the place here
+            shift = (np.cumsum(self.lengths) - self.lengths)[numbers] - (np.cumsum(per_piece) - per_piece)
+            flat = self.tokens[np.repeat(shift, per_piece) + np.arange(per_piece.sum())]
         return flat, per_piece, (starts - (ends - sizes)[text_of]).astype(np.int32), np.bincount(text_of, minlength=len(texts))
 
 
@@ -285,7 +304,7 @@ def count_tokens(rows: DataFrame, key: str, text: str, path: str = VOCABULARY) -
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _chunks(texts):
-                _, per_piece, _, pieces = encoder.encode([t or "" for t in texts[a:b]])
+                _, per_piece, _, pieces = encoder.encode([t or "" for t in texts[a:b]], ids=False)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(_per_text(per_piece, pieces), pa.int64())], names=[key, "n_tokens"])
 
     return rows.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text")).mapInArrow(run, f"{key} bigint, n_tokens bigint")
