@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daram.operators import drift, nested, orphans, packed, unify
-from daram.session import read
+from daram.session import read, store
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,11 +97,22 @@ def p6_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ages(spark: SparkSession, d: str) -> DataFrame:
-    """Age ranges given as lists, each with the payment term of the entry that holds it."""
-    tree = _tree(spark, d)
-    ages = nested.flat(tree, r".*\.ageRange\[\]\.ages\[\]", {"sex": "string", "from": "int", "to": "int"})
-    pays = nested.flat(tree, r".*\.ageRange\[\]", {"pay": "string"})
-    return nested.contained(pays, ages, ["pay", "node_path"], levels=2).select("rec_id", "pre", "node_path", F.col("p_node_path").alias("entry_path"), F.col("p_pay").alias("pay"), "sex", F.col("from").alias("age_from"), F.col("to").alias("age_to"))
+    """Age ranges in their three shapes (``form``): lists, objects of payment terms and sexes, and whole texts, which are kept as they are. Each has the entry that holds it: that of the list, the payment term's object, or the terms.
+
+    ``text`` is the value of an object or a text; one of an object that isn't two numbers with ~ between has no ``age_from`` and ``age_to``.
+    """
+    tree = store(_tree(spark, d).filter(F.col("shape").contains("ageRange")))
+    listed = nested.flat(tree, r".*\.ageRange\[\]\.ages\[\]", {"sex": "string", "from": "int", "to": "int"})
+    entries = nested.flat(tree, r".*\.ageRange\[\]", {"pay": "string"})
+    lists = nested.contained(entries, listed, ["pay", "node_path"], levels=2).select("rec_id", "pre", "node_path", F.col("p_node_path").alias("entry_path"), F.lit("list").alias("form"), F.col("p_pay").alias("pay"), "sex", F.col("from").alias("age_from"), F.col("to").alias("age_to"), F.lit(None).cast("string").alias("text"))
+    ranges = tree.filter(F.col("shape").rlike(r"\.ageRange$") & (F.col("kind") == "object"))
+    pays = nested.contained(ranges, tree.filter("kind = 'object'"), [], levels=1)
+    sexes = nested.contained(pays, tree.filter("value IS NOT NULL"), ["node_key", "node_path"], levels=1)
+    number = lambda i: F.regexp_extract("value", r"^\D*(\d+)\D*~\D*(\d+)\D*$", i).try_cast("int")
+    objects = sexes.select("rec_id", "pre", "node_path", F.col("p_node_path").alias("entry_path"), F.lit("object").alias("form"), F.col("p_node_key").alias("pay"), F.col("node_key").alias("sex"), number(1).alias("age_from"), number(2).alias("age_to"), F.col("value").alias("text"))
+    nothing = F.lit(None)
+    texts = tree.filter(F.col("shape").rlike(r"\.ageRange$") & (F.col("kind") == "string")).select("rec_id", "pre", "node_path", F.col("parent_path").alias("entry_path"), F.lit("text").alias("form"), nothing.cast("string").alias("pay"), nothing.cast("string").alias("sex"), nothing.cast("int").alias("age_from"), nothing.cast("int").alias("age_to"), F.col("value").alias("text"))
+    return lists.unionByName(objects).unionByName(texts)
 
 
 def p6_entries(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from daram.operators import drift, nested, orphans, unify
 from daram.operators.packed import bare_edges, split_values, unpack
+from daram.plans import problems
 
 LINES = "raw_id bigint, feed string, run_no int, file_name string, line_no int, payload string, value string, ix int"
 
@@ -177,3 +178,24 @@ def test_labels(value):
     ups = nested.enclosing(labels)
     got = sorted((x[5], labels[u][5] if u >= 0 else "") for x, u in zip(labels, ups) if x[6])
     assert got == sorted(brute(record))
+
+
+def hybrid(spark, tmp_path, payloads):
+    """A folder with these payloads, numbered from 1, as hybrid_result."""
+    spark.createDataFrame(list(enumerate(payloads, 1)), "rec_id bigint, payload string").write.parquet(f"{tmp_path}/hybrid_result.parquet")
+    return str(tmp_path)
+
+
+def test_ages_of_all_shapes(spark, tmp_path):
+    terms = lambda x: {"terms": {"payTerm": "p", "ageRange": x}}
+    d = hybrid(spark, tmp_path, [
+        json.dumps({"python": terms([{"pay": "7년납", "ages": [{"sex": "남", "from": 15, "to": 70}]}]), "ocr": terms({"5년납": {"남": "5~80", "여": "만 5세~83"}, "5.5년납": {"남": "?", "여": None}})}),
+        json.dumps({"best": terms("5년납(남:15~70)"), "ocr": terms(""), "python": terms(None), "analysis": {"terms": {"ageRange": True}}}), None, "{}",
+    ])
+    got = [tuple(r)[:1] + tuple(r)[2:] for r in problems.p6_ages(spark, d).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, "python.terms.ageRange[0].ages[0]", "python.terms.ageRange[0]", "list", "7년납", "남", 15, 70, None),
+        (1, "ocr.terms.ageRange.5년납.남", "ocr.terms.ageRange.5년납", "object", "5년납", "남", 5, 80, "5~80"), (1, "ocr.terms.ageRange.5년납.여", "ocr.terms.ageRange.5년납", "object", "5년납", "여", 5, 83, "만 5세~83"),
+        (1, "ocr.terms.ageRange.5.5년납.남", "ocr.terms.ageRange.5.5년납", "object", "5.5년납", "남", None, None, "?"),
+        (2, "best.terms.ageRange", "best.terms", "text", None, None, None, None, "5년납(남:15~70)"), (2, "ocr.terms.ageRange", "ocr.terms", "text", None, None, None, None, ""),
+    ], key=str)
