@@ -5,7 +5,8 @@ precomputed. One multi-pattern automaton (Aho-Corasick) holds them all; it is ru
 texts, leftmost and longest first. Matches close to each other are a passage of their pair; a passage counts once its
 evidence suffices, and only its matched spans are replaced, so that correct text beside it stays untouched.
 
-Pairs that lose bytes (replacement characters, dropped bytes) can't be undone: their passages are found and kept.
+Pairs that lose bytes (replacement characters, dropped bytes) can't be undone as a whole: their passages are found and kept. In UTF-8 read as
+cp949, ``restore`` gives back the runs in which every byte of whole characters is left; what stands beside lost bytes is kept.
 
 Defined results: null gives null and no passage; empty and blank texts are sound; a text without passages comes back
 as it is; texts are run over whole, whatever their length; repeated rows give equal results.
@@ -51,6 +52,8 @@ OTHERS = [chr(c) for r in ((0xA0, 0x180), (0x391, 0x3CA), (0x1100, 0x1200), (0x2
 HANJA = [chr(c) for c in range(0x4E00, 0x9FA6)]
 EMOJI = [chr(c) for r in ((0x2600, 0x27C0), (0x1F300, 0x1F650), (0x1F680, 0x1F700), (0x1F900, 0x1FA00), (0xFE00, 0xFE10)) for c in range(*r)]
 CJK = range(0x3400, 0xA000)
+UNBROKEN = re.compile("[^\x00-\x7f\ufffd]+")
+LOST = re.compile("\ufffd+")
 
 
 def _read(data: bytes, encoding: str) -> str | None:
@@ -186,9 +189,11 @@ class Finder:
                 kept.append(p)
         return sorted(kept, key=lambda p: p[1])
 
-    def repair(self, text: str) -> tuple[str, list]:
-        """(text with the spans of restorable passages replaced, its passages). Passages within restored ones are looked for again once."""
+    def repair(self, text: str, partly: bool = False) -> tuple[str, list]:
+        """(text with the spans of restorable passages replaced, its passages). ``partly`` also replaces the whole characters left in UTF-8 read as cp949."""
         passages = self.passages(text)
+        if partly:
+            passages = [(*p[:3], _left_whole(text, p)) if p[0] == NAMES[LOSSY_CP949] else p for p in passages]
         spans = sorted(s for p in passages for s in p[3] if s[2] is not None)
         out, at = [], 0
         for a, b, original in spans:
@@ -199,6 +204,59 @@ class Finder:
         return "".join((*out, text[at:])), passages
 
 
+def _left_whole(text: str, passage: tuple) -> list:
+    """Spans of a passage of UTF-8 read as cp949: runs whose bytes are whole characters with their original, all else that was garbled with none."""
+    _, start, end, run = passage
+    while start and not text[start - 1].isascii():
+        start -= 1
+    while end < len(text) and not text[end].isascii():
+        end += 1
+    spans = []
+    for m in UNBROKEN.finditer(text, start, end):
+        i = m.start()
+        while i < m.end():
+            if original := _decoded(text, i, m.end()):
+                spans.append((i, *original))
+                i = original[0]
+            else:
+                i += 1
+    covered = {i for a, b, _ in spans for i in range(a, b)}
+    broken = [*((a, b) for a, b, _ in run if not covered.issuperset(range(a, b))), *(m.span() for m in LOST.finditer(text, start, end))]
+    return sorted([*spans, *((a, b, None) for a, b in dict.fromkeys(broken))], key=lambda s: s[:2])
+
+
+def _decoded(text: str, start: int, end: int) -> tuple[int, str] | None:
+    """(end, original) of the longest run from here whose cp949 bytes are whole UTF-8 characters, a syllable among them."""
+    data, best = bytearray(), None
+    need = 0  # bytes that the last character still lacks
+    for i in range(start, end):
+        try:
+            pair = text[i].encode("cp949")
+        except UnicodeEncodeError:
+            break
+        for x in pair:
+            if need:
+                if not 0x80 <= x < 0xC0:
+                    need = -1
+                    break
+                need -= 1
+            elif x >= 0x80:
+                need = 1 if 0xC2 <= x < 0xE0 else 2 if 0xE0 <= x < 0xF0 else 3 if 0xF0 <= x < 0xF5 else -1
+                if need < 0:
+                    break
+        if need < 0:
+            break
+        data += pair
+        if not need:
+            try:
+                original = data.decode("utf-8")
+            except UnicodeDecodeError:
+                break
+            if any("가" <= c <= "힣" for c in original):
+                best = i + 1, original
+    return best
+
+
 def _whole_words(text: str, run: list, least: int) -> list:
     """Matches that fill a whole run of at least so many hanja."""
     keep: list = []
@@ -225,7 +283,7 @@ def _run(batches):
     for batch in batches:
         cols: list[list] = [[] for _ in SCHEMA]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            fixed, passages = _finder[0].repair(text) if text else (text, [])
+            fixed, passages = _finder[0].repair(text, partly=True) if text else (text, [])
             pairs = sorted({p[0] for p in passages})
             whole = all(s[2] is not None for p in passages for s in p[3])
             for c, v in zip(cols, (doc, bool(passages), bool(passages) and whole, pairs, len(passages), fixed)):

@@ -96,3 +96,12 @@ def test_mojibake_rows(spark):
     assert sorted((r.doc_id, r.is_garbled) for r in got) == [(1, False), (2, True), (2, True), (3, False), (4, False), (5, True)]
     assert {r.doc_id: r.restored for r in got}[2] == KOREAN and {r.doc_id: r.restored for r in got}[5] == KOREAN * 5_001 and {r.doc_id: r.restored for r in got}[3] is None
     assert M.restore(df.limit(0)).count() == 0
+
+
+def test_mojibake_left_whole(spark):
+    read = lambda text: text.encode().decode("cp949", "replace")
+    rows = [(1, "앞 " + read("보험 계약 방법") + " 뒤"), (2, read("보험의 계약은 방법")), (3, "保險契約者의 告知義務, 계약 방법")]
+    got = {r.doc_id: r for r in M.restore(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].restored == "앞 보험 계약 방법 뒤" and got[1].restorable and got[1].pairs == ["utf8_cp949"]
+    assert got[2].restored == rows[1][1].replace(read("보험"), "보험").replace(read("계약"), "계약").replace(read("방법"), "방법") and not got[2].restorable
+    assert got[3].restored == rows[2][1] and not got[3].is_garbled
