@@ -96,6 +96,30 @@ def p6_attempts(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat(_tree(spark, d), r"attempts\[\]", {"no": "int", "method": "string"}).select("rec_id", "pre", "post", "node_path", "parent_path", "no", "method")
 
 
+def p6_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Errors with the attempt whose interval contains them."""
+    tree = _tree(spark, d)
+    errors = nested.flat(tree, r"attempts\[\]\.errors\[\]", {"page": "string", "msg": "string"})
+    attempts = tree.filter(F.col("is_node") & (F.col("shape") == "attempts[]"))
+    return nested.contained(attempts, errors, ["pre", "node_path"], levels=2).select("rec_id", "pre", "post", "node_path", F.col("p_pre").alias("attempt_pre"), F.col("p_node_path").alias("attempt_path"), F.col("page").try_cast("int").alias("page"), "msg")
+
+
+def p6_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of code entries, one row each with its position, from 1, and the entry that holds it."""
+    pages = _tree(spark, d).filter(F.col("shape").rlike(r"codes(\.\*|\[\])\.pages(\[\])?$") & F.col("value").isNotNull())
+    pos = F.coalesce(F.regexp_extract("node_key", r"^\[(\d+)\]$", 1).try_cast("int") + 1, F.lit(1))
+    return pages.select("rec_id", "pre", "node_path", F.col("parent_pre").alias("entry_pre"), F.col("parent_path").alias("entry_path"), pos.alias("pos"), F.col("value").try_cast("int").alias("page"))
+
+
+def p6_branches(spark: SparkSession, d: str) -> DataFrame:
+    """Branches of each record with what they say of themselves; the flags of terms are those of the analysis."""
+    tree = _tree(spark, d)
+    branches = nested.flat(tree, r"[^.\[\]]+", {"success": "boolean", "method": "string", "insuCd": "string", "codes_count": "bigint"})
+    flags = ("insuTerm", "payTerm", "ageRange", "renew")
+    terms = nested.flat(tree, r"analysis\.terms", dict.fromkeys(flags, "boolean")).select("rec_id", F.col("parent_pre").alias("pre"), *(F.col(c).alias(f"has_{c}") for c in flags))
+    return branches.join(terms, ["rec_id", "pre"], "left").select("rec_id", "pre", "post", F.col("node_path").alias("branch"), "success", "method", "insuCd", "codes_count", *(f"has_{c}" for c in flags))
+
+
 def p6_ages(spark: SparkSession, d: str) -> DataFrame:
     """Age ranges in their three shapes (``form``): lists, objects of payment terms and sexes, and whole texts, which are kept as they are. Each has the entry that holds it: that of the list, the payment term's object, or the terms.
 
@@ -132,7 +156,7 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p4_found, p4_report, p5_found, p5_values, p6_found, p6_entries, p6_terms, p6_riders, p6_variants, p6_attempts, p6_ages)}
+    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p4_found, p4_report, p5_found, p5_values, p6_found, p6_entries, p6_terms, p6_riders, p6_variants, p6_attempts, p6_errors, p6_pages, p6_branches, p6_ages)}
 
 
 _REFS = """

@@ -199,3 +199,17 @@ def test_ages_of_all_shapes(spark, tmp_path):
         (1, "ocr.terms.ageRange.5.5년납.남", "ocr.terms.ageRange.5.5년납", "object", "5.5년납", "남", None, None, "?"),
         (2, "best.terms.ageRange", "best.terms", "text", None, None, None, None, "5년납(남:15~70)"), (2, "ocr.terms.ageRange", "ocr.terms", "text", None, None, None, None, ""),
     ], key=str)
+
+
+def test_errors_pages_and_branches(spark, tmp_path):
+    d = hybrid(spark, tmp_path, [json.dumps({
+        "attempts": [{"no": 1, "method": "ocr", "errors": []}, {"no": 2, "errors": [{"page": 3, "msg": "m"}, {"page": None, "msg": "k"}]}],
+        "python": {"success": True, "method": "ocr", "codes": {"10": {"name": "a", "pages": [4, 9]}, "11": "b"}}, "ocr": {"success": False, "codes": [{"code": "12", "pages": [7]}]}, "best": None,
+        "analysis": {"insuCd": "5", "terms": {"insuTerm": False, "payTerm": True}, "codes_count": 88},
+    }), None, "{}"])
+    got = lambda name, *c: sorted((tuple(r) for r in problems.queries()[name](spark, d).select(*c).collect()), key=str)
+    assert got("p6_errors", "attempt_path", "node_path", "page", "msg") == [("attempts[1]", "attempts[1].errors[0]", 3, "m"), ("attempts[1]", "attempts[1].errors[1]", None, "k")]
+    assert got("p6_pages", "entry_path", "pos", "page") == [("ocr.codes[0]", 1, 7), ("python.codes.10", 1, 4), ("python.codes.10", 2, 9)]
+    assert got("p6_branches", "branch", "success", "method", "insuCd", "codes_count", "has_insuTerm", "has_payTerm", "has_renew") == [
+        ("analysis", None, None, "5", 88, False, True, None), ("ocr", False, None, None, None, None, None, None), ("python", True, "ocr", None, None, None, None, None),
+    ]
