@@ -167,6 +167,27 @@ def few_shot_select(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "parse_result").select("parse_id", "insu_cd").join(chosen, "insu_cd").select("parse_id", "example_id")
 
 
+@query("""WITH a AS (SELECT DISTINCT insu_cd, example_id, md5('7:' || example_id) AS h FROM few_shot_example WHERE is_active),
+    m AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(trim(code, ' '), '^([0-9]) ([0-9]) ([0-9]) ([0-9]) ([0-9])$', '\\1\\2\\3\\4\\5'), '^([0-9]{3}) ([0-9]{2})$', '\\1\\2'), '^([0-9]{2}) ([0-9]{3})$', '\\1\\2') AS code FROM uw_code_mapping WHERE product_group = '주계약' OR class_tag = 'MAIN'),
+    own AS (SELECT insu_cd, example_id FROM a WHERE insu_cd IS NOT NULL QUALIFY row_number() OVER (PARTITION BY insu_cd ORDER BY h, example_id) <= 3),
+    pool AS (SELECT DISTINCT 2 AS tier, example_id, h FROM a WHERE insu_cd IN (SELECT code FROM m) UNION ALL SELECT DISTINCT 3, example_id, h FROM a),
+    spare AS (SELECT tier, example_id FROM pool WHERE tier = (SELECT min(tier) FROM pool) QUALIFY row_number() OVER (ORDER BY h, example_id) <= 3)
+    SELECT parse_id, example_id, 1 AS tier FROM parse_result p JOIN own ON own.insu_cd = p.insu_cd
+    UNION ALL SELECT parse_id, example_id, tier FROM parse_result p, spare WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.insu_cd = p.insu_cd)""")
+def few_shot_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Examples of every record: three of its own code (tier 1), else three of main contracts (2), else, where there are none, any three (3), by hash order."""
+    active = read(spark, d, "few_shot_example").filter("is_active").select("insu_cd", "example_id").distinct()
+    order = [F.md5(F.concat(F.lit("7:"), F.col("example_id").cast("string"))), F.col("example_id")]
+    own = R.top_per_key(active.filter("insu_cd IS NOT NULL"), ["insu_cd"], order, 3)
+    main = read(spark, d, "uw_code_mapping").filter("product_group = '주계약' OR class_tag = 'MAIN'").select(terms.join_code(F.trim("code")).alias("insu_cd")).distinct()
+    first = lambda df, tier: df.select("example_id").distinct().orderBy(*order).limit(3).withColumn("tier", F.lit(tier))
+    pool = first(active.join(main, "insu_cd", "left_semi"), 2).unionByName(first(active, 3))
+    spare = pool.join(F.broadcast(pool.agg(F.min("tier").alias("tier"))), "tier")
+    records = read(spark, d, "parse_result").select("parse_id", "insu_cd")
+    without = records.join(own.select("insu_cd").distinct(), "insu_cd", "left_anti").crossJoin(F.broadcast(spare))
+    return records.join(own, "insu_cd").select("parse_id", "example_id", F.lit(1).alias("tier")).unionByName(without.select("parse_id", "example_id", "tier"))
+
+
 @query("""SELECT doc_id, nullif(regexp_extract(text, '(?s)보험기간은\\s*(.*?)\\s*이며', 1), '') AS term FROM documents WHERE text IS NOT NULL""")
 def section_between(spark: SparkSession, d: str) -> DataFrame:
     """Text between two marks, both needed."""

@@ -62,3 +62,16 @@ def test_blank(spark):
     values = [None, "", " \t", "　 ", "-", " — ", "--", "a", "0"]
     df = spark.createDataFrame([(v,) for v in values], "x string").select(text.is_blank(F.col("x")).alias("y"))
     assert [r.y for r in df.collect()] == [True] * 6 + [False] * 3
+
+
+def test_few_shot_tiers(spark, tmp_path):
+    from daram.plans import text
+
+    put = lambda name, rows, ddl: spark.createDataFrame(rows, ddl).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    got = lambda: sorted((r.parse_id, r.example_id, r.tier) for r in text.few_shot_tiers(spark, str(tmp_path)).collect())
+    put("few_shot_example", [("10000", 1, True), ("10000", 1, True), ("20000", 2, True), ("30000", 3, False)], "insu_cd string, example_id bigint, is_active boolean")
+    put("parse_result", [(1, "10000"), (2, "30000"), (3, None)], "parse_id bigint, insu_cd string")
+    put("uw_code_mapping", [("2 0 0 0 0", "주계약", None), (None, "주계약", None), ("10000", "선택특약", "X")], "code string, product_group string, class_tag string")
+    assert got() == [(1, 1, 1), (2, 2, 2), (3, 2, 2)]
+    put("uw_code_mapping", [("30000", None, "MAIN")], "code string, product_group string, class_tag string")
+    assert got() == [(1, 1, 1), (2, 1, 3), (2, 2, 3), (3, 1, 3), (3, 2, 3)]
