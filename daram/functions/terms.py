@@ -35,6 +35,16 @@ def insurance_terms(c: Column) -> Column:
     return unique_list(c, r"(종신|\d+[세년]만기)")
 
 
+def all_pay_terms(c: Column) -> Column:
+    """Payment terms of every form, without blanks: those of ``pay_terms``, n회납, 월납, 연납, and numbers set apart (10 년 납)."""
+    return F.array_distinct(F.transform(unique_list(c, r"(\d+ *[년세회] *납|전기납|일시납|월납|연납)"), lambda x: F.regexp_replace(x, " ", "")))
+
+
+def all_insurance_terms(c: Column) -> Column:
+    """Insurance terms of every form, without blanks: those of ``insurance_terms``, 평생, n세까지, n세종료, and numbers set apart (10 년 만기)."""
+    return F.array_distinct(F.transform(unique_list(c, r"(종신|평생|\d+ *[세년] *만기|\d+ *세 *(?:까지|종료))"), lambda x: F.regexp_replace(x, " ", "")))
+
+
 def age_ranges(c: Column) -> Column:
     """Ranges such as 15~80 with or without 만 and 세, in plain numbers."""
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(만? ?\d+세? ?~ ?만? ?\d+세?)"), F.lit(1)), lambda x: F.regexp_replace(x, "[만세 ]", "")))

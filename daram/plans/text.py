@@ -36,6 +36,17 @@ def terms_extract(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.lit(False).alias("none"), F.size(pay).cast("bigint").alias("n_pay"), F.size(terms.insurance_terms(t)).cast("bigint").alias("n_term"), F.array_join(F.array_sort(pay), ",").alias("pay"), terms.renewal(t, "비갱신형").alias("renew"))
 
 
+@query("""WITH l AS (SELECT doc_id, text, coalesce(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+ *[년세회] *납|전기납|일시납|월납|연납'), lambda x: replace(x, ' ', ''))), []) AS pay,
+        coalesce(list_distinct(list_transform(regexp_extract_all(text, '종신|평생|[0-9]+ *[세년] *만기|[0-9]+ *세 *(?:까지|종료)'), lambda x: replace(x, ' ', ''))), []) AS insu,
+        coalesce(list_distinct(list_transform(regexp_extract_all(text, '만? ?[0-9]+세? ?~ ?만? ?[0-9]+세?'), lambda x: regexp_replace(x, '[만세 ]', '', 'g'))), []) AS ages FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, coalesce(array_to_string(list_sort(pay), ','), '') AS pay, coalesce(array_to_string(list_sort(insu), ','), '') AS insu, coalesce(array_to_string(list_sort(ages), ','), '') AS ages FROM l""")
+def terms_all_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Payment terms, insurance terms and age ranges of a document in every form of the survey."""
+    t = F.col("text")
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", joined(terms.all_pay_terms(t)).alias("pay"), joined(terms.all_insurance_terms(t)).alias("insu"), joined(terms.age_ranges(t)).alias("ages"))
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), chr(10))) AS line, unnest(range(len(string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
     h AS (SELECT *, nullif(regexp_extract(line, '^\\[([^\\]]+)\\]', 1), '') AS head FROM l),
     s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM h)

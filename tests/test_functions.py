@@ -75,3 +75,15 @@ def test_few_shot_tiers(spark, tmp_path):
     assert got() == [(1, 1, 1), (2, 2, 2), (3, 2, 2)]
     put("uw_code_mapping", [("30000", None, "MAIN")], "code string, product_group string, class_tag string")
     assert got() == [(1, 1, 1), (2, 1, 3), (2, 2, 3), (3, 1, 3), (3, 2, 3)]
+
+
+def test_terms_all_forms(spark, tmp_path):
+    from daram.plans import text
+
+    rows = [(1, "월납 연납 12회납 10 년 납 10년납 60세납 전기납 일시납; 평생 종신 80세까지 90세 종료 10 년 만기 100세만기; 만 15세 ~ 80세 15~80 0~70"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in text.terms_all_forms(spark, str(tmp_path)).collect()}
+    split = lambda x: set(x.split(","))
+    assert split(got[1].pay) == {"월납", "연납", "12회납", "10년납", "60세납", "전기납", "일시납"}
+    assert split(got[1].insu) == {"평생", "종신", "80세까지", "90세종료", "10년만기", "100세만기"} and split(got[1].ages) == {"15~80", "0~70"}
+    assert (got[2].pay, got[2].insu, got[2].ages) == ("", "", "") and len(got) == 2
