@@ -4,6 +4,7 @@ import csv
 import datetime as dt
 import io
 import json
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,6 +122,26 @@ def test_packed():
     assert len(split_values("(" * 50_000)[0]) == 1
 
 
+def test_packed_in_proportion():
+    """Every pattern of brackets, quotes and blanks, at doubled sizes: no text takes more than in proportion, and 100,000 open lists take under 2 s."""
+    for pattern in ("[a, ", "[“a, ", "“a, ", '"a, ', "[[,", "[(, ", '["a"x, ', '" ', "[ ] ", "[a], ", "(a", "a  ", "[“a,”x", "및 ", "[a] x ", "[a;] b"):
+        took = []
+        for n in (25_000, 100_000):
+            began = time.process_time()
+            split_values(pattern * n, True)
+            took.append(time.process_time() - began)
+        assert took[1] < max(2, 8 * took[0]), (pattern, took)
+    for text in ("a" + " " * 400_000 + "b", "“a, " * 50_000 + "”" + " " * 50_000 + "x", "[“a, " * 50_000 + "” ]x"):
+        began = time.process_time()
+        split_values(text, True)
+        assert time.process_time() - began < 2
+
+
+def test_packed_nearest_quote():
+    assert split_values('[ ,","; "및년') == ([",", "및년"], ["empty_value", "open_list", "open_quote"])
+    assert split_values('[[,a년납\n",""')[0] == ["a년납"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text("0123년세납가나 ~:", min_size=1).map(str.strip).filter(lambda x: x and " " not in x), min_size=1, max_size=6), st.sampled_from([", ", ";", "/", " | ", "\n", "，"]), st.sampled_from(["", '"', "'"]))
 def test_packed_round_trip(values, sep, quote):
