@@ -1,15 +1,21 @@
 """Problem 3: text cut off by field limits or on the way.
 
 1. Endings. Every text is split into units (list entries, or words of prose) with numbers as ``0``. How
-   often a unit ends a value and how often it goes on (as the beginning of a longer unit, or followed by
-   another word) is counted over all rows. An ending is incomplete if it is broken (replacement
-   character, ellipsis, open bracket, dangling delimiter) or hardly ever ends a value, and suspicious if a
-   finished sentence is followed by a mere blank.
+   often a unit stops (ends a value or a sentence) and how often it goes on (as the beginning of a longer unit, or followed by
+   another word) is counted over all rows, and so is how often texts stop, or go on, inside a bracket or behind a
+   delimiter. An ending is incomplete if it goes on more often than it stops, or bears a mark of a cut (replacement
+   character, ellipsis); it is suspicious if a finished sentence is followed by a mere blank.
 2. Limits. Per source file the discrete hazard of incomplete or suspicious endings is taken at every length, in
    characters and in bytes, and tested against the hazards of the neighbouring lengths (Chernoff's bound
    of the binomial tail); Benjamini and Hochberg's rule over all tests keeps the false-discovery rate.
-3. Incomplete endings are cases: cut at a limit at a length that is significant for their file (or for the field in
-   other files, while their file has nothing longer), else cut on the way. Suspicious ones are cases only at such a length.
+3. At a length that is significant for its file (or for the field in other files, while its file has nothing longer)
+   every incomplete or suspicious ending is a case.
+4. On the way, at any other length, the length says nothing, so the ending itself is tested: its hazard of stopping must be small (``RARELY_STOPS``) and lie
+   significantly below that of units of neighbouring lengths, under the same rule of false discoveries; a mark of a
+   cut needs no test.
+
+Neither rule knows a least count: rates decide, and the tests say whether the rows suffice. With few rows an ending may be
+a case at a limit only.
 
 Defined results: null, empty and blank texts and lone dashes are no cases; a null source file is a file of
 its own; a row sent twice counts once
@@ -33,9 +39,9 @@ AROUND = "\"'“”‘’[]"
 BROKEN = ("�", "…", "...")
 NEIGHBOURS = 10
 FALSE_DISCOVERIES = 0.01
-RARELY_ENDS = 0.1
-LEAST_SEEN = 5
+RARELY_STOPS = 0.1
 COMMON_ENDINGS = 1_000
+OPEN, DANGLING = "\0open", "\0dangling"  # ways of ending that are counted like units
 KEY = ["field"]
 
 
@@ -61,54 +67,115 @@ def plain(text: Column, kind: Column) -> Column:
     return F.regexp_replace(F.when(kind == "list", entries).otherwise(F.translate(text, *_mapped(prose, INVISIBLE))), "[0-9]+", "0")
 
 
-def vocabulary(rows: DataFrame, once: DataFrame) -> DataFrame:
-    """Of every unit and every beginning of one: how often it ends a value and how often it goes on.
-
-    Counted once per distinct unit before beginnings are taken, and these only of lengths that last units have (a set of
-    numbers per field), so that a very long unit has few.
-    """
+def seen(rows: DataFrame) -> DataFrame:
+    """Every distinct unit: how often it stops, and how often another word follows it."""
     a_list = F.col("kind") == "list"
     bare = rows.select(*KEY, "kind", F.rtrim(plain(F.col("text"), F.col("kind"))).alias("bare"))
     each = bare.select(*KEY, "kind", F.explode(F.split(F.when(a_list, F.col("bare")).otherwise(F.concat("bare", F.lit("."))), F.when(a_list, ",").otherwise(" "))).alias("u"))
-    ends = a_list | F.endswith("u", F.lit("."))
+    stops = a_list | F.endswith("u", F.lit("."))
     unit = F.when(a_list, F.trim("u")).otherwise(F.rtrim("u", F.lit(".")))
-    seen = each.groupBy(*KEY, unit.alias("unit"), ends.alias("ends")).agg(F.count(F.lit(1)).alias("n")).filter(F.length("unit") > 0)
-    seen = seen.groupBy(*KEY, "unit").agg(F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(F.col("ends"), 0).otherwise(F.col("n"))).alias("goes"))
-    sizes = F.broadcast(once.filter(F.col("last").isNotNull()).groupBy(*KEY).agg(F.collect_set(F.length("last")).alias("sizes")))
-    begins = seen.join(sizes, KEY).withColumn("k", F.explode(F.filter("sizes", lambda k: k < F.length("unit")))).select(*KEY, F.substring(F.col("unit"), F.lit(1), F.col("k")).alias("unit"), F.lit(0).cast("bigint").alias("stops"), (F.col("stops") + F.col("goes")).alias("goes"))
-    return seen.unionByName(begins).groupBy(*KEY, "unit").agg(F.sum("stops").alias("stops"), F.sum("goes").alias("goes"))
+    return each.groupBy(*KEY, unit.alias("unit")).agg(F.count(F.when(stops, 1)).alias("stops"), F.count(F.when(~stops, 1)).alias("goes")).filter(F.length("unit") > 0)
+
+
+def longer(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """For each unit asked for how often longer units begin with it: (field, unit, n).
+
+    Units that begin with u are a range of the sorted units, so two marks per unit asked for, and the difference of a running sum
+    between them, count them; each unit is read once, however long. The sort is by the first two characters apart;
+    what is one character long is counted by that character alone.
+    """
+    units = units.select(*KEY, "unit", (F.col("stops") + F.col("goes")).alias("n"))
+    key = F.col("unit").cast("binary")
+    head = F.substring("unit", 1, 2).alias("head")
+    wide = asked.filter(F.length("unit") > 1)
+    none = F.lit(None)
+    marks = wide.select(*KEY, head, key.alias("at"), F.lit(1).alias("place"), F.lit(0).cast("bigint").alias("n"), "unit").unionByName(
+        wide.select(*KEY, head, F.concat(key, F.unhex(F.lit("FF"))).alias("at"), F.lit(2).alias("place"), F.lit(0).cast("bigint").alias("n"), "unit")
+    )
+    line = units.filter(F.length("unit") > 1).select(*KEY, head, key.alias("at"), F.lit(0).alias("place"), "n", none.cast("string").alias("unit")).unionByName(marks)
+    so_far = F.sum("n").over(Window.partitionBy(*KEY, "head").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    of_wide = line.withColumn("so_far", so_far).filter("place > 0").groupBy(*KEY, "unit").agg(F.sum(F.when(F.col("place") == 2, F.col("so_far")).otherwise(-F.col("so_far"))).alias("n"))
+    first = units.filter(F.length("unit") > 1).groupBy(*KEY, F.substring("unit", 1, 1).alias("unit")).agg(F.sum("n").alias("n"))
+    return of_wide.unionByName(asked.filter(F.length("unit") == 1).join(first, [*KEY, "unit"]))
+
+
+def vocabulary(rows: DataFrame, once: DataFrame) -> DataFrame:
+    """Of every last unit: how often it stops and how often it goes on, and the hazard h0 of units of neighbouring lengths (its own occurrences left out)."""
+    units = store(seen(rows))
+    asked = once.filter(F.col("last").isNotNull()).select(*KEY, F.col("last").alias("unit")).distinct()
+    size = F.length("unit").alias("size")
+    words = asked.filter(~F.col("unit").startswith("\0")).join(units, [*KEY, "unit"], "left").join(longer(asked, units).withColumnRenamed("n", "more"), [*KEY, "unit"], "left")
+    own = [F.coalesce(c, F.lit(0)).alias(c) for c in ("stops", "goes", "more")]
+    near = Window.partitionBy(*KEY).orderBy("size").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
+    by_size = units.groupBy(*KEY, size).agg(F.sum("stops").alias("stops"), F.sum(F.col("stops") + F.col("goes")).alias("n"))  # one row per field and length
+    around = by_size.unionByName(asked.select(*KEY, size, F.lit(0).cast("bigint").alias("stops"), F.lit(0).cast("bigint").alias("n")).distinct()).groupBy(*KEY, "size").agg(F.sum("stops").alias("stops"), F.sum("n").alias("n"))
+    around = around.select(*KEY, "size", F.sum("stops").over(near).alias("near_stops"), F.sum("n").over(near).alias("near_n"))
+    h0 = (F.col("near_stops") - F.col("stops") + 0.5) / (F.col("near_n") - F.col("stops") - F.col("goes") + 1.0)
+    of_words = words.select(*KEY, "unit", size, *own).join(around, [*KEY, "size"]).select(*KEY, "unit", "stops", (F.col("goes") + F.col("more")).alias("goes"), h0.alias("h0"))
+    ways = once.groupBy(*KEY).agg(*(F.sum(f"{c}_{w}").alias(f"{c}_{w}") for c in ("stops", "goes") for w in ("open", "dangling")))
+    whole = units.groupBy(*KEY).agg(((F.sum("stops") + 0.5) / (F.sum(F.col("stops") + F.col("goes")) + 1.0)).alias("h0"))
+    way = lambda unit, w: F.struct(F.lit(unit).alias("unit"), F.col(f"stops_{w}").alias("stops"), F.col(f"goes_{w}").alias("goes"))
+    of_ways = ways.join(whole, KEY).select(*KEY, F.explode(F.array(way(OPEN, "open"), way(DANGLING, "dangling"))).alias("w"), "h0").select(*KEY, "w.*", "h0").filter("stops > 0")
+    return of_words.unionByName(of_ways)
+
+
+def discoveries(tested: DataFrame, q: float) -> DataFrame:
+    """Tests whose ``log_p`` Benjamini and Hochberg's rule keeps at rate q. Their order is taken on a histogram of log p, so that no task sorts all tests."""
+    step = F.floor(-F.col("log_p") * 10).cast("int")
+    bins = tested.groupBy(*KEY, step.alias("step")).agg(F.count(F.lit(1)).alias("tests"))
+    down = Window.partitionBy(*KEY).orderBy(F.desc("step"))
+    passed = bins.withColumn("rank", F.sum("tests").over(down)).withColumn("m", F.sum("tests").over(Window.partitionBy(*KEY)))
+    cut = passed.filter(-F.col("step") / 10 <= F.log(F.lit(q) * F.col("rank") / F.col("m"))).groupBy(*KEY).agg(F.min("step").alias("least"))
+    return tested.withColumn("step", step).join(F.broadcast(cut), KEY).filter(F.col("step") >= F.col("least")).drop("step", "least")  # one row per field
+
+
+def _log_p(n: Column, h: Column, h0: Column) -> Column:
+    """Chernoff's bound of the binomial tail beyond h, where h0 is expected."""
+    part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+    return -n * (part(h, h0) + part(1 - h, 1 - h0))
+
+
+def unfinished(words: DataFrame, q: float = FALSE_DISCOVERIES) -> DataFrame:
+    """Last units that go on more often than they stop, and whether that is ``sure``: their hazard is small, and significantly below h0."""
+    n, h = F.col("stops") + F.col("goes"), F.col("stops") / (F.col("stops") + F.col("goes"))
+    tested = words.withColumn("log_p", F.when(h < F.col("h0"), _log_p(n, h, F.col("h0"))).otherwise(0.0))
+    sure = discoveries(tested, q).filter(h < RARELY_STOPS).select(*KEY, "unit", F.lit(True).alias("sure"))
+    return words.filter("stops < goes").join(sure, [*KEY, "unit"], "left").select(*KEY, F.col("unit").alias("last"), F.coalesce("sure", F.lit(False)).alias("sure"))
 
 
 def ends(rows: DataFrame) -> DataFrame:
-    """Every text, once: its last unit where that decides, what else is wrong with its end, and its lengths."""
+    """Every text, once: its last unit (or way of ending), the mark of a cut it ends with, what it adds to the counts of the ways, and its lengths."""
     count = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
     is_open = (count("(（") > count(")）")) | (count("[［") > count("]］"))
     a_list, bare = F.col("kind") == "list", F.col("bare")
     final = lambda x: F.substring(x, -1, 1)
     dangling, stopped = a_list & (final(bare) == ","), ~a_list & (final(bare) == ".")
-    last = F.when(~dangling & ~stopped, F.when(a_list, F.trim(F.substring_index(bare, ",", -1))).otherwise(F.substring_index(bare, " ", -1)))
-    broken = reduce(lambda a, b: a | b, [F.endswith("end", F.lit(x)) for x in BROKEN])
-    why = F.when(broken, "broken").when(is_open, "open").when(dangling, "dangling")
+    word = F.nullif(F.when(~stopped, F.when(a_list, F.trim(F.substring_index(bare, ",", -1))).otherwise(F.substring_index(bare, " ", -1))), F.lit(""))
+    marked = reduce(lambda a, b: a | b, [F.endswith("end", F.lit(x)) for x in BROKEN])
+    last = F.when(marked, None).when(is_open, OPEN).when(dangling, DANGLING).otherwise(word)
+    one = lambda c: c.cast("int")
     looked = rows.withColumn("bare", F.rtrim(plain(F.col("text"), F.col("kind")))).withColumn("end", F.rtrim("text")).select(
-        *KEY, "row_id", "src_file", "resent", F.nullif(last, F.lit("")).alias("last"), why.alias("why"), (~a_list & (F.length("end") < F.length("text"))).alias("suspicious"),
+        *KEY, "row_id", "src_file", "resent", last.alias("last"), F.when(marked, "broken").alias("why"), (~a_list & (F.length("end") < F.length("text"))).alias("suspicious"),
+        one(is_open).alias("stops_open"), one(~is_open & (count("(（[［") > 0)).alias("goes_open"), one(dangling).alias("stops_dangling"), one(~dangling & a_list & F.contains(bare, F.lit(","))).alias("goes_dangling"),
         F.length("text").alias("chars"), F.octet_length(F.rtrim("text", F.lit("�"))).alias("bytes"),
     )
     return looked.filter("NOT resent").unionByName(looked.filter("resent").dropDuplicates([*KEY, "row_id"])).drop("resent")
 
 
 def endings(once: DataFrame, words: DataFrame) -> DataFrame:
-    """Every text with ``incomplete`` (why, or null), ``suspicious`` and its lengths.
+    """Every text with ``incomplete`` (why, or null), whether that is ``sure`` without regard to its length, ``suspicious`` and its lengths.
 
     The commonest last units (a bounded list) are settled by broadcast, so that no hot unit meets one task; the others are shuffled.
     """
-    rare = words.filter((F.col("stops") < RARELY_ENDS * (F.col("stops") + F.col("goes"))) & (F.col("goes") >= LEAST_SEEN)).select(*KEY, F.col("unit").alias("last"), F.lit(True).alias("rare"))
+    rare = unfinished(words)
     key = [*KEY, "last"]
     common = once.filter(F.col("last").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *key).limit(COMMON_ENDINGS).select(*key)
     settled = F.broadcast(F.broadcast(common).join(rare, key, "left").withColumn("common", F.lit(True)))
     first = once.join(settled, key, "left")
     is_settled = F.col("last").isNull() | F.col("common").isNotNull()
-    done, rest = first.filter(is_settled).drop("common"), first.filter(~is_settled).drop("common", "rare").join(rare, key, "left")
-    return done.unionByName(rest).select(*KEY, "row_id", "src_file", F.coalesce("why", F.when(F.col("rare"), "unfinished")).alias("incomplete"), "suspicious", "chars", "bytes")
+    done, rest = first.filter(is_settled).drop("common"), first.filter(~is_settled).drop("common", "sure").join(rare, key, "left")
+    way = F.when(F.col("sure").isNotNull(), F.when(F.col("last").startswith("\0"), F.substring("last", 2, 99)).otherwise("unfinished"))
+    return done.unionByName(rest).select(*KEY, "row_id", "src_file", F.coalesce("why", way).alias("incomplete"), (F.col("why").isNotNull() | F.coalesce("sure", F.lit(False))).alias("sure"), "suspicious", "chars", "bytes")
 
 
 def lengths(ended: DataFrame) -> DataFrame:
@@ -117,7 +184,7 @@ def lengths(ended: DataFrame) -> DataFrame:
     A cut by bytes may fall up to two bytes short of the limit, so bytes are taken in steps of three.
     """
     measure = F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("chars").alias("length"), F.col("chars").alias("bin")), F.struct(F.lit("bytes").alias("measure"), F.col("bytes").alias("length"), F.floor((F.col("bytes") + 2) / 3).cast("int").alias("bin"))))
-    return ended.withColumn("m", measure).select(*KEY, "row_id", "src_file", "incomplete", "suspicious", "m.measure", "m.length", "m.bin")
+    return ended.withColumn("m", measure).select(*KEY, "row_id", "src_file", "incomplete", "sure", "suspicious", "m.measure", "m.length", "m.bin")
 
 
 def limits(measured: DataFrame, q: float = FALSE_DISCOVERIES) -> DataFrame:
@@ -131,15 +198,8 @@ def limits(measured: DataFrame, q: float = FALSE_DISCOVERIES) -> DataFrame:
         risk.withColumn("k0", F.sum("k").over(near) - F.col("k")).withColumn("n0", F.sum("risk").over(near) - F.col("risk"))
         .withColumn("h", F.col("k") / F.col("risk")).withColumn("h0", (F.col("k0") + 0.5) / (F.col("n0") + F.lit(20.0)))
     )
-    gain = F.col("h") * F.log(F.col("h") / F.col("h0")) + F.when(F.col("h") < 1, (1 - F.col("h")) * F.log((1 - F.col("h")) / (1 - F.col("h0")))).otherwise(0.0)
-    tested = hazard.withColumn("log_p", F.when(F.col("h") > F.col("h0"), -F.col("risk") * gain).otherwise(0.0))
-    # Benjamini-Hochberg on a histogram of log p, so that no task sorts all tests
-    step = F.floor(-F.col("log_p") * 10).cast("int")
-    bins = tested.groupBy(*KEY, step.alias("step")).agg(F.count(F.lit(1)).alias("tests"))
-    down = Window.partitionBy(*KEY).orderBy(F.desc("step"))
-    passed = bins.withColumn("rank", F.sum("tests").over(down)).withColumn("m", F.sum("tests").over(Window.partitionBy(*KEY)))
-    cut = passed.filter(-F.col("step") / 10 <= F.log(F.lit(q) * F.col("rank") / F.col("m"))).groupBy(*KEY).agg(F.min("step").alias("least"))
-    return tested.withColumn("step", step).join(F.broadcast(cut), KEY).filter((F.col("step") >= F.col("least")) & (F.col("k") >= 2)).select(*KEY, "src_file", "measure", "bin", "length", "k", "risk", "log_p")
+    tested = hazard.withColumn("log_p", F.when(F.col("h") > F.col("h0"), _log_p(F.col("risk"), F.col("h"), F.col("h0"))).otherwise(0.0))
+    return discoveries(tested, q).select(*KEY, "src_file", "measure", "bin", "length", "k", "risk", "log_p")
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -148,10 +208,10 @@ def judged(rows: DataFrame) -> DataFrame:
     return store(endings(once, store(vocabulary(rows, once))))
 
 
-def cases(ended: DataFrame) -> DataFrame:
-    """The cases: (field, row_id, src_file, reason, at_limit)."""
+def cases(ended: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The cases: (field, row_id, src_file, reason, at_limit). ``found``: the significant lengths, those of ``limits`` unless given."""
     measured = lengths(ended)
-    found = limits(measured)
+    found = limits(measured) if found is None else found
     longest = measured.groupBy(*KEY, "src_file", "measure").agg(F.max("bin").alias("bin"))
     general = found.select(*KEY, "measure", "bin").distinct()
     shared = longest.join(general, [*KEY, "measure", "bin"]).select(*KEY, "src_file", "measure", "bin")
@@ -159,8 +219,8 @@ def cases(ended: DataFrame) -> DataFrame:
     maybe = measured.filter(F.col("suspicious") | F.col("incomplete").isNotNull())
     same = [F.col(c) == F.col(f"at_{c}") for c in (*KEY, "measure", "bin")] + [F.col("src_file").eqNullSafe(F.col("at_src_file"))]
     placed = maybe.join(at, reduce(lambda a, b: a & b, same), "left")
-    one = placed.groupBy(*KEY, "row_id", "src_file").agg(F.max("incomplete").alias("incomplete"), F.coalesce(F.max("hit"), F.lit(False)).alias("at_limit"))
-    return one.filter(F.col("incomplete").isNotNull() | F.col("at_limit")).select(*KEY, "row_id", "src_file", F.coalesce("incomplete", F.lit("blank")).alias("reason"), "at_limit")
+    one = placed.groupBy(*KEY, "row_id", "src_file").agg(F.max("incomplete").alias("incomplete"), F.max("sure").alias("sure"), F.coalesce(F.max("hit"), F.lit(False)).alias("at_limit"))
+    return one.filter(F.col("at_limit") | F.col("sure")).select(*KEY, "row_id", "src_file", F.coalesce("incomplete", F.lit("blank")).alias("reason"), "at_limit")
 
 
 def named(df: DataFrame) -> DataFrame:
@@ -175,10 +235,15 @@ def cut_texts(rows: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """Texts, cut texts and their share per source file."""
+    """Texts, cut texts and their share per source file, and the file's significant lengths in characters and bytes."""
     ended = judged(rows)
+    found = store(limits(lengths(ended)))
     whole = ended.groupBy(*KEY, "src_file").agg(F.count(F.lit(1)).alias("n_texts"))
-    bad = cases(ended).groupBy(F.col("field").alias("f"), F.col("src_file").alias("s")).agg(F.count(F.lit(1)).alias("n_cut"), F.count(F.when(F.col("at_limit"), 1)).alias("n_at_limit"))
-    joined = whole.join(bad, (F.col("field") == F.col("f")) & F.col("src_file").eqNullSafe(F.col("s")), "left")
-    n = F.coalesce("n_cut", F.lit(0))
-    return named(joined.select("field", "src_file", "n_texts", n.alias("n_cut"), F.coalesce("n_at_limit", F.lit(0)).alias("n_at_limit"), F.round(n / F.col("n_texts"), 4).alias("share_cut")))
+    bad = cases(ended, found).groupBy(*KEY, "src_file").agg(F.count(F.lit(1)).alias("n_cut"), F.count(F.when(F.col("at_limit"), 1)).alias("n_at_limit"))
+    sizes = lambda m: F.array_sort(F.collect_set(F.when(F.col("measure") == m, F.col("length"))))
+    length = found.groupBy(*KEY, "src_file").agg(sizes("chars").alias("limits_chars"), sizes("bytes").alias("limits_bytes"))
+    side = lambda df, c: df.withColumnsRenamed({"field": f"field_{c}", "src_file": f"src_{c}"})
+    same = lambda c: (F.col("field") == F.col(f"field_{c}")) & F.col("src_file").eqNullSafe(F.col(f"src_{c}"))
+    joined = whole.join(side(bad, "b"), same("b"), "left").join(side(length, "l"), same("l"), "left")
+    n, none = F.coalesce("n_cut", F.lit(0)), F.array().cast("array<int>")
+    return named(joined.select("field", "src_file", "n_texts", n.alias("n_cut"), F.coalesce("n_at_limit", F.lit(0)).alias("n_at_limit"), F.round(n / F.col("n_texts"), 4).alias("share_cut"), F.coalesce("limits_chars", none).alias("limits_chars"), F.coalesce("limits_bytes", none).alias("limits_bytes")))

@@ -40,9 +40,31 @@ def test_truncation(spark):
     assert not any(r.at_limit for r in got if r.row_id >= 9000)
     rates = {(r.field_name, r.src_file): r for r in T.report(texts).collect()}
     assert rates["notes", "f1"].n_cut > 100 and rates["notes", "f0"].n_cut == 0 and rates["terms", None].n_texts > 0
+    # the limits are those planted; a cut by bytes may fall up to two bytes short
+    assert rates["notes", "f1"].limits_chars == [60] and set(rates["terms", "f2"].limits_bytes) <= {38, 39, 40} and rates["terms", "f2"].limits_bytes
+    assert not any(r.limits_chars or r.limits_bytes for k, r in rates.items() if k not in (("notes", "f1"), ("terms", "f2")))
     assert T.cut_texts(texts.limit(0)).count() == 0
 
 
+def test_truncation_is_tested(spark):
+    """Endings with little evidence of their own are cases at a significant length only: without the test of lengths they are none, and neither are they at other lengths."""
+    name = lambda i: "".join(chr(0xAC00 + (i * 7919 + k * 104_729) % 11_000) for k in range(10))
+    rows = [(i, "cut" if i % 3 == 0 else "whole", f"{name(i)}{'다' * (i % 9)}") for i in range(600)]
+    limit = [(i, s, t[:12]) for i, s, t in rows if s == "cut" and len(t) > 12]
+    known = [(1000 + i, "other", t) for i, s, t in rows if s == "cut" and len(t) > 12] + [(2000 + i, "other", t) for i, s, t in rows if s == "cut" and len(t) > 12]
+    rows = [r for r in rows if r[1] == "whole" or len(r[2]) <= 12] + limit + known + [(9000, "whole", name(2)[:7]), (9001, "whole", name(2)[:7] + "라마"), (9002, "whole", name(2)[:7] + "바사")]
+    ended = T.judged(T.texts(spark.createDataFrame(rows, "id bigint, src_file string, x string"), "t", "id", {"x": "list"})).cache()
+    assert {r.row_id for r in T.cases(ended).collect()} == {i for i, _, _ in limit}
+    nothing = T.limits(T.lengths(ended)).limit(0)
+    assert T.cases(ended, nothing).count() == 0
+
+
+def test_truncation_ways(spark):
+    """Values that always end with a delimiter or an open bracket end as they should; long unbroken texts are read once."""
+    rows = [(i, "a", f"{i % 7}년납, {i % 5}년납,") for i in range(300)] + [(300, "a", "가" * 300_000), (301, "a", "가" * 299_999)]
+    assert T.cut_texts(T.texts(spark.createDataFrame(rows, "id bigint, src_file string, x string"), "t", "id", {"x": "list"})).count() == 0
+
+
 def forms(spark, values):
     df = spark.createDataFrame([("t", i, "f", v, "x") for i, v in enumerate(values)], "table_name string, row_id bigint, field_name string, text string, form string")
     return [(r.form, r.differs) for r in C.normalise(df).orderBy("row_id").collect()]
