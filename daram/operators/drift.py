@@ -6,10 +6,15 @@ islands, and the starts and ends of the islands are the events. A field whose en
 start of another that holds the same values is renamed. Casts of the consistent table come from the
 alias table the renames give.
 
+Footers come first: they are counted inside the Arrow batches, CSV columns by their place, so that no value and no
+line leaves its task. Only lines of files in which a field went and another came are read a second time, for
+the values of just these fields.
+
 Defined results:
 * null, empty or unparsable payloads give no field but still count as a line of their file;
-* lines without a feed or run belong to no file and give nothing;
+* lines without a feed or run belong to no file and give nothing; a CSV line without a number is a record, not a header;
 * lines loaded twice change nothing (presence and types are sets, values are taken once a product);
+* CSV cells beyond the header have no field; CSV lines of a file without a header line give none;
 * ties between rename candidates go to the larger share, then to equal last path segments, then by name;
 * an empty table gives an empty report; further columns are ignored.
 """
@@ -18,18 +23,25 @@ from __future__ import annotations
 
 import csv
 import json
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daram.session import ship, store
 
-FLAT = "feed string, run_no int, line_no int, rec_id string, fmt string, path string, type string, value string"
-_FLAT_ARROW = pa.schema([("feed", pa.string()), ("run_no", pa.int32()), ("line_no", pa.int32()), ("rec_id", pa.string()), ("fmt", pa.string()), ("path", pa.string()), ("type", pa.string()), ("value", pa.string())])
+FOOTER = "feed string, run_no int, fmt string, path string, pos int, type string, n bigint"
+VALUE = "feed string, at_run int, rec_id string, path string, event string, value string"
 SALTS = 16
 
 
+def _arrow(ddl: str) -> pa.Schema:
+    """Arrow schema of a flat DDL text."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    return pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in ddl.split(", "))])
+
+
 def _leaves(node: dict):
     """(path, type, text) of every value below an object that isn't an object itself; what is named codes stays shut."""
     stack = [("", node)]
@@ -56,53 +68,111 @@ def _digits(text: str) -> bool:
     return text.isascii() and text.isdigit()
 
 
-def flatten_lines(batches):
-    """Arrow batches (feed, run_no, line_no, payload, fmt, header) to one row per field value."""
+def _record(payload: str) -> dict | None:
+    try:
+        record = json.loads(payload)
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
+
+
+def _cells(payload: str) -> list[str]:
+    return next(csv.reader([payload]), [])
+
+
+def _rec_id(record: dict, key: str) -> str | None:
+    rec = record.get(key)
+    return rec if rec is None or isinstance(rec, str) else json.dumps(rec)
+
+
+def _kinds(node: dict):
+    """(path, type) of every value, as ``_leaves`` names them."""
+    stack = [("", node)]
+    while stack:
+        prefix, here = stack.pop()
+        for key, value in here.items():
+            if value is None:
+                continue
+            kind = type(value)
+            if kind is dict:
+                if key != "codes":
+                    stack.append((f"{prefix}{key}.", value))
+            else:
+                yield prefix + key, "string" if kind is str else "boolean" if kind is bool else "array" if kind is list else "number"
+
+
+def read_footers(batches):
+    """Arrow batches (feed, run_no, line_no, payload, fmt) to counts per file, field (of CSV: place) and type; a CSV header comes whole, as type header."""
+    schema = _arrow(FOOTER)
     for batch in batches:
-        cols = {k: [] for k in _FLAT_ARROW.names}
-        put = [cols[k].append for k in _FLAT_ARROW.names]
-        for feed, run, line, payload, fmt, header in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        counts: Counter = Counter()
+        for feed, run, line, payload, fmt in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if payload is None:
                 continue
             if fmt == "csv":
-                if header is None or line == 0:
+                if line == 0:
+                    counts[feed, run, fmt, payload, None, "header"] += 1
+                else:
+                    counts.update((feed, run, fmt, None, i, "number" if _digits(v) else "string") for i, v in enumerate(_cells(payload)) if v != "")
+            elif (record := _record(payload)) is not None:
+                counts.update((feed, run, fmt, path, None, kind) for path, kind in _kinds(record))
+        rows = [(*k, n) for k, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
+def header_names(batches):
+    """Arrow batches (feed, run_no, header) to the names by place."""
+    schema = _arrow("feed string, run_no int, pos int, path string")
+    for batch in batches:
+        rows = [(f, r, i, name) for f, r, h in zip(*(batch.column(i).to_pylist() for i in range(3))) for i, name in enumerate(_cells(h))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
+def wanted_values(batches):
+    """Arrow batches (feed, payload, fmt, header, wanted) to the values of the fields wanted: (path, at_run, event)."""
+    schema = _arrow(VALUE)
+    for batch in batches:
+        rows = []
+        for feed, payload, fmt, header, wanted in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if fmt == "csv":
+                if header is None:
                     continue
-                names = next(csv.reader([header]), [])
-                values = next(csv.reader([payload]), [])
-                record = dict(zip(names, values))
-                found = [(k, "number" if _digits(v) else "string", v) for k, v in record.items() if v != ""]
-                rec = record.get("CODE")
+                record = dict(zip(_cells(header), _cells(payload)))
+                rec, values = record.get("CODE"), {k: v for k, v in record.items() if v != ""}
+            elif (record := _record(payload)) is not None:
+                rec, values = _rec_id(record, "insuCd"), {path: v for path, _, v in _leaves(record)}
             else:
-                try:
-                    record = json.loads(payload)
-                except (ValueError, RecursionError):
-                    continue
-                if not isinstance(record, dict):
-                    continue
-                found = list(_leaves(record))
-                rec = record.get("insuCd")
-                rec = rec if rec is None or isinstance(rec, str) else json.dumps(rec)
-            for path, kind, value in found:
-                for f, v in zip(put, (feed, run, line, rec, fmt, path, kind, value)):
-                    f(v)
-        yield pa.RecordBatch.from_pydict(cols, schema=_FLAT_ARROW)
+                continue
+            if rec is not None:
+                rows += [(feed, w["at_run"], rec, w["path"], w["event"], v) for w in wanted if (v := values.get(w["path"])) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """Lines that belong to a file: (feed, run_no, line_no, payload, fmt)."""
+    fmt = F.when(F.col("file_name").endswith(".csv") | F.col("feed").endswith("_mapping"), "csv").otherwise("json").alias("fmt")
+    return lines.filter("feed IS NOT NULL AND run_no IS NOT NULL").select("feed", F.col("run_no").cast("int").alias("run_no"), F.col("line_no").cast("int").alias("line_no"), "payload", fmt)
 
 
-def flat_values(lines: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per field value of every line. CSV lines get their file's header by a join salted against hot files."""
+def is_header(fmt: str = "fmt", line_no: str = "line_no") -> Column:
+    return (F.col(fmt) == "csv") & F.col(line_no).eqNullSafe(F.lit(0))
+
+
+def with_files(rows: DataFrame, files: DataFrame, salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """Lines with what is known of their file (one row per file), salted against hot files; small sides are broadcast at run time, by their size."""
+    wide = files.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("line_no", "payload"), F.lit(salts)).cast("int")).join(wide, ["feed", "run_no", "salt"], how).drop("salt")
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """Raw footers of all files, written once: fields and types with their counts, places for CSV, and the headers."""
     ship(lines.sparkSession)
-    lines = lines.filter("feed IS NOT NULL AND run_no IS NOT NULL").select("feed", F.col("run_no").cast("int").alias("run_no"), F.col("line_no").cast("int").alias("line_no"), "payload", F.when(F.col("file_name").endswith(".csv") | F.col("feed").endswith("_mapping"), "csv").otherwise("json").alias("fmt"))
-    is_csv = F.col("fmt") == "csv"
-    head = (
-        lines.filter(is_csv & (F.col("line_no") == 0)).groupBy("feed", "run_no").agg(F.max("payload").alias("header"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    body = lines.filter(is_csv & (F.col("line_no") > 0)).withColumn("salt", F.pmod(F.xxhash64("line_no", "payload"), F.lit(salts)).cast("int"))
-    same = body["feed"].eqNullSafe(head["feed"]) & body["run_no"].eqNullSafe(head["run_no"]) & (body["salt"] == head["salt"])
-    keep = [body[c] for c in ("feed", "run_no", "line_no", "payload", "fmt")]
-    tables = body.join(head, same, "left").select(*keep, head["header"])
-    json_lines = lines.filter(~is_csv).withColumn("header", F.lit(None).cast("string"))
-    return json_lines.unionByName(tables).mapInArrow(flatten_lines, FLAT)
+    return store(placed(lines).mapInArrow(read_footers, FOOTER).groupBy("feed", "run_no", "fmt", "path", "pos", "type").agg(F.sum("n").alias("n")))
+
+
+def headers(raw: DataFrame) -> DataFrame:
+    """(feed, run_no, header) of every CSV file; of differing headers the greatest counts."""
+    return raw.filter("type = 'header'").groupBy("feed", "run_no").agg(F.max("path").alias("header"))
 
 
 def runs(lines: DataFrame) -> DataFrame:
@@ -114,23 +184,26 @@ def runs(lines: DataFrame) -> DataFrame:
     )
 
 
-def catalogue(flat: DataFrame) -> DataFrame:
+def catalogue(raw: DataFrame) -> DataFrame:
     """The footer of each file: (feed, run_no, path, type, n). A CSV column is a number if all its values are digits; of mixed JSON types the commonest counts."""
-    kinds = flat.groupBy("feed", "run_no", "fmt", "path", "type").agg(F.count(F.lit(1)).alias("n"))
+    names = headers(raw).select("feed", "run_no", "header").mapInArrow(header_names, "feed string, run_no int, pos int, path string")
+    tables = raw.filter("fmt = 'csv' AND type <> 'header'").drop("path").join(names, ["feed", "run_no", "pos"])
+    kinds = raw.filter("fmt = 'json'").select("feed", "run_no", "fmt", "path", "type", "n").unionByName(tables.select("feed", "run_no", "fmt", "path", "type", "n"))
+    kinds = kinds.groupBy("feed", "run_no", "fmt", "path", "type").agg(F.sum("n").alias("n"))
     commonest = F.max_by("type", F.struct("n", "type"))
     return kinds.groupBy("feed", "run_no", "path").agg(
         F.when(F.max("fmt") == "csv", F.max("type")).otherwise(commonest).alias("type"),  # 'string' sorts after 'number'
-        F.sum("n").alias("n"),
+        F.sum("n").alias("n"), F.max("fmt").alias("fmt"),
     )
 
 
 def lifespans(footers: DataFrame, files: DataFrame) -> DataFrame:
     """Islands of consecutive runs in which a field keeps its type, per feed, path and type."""
     w = Window.partitionBy("feed", "path", "type").orderBy("ix")
-    placed = footers.join(files, ["feed", "run_no"])
+    in_order = footers.join(files, ["feed", "run_no"])
     gap = F.when(F.col("ix") - F.lag("ix").over(w) == 1, 0).otherwise(1)
     return (
-        placed.withColumn("starts", gap).withColumn("island", F.sum("starts").over(w))
+        in_order.withColumn("starts", gap).withColumn("island", F.sum("starts").over(w))
         .groupBy("feed", "path", "type", "island")
         .agg(F.min("ix").alias("start_ix"), F.max("ix").alias("end_ix"), F.min("run_no").alias("first_run"), F.max("run_no").alias("last_run"), F.max("last_ix").alias("last_ix"), F.sum("n").alias("n_values"))
     )
@@ -145,15 +218,17 @@ def events(spans: DataFrame, files: DataFrame) -> DataFrame:
     return both.withColumn("event", event).join(files.select("feed", "ix", "run_no", "prev_run"), ["feed", "ix"])
 
 
-def renames(flat: DataFrame, happened: DataFrame, min_share: float = 0.5) -> DataFrame:
+def renames(lines: DataFrame, raw: DataFrame, happened: DataFrame, min_share: float = 0.5) -> DataFrame:
     """Pairs of a gone and a new field that hold the same values for more than ``min_share`` of the products with both."""
-    changed = happened.filter(F.col("event") != "retyped").select(
+    one_sided = happened.filter(F.col("event") != "retyped")
+    both = one_sided.groupBy("feed", F.col("run_no").alias("at_run")).agg(F.countDistinct("event").alias("sides")).filter("sides = 2").drop("sides")
+    changed = one_sided.select(
         "feed", F.col("run_no").alias("at_run"), F.when(F.col("event") == "gone", F.col("prev_run")).otherwise(F.col("run_no")).alias("run_no"), "path", "event"
-    )
-    once = (
-        flat.filter(F.col("rec_id").isNotNull()).join(changed, ["feed", "run_no", "path"])
-        .groupBy("feed", "at_run", "rec_id", "path", "event").agg(F.max("value").alias("value"))
-    )
+    ).join(both, ["feed", "at_run"])
+    wanted = changed.groupBy("feed", "run_no").agg(F.collect_list(F.struct("path", "at_run", "event")).alias("wanted"))  # as many as fields changed in one file
+    of_file = wanted.join(headers(raw), ["feed", "run_no"], "left")
+    rows = with_files(placed(lines).filter(F.col("payload").isNotNull() & ~is_header()), of_file)
+    once = rows.select("feed", "payload", "fmt", "header", "wanted").mapInArrow(wanted_values, VALUE).groupBy("feed", "at_run", "rec_id", "path", "event").agg(F.max("value").alias("value"))
     fields = once.groupBy("feed", "at_run", "rec_id").agg(  # as many entries as fields changed in one file, whatever the rows
         F.collect_list(F.when(F.col("event") == "gone", F.struct("path", "value"))).alias("olds"),
         F.collect_list(F.when(F.col("event") == "new", F.struct("path", "value"))).alias("news"),
@@ -174,16 +249,16 @@ def renames(flat: DataFrame, happened: DataFrame, min_share: float = 0.5) -> Dat
 
 
 def history(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(values, files, footers, events) of all feeds. Values are written once to the shared folder; footers and events are metadata."""
-    flat, files = store(flat_values(lines)), store(runs(lines))
-    footers = store(catalogue(flat))
-    return flat, files, footers, store(events(lifespans(footers, files), files))
+    """(raw footers, files, footers, events) of all feeds: metadata only."""
+    raw, files = counted(lines), store(runs(lines))
+    footers = store(catalogue(raw))
+    return raw, files, footers, store(events(lifespans(footers, files), files))
 
 
 def changes(lines: DataFrame) -> DataFrame:
     """Report of every change of a field between a run and the feed's next lower run present."""
-    flat, _, _, happened = history(lines)
-    pairs = store(renames(flat, happened))
+    raw, _, _, happened = history(lines)
+    pairs = store(renames(lines, raw, happened))
     roles = pairs.select("feed", "run_no", F.explode(F.array("old_path", "new_path")).alias("path"))
     rest = happened.join(roles, ["feed", "run_no", "path"], "left_anti")
     kind = F.when(F.col("event") == "gone", "removed").when(F.col("event") == "new", "added").otherwise("retyped")

@@ -15,15 +15,31 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_lifespans(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "batch_export")
-    return drift.lifespans(drift.catalogue(drift.flat_values(lines)), drift.runs(lines)).select("feed", "path", "type", "first_run", "last_run", "n_values")
+    return drift.lifespans(drift.catalogue(drift.counted(lines)), drift.runs(lines)).select("feed", "path", "type", "first_run", "last_run", "n_values")
+
+
+# The alias table: names that producers give a field first, the one name it has in the consistent table, and its type. Identifiers are strings.
+_TERM_NAMES = {"insuTerm": "insu_term", "payTerm": "pay_term", "ageRange": "age_range", "renew": "renew", "specialNotes": "special_notes", "validationSource": "validation_source"}
+ALIASES = [
+    ("insuCd", "code", "string"), ("CODE", "code", "string"), ("MAIN_CODE", "main_code", "string"), ("PERIOD_VALUE", "period_value", "bigint"), ("LIMIT_AMT", "limit_amt", "bigint"),
+    ("PAY_TERM", "pay_term", "string"), ("PERIOD_LABEL", "insu_term", "string"), ("filename", "file_name", "string"), ("SRC_FILE", "file_name", "string"), ("traceNo", "trace_no", "string"), ("traceId", "trace_no", "string"),
+    ("success", "success", "boolean"), ("python.success", "success", "boolean"), ("ocr.success", "ocr_success", "boolean"), ("method", "method", "string"), ("ocr.method", "ocr_method", "string"), ("confidence", "confidence", "double"),
+    ("pageCount", "page_count", "bigint"), ("analysis.pageCount", "page_count", "bigint"), ("best.codesCount", "codes_count", "bigint"), ("isRenewable", "is_renewable", "boolean"),
+    *((f"{branch}terms.{f}", prefix + name, "string") for branch, prefix in (("", ""), ("python.", ""), ("ocr.", "ocr_")) for f, name in _TERM_NAMES.items()),
+]
+
+
+def _aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(None, *a) for a in ALIASES], "feed string, path string, canonical string, cast string")
 
 
 def p1_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return unify.names(read(spark, d, "batch_export"))
+    return unify.names(read(spark, d, "batch_export"), _aliases(spark))
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
-    return unify.records(read(spark, d, "batch_export"))
+    """The consistent table of all records, with typed columns."""
+    return unify.records(read(spark, d, "batch_export"), _aliases(spark))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:

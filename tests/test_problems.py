@@ -8,6 +8,7 @@ import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from daram.operators import drift, nested, orphans, unify
 from daram.operators.packed import bare_edges, split_values, unpack
@@ -59,23 +60,50 @@ def test_drift_csv(spark):
 
 def test_drift_empty(spark):
     empty = spark.createDataFrame([], LINES)
-    assert drift.changes(empty).count() == 0 and unify.records(empty).count() == 0
+    assert drift.changes(empty).count() == 0 and unify.records(empty, aliases(spark)).count() == 0
+
+
+def aliases(spark, *rows):
+    return spark.createDataFrame([r if len(r) == 4 else (None, *r) for r in rows], "feed string, path string, canonical string, cast string")
+
+
+AGREED = [("insuCd", "code", "string"), ("CODE", "code", "string"), ("python.terms.payTerm", "pay_term", "string"), ("N", "n", "bigint")]
 
 
 def test_unify(spark):
     rec = lambda i, **k: json.dumps({"insuCd": str(i), **k})
-    rows = feed("c_result", {1: [rec(i, python={"terms": {"payTerm": f"p{i}"}}) for i in range(4)], 2: [rec(i, python={"terms": {"pay": f"p{i}"}}) for i in range(4)]})
-    rows += feed("d_mapping", {1: [line("CODE", "PAY_TERM")] + [line(i, f"p{i}") for i in range(2)]}, "csv")
-    got = unify.records(spark.createDataFrame(rows + rows[:1], LINES)).collect()
-    assert len(got) == 10
-    assert {r["fields"].get("python_pay_term") for r in got if r.feed == "c_result"} == {f"p{i}" for i in range(4)}
-    assert {r["fields"]["pay_term"] for r in got if r.feed == "d_mapping"} == {"p0", "p1"}
+    rows = feed("c_result", {1: [rec(i, python={"terms": {"payTerm": f"p{i}"}}, ok=True) for i in range(4)], 2: [rec(i, python={"terms": {"pay": f"p{i}"}, "codes": {"01": "x", "02": {"a": 1}}}, ok=False) for i in range(4)]})
+    rows += feed("d_mapping", {1: [line("CODE", "PAY_TERM", "N")] + [line(f"0{i}", f"p{i}", "12" if i else "1O") for i in range(2)]}, "csv")
+    df = spark.createDataFrame(rows + rows[:1], LINES)
+    got = unify.records(df, aliases(spark, *AGREED, ("PAY_TERM", "pay_term", None)))
+    assert dict(got.dtypes) == {"feed": "string", "run_no": "int", "line_no": "int", "rec_id": "string", "code": "string", "n": "bigint", "ok": "boolean", "pay_term": "string", "codes": "map<string,string>", "unread": "map<string,string>"}
+    got = got.collect()
+    assert len(got) == 10 and sorted(r.code for r in got if r.feed == "d_mapping") == ["00", "01"]
+    assert sorted((r.run_no, r.pay_term) for r in got if r.feed == "c_result") == [(n, f"p{i}") for n in (1, 2) for i in range(4)]
+    assert {r.ok for r in got if r.run_no == 2} == {False} and all(r.codes == {"python.codes.01": "x", "python.codes.02": '{"a": 1}'} for r in got if r.run_no == 2)
+    assert {r.code: (r.n, r.unread) for r in got if r.feed == "d_mapping"} == {"00": (None, {"n": "1O"}), "01": (12, {})}
+    one = unify.names(df, aliases(spark, ("d_mapping", "CODE", "key", "string"), ("CODE", "code", "string"))).collect()
+    assert {(r.path, r.canonical, r["cast"]) for r in one} == {("insuCd", "insu_cd", "string"), ("python.terms.payTerm", "python_terms_pay_term", "string"), ("python.terms.pay", "python_terms_pay_term", "string"), ("ok", "ok", "boolean"), ("CODE", "key", "string"), ("PAY_TERM", "pay_term", "string"), ("N", "n", "string")}
+
+
+def test_casts(spark):
+    df = spark.createDataFrame([(x,) for x in ("12", "999세", "4,700만원", "2억", "1O", "-3", "")], "x string")
+    assert [r.y for r in df.select(unify._read(F.col("x"), "bigint").alias("y")).collect()] == [12, 999, 47_000_000, 200_000_000, None, -3, None]
+    df = spark.createDataFrame([(x,) for x in ("true", "Y", "예", "아니오", "?")], "x string")
+    assert [r.y for r in df.select(unify._read(F.col("x"), "boolean").alias("y")).collect()] == [True, True, True, False, None]
+
+
+def test_unify_keeps_all(spark):
+    """Fields of equal last segments keep their values; conflicts get a name of their own; every line but headers is a record."""
+    rows = feed("e_result", {1: [json.dumps({"terms": {"insuTerm": "X"}, "meta": {"insuTerm": "Y"}, "a": {"bC": 1}, "a.b": {"c": 2}, "feed": "f"}), None, "{bad", "{}"]})
+    rows += [(90, "f_mapping", 1, "f.csv", 1, "x,y", "", 1), (91, "f_mapping", 1, "f.csv", None, "z", "", 1), (91, "f_mapping", 1, "f.csv", None, "w", "", 1)]
     df = spark.createDataFrame(rows, LINES)
-    casts = {r.canonical: r["cast"] for r in unify.names(df).collect()}
-    assert casts == {"insu_cd": "string", "python_pay_term": "string", "code": "double", "pay_term": "string"}
-    assert sorted(r.code for r in unify.typed(unify.records(df), casts).filter("feed = 'd_mapping'").collect()) == [0.0, 1.0]
-    agreed = spark.createDataFrame([("python_pay_term", "pay_term")], "alias string, canonical string")
-    assert {n for r in unify.records(df, agreed).collect() for n in r["fields"]} == {"insu_cd", "code", "pay_term"}
+    got = unify.records(df, aliases(spark)).collect()
+    assert len(got) == 7
+    r = next(r for r in got if r["terms_insu_term"])
+    assert (r.terms_insu_term, r.meta_insu_term, r.a_b_c, r.a_b_c_2, r.field_feed) == ("X", "Y", 2.0, 1.0, "f")
+    assert {(n.path, n.conflict) for n in unify.names(df, aliases(spark)).collect() if n.path.startswith("a")} == {("a.b.c", False), ("a.bC", True)}
+    assert len(unify.records(df, aliases(spark, ("meta.insuTerm", "t", None), ("terms.insuTerm", "t", None))).filter("t = 'Y' AND terms_insu_term = 'X'").collect()) == 1
 
 
 def at(day):
