@@ -84,37 +84,50 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _unpacked(spark, d, at_least=2).drop("flags")
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nodes(read(spark, d, "hybrid_result"))
+def _tree(spark: SparkSession, d: str, keep: str) -> DataFrame:
+    """The values a table needs, labelled and written once: links compare labels of one reading."""
+    return store(nested.nodes(read(spark, d, "hybrid_result"), keep=keep))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.nodes(read(spark, d, "hybrid_result"), only_nodes=True).select("rec_id", "node_path", "parent_path")
 
 
+def p6_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that are no JSON objects, with the reason."""
+    return nested.errors(read(spark, d, "hybrid_result"))
+
+
+_ENTRY = r"codes(\.\*|\[\])"
+
+
 def p6_riders(spark: SparkSession, d: str) -> DataFrame:
     """Riders with the code entry whose interval contains theirs."""
-    tree = _tree(spark, d)
-    riders = nested.flat(tree, r".*\.riders\[\]", {"code": "string", "name": "string"})
-    entries = tree.filter(F.col("is_node") & F.col("shape").rlike(r"codes(\.\*|\[\])$"))
-    return nested.contained(entries, riders, ["node_path", "node_key"]).select("rec_id", "pre", "post", "node_path", F.col("p_node_path").alias("entry_path"), "code", "name")
+    tree = _tree(spark, d, rf".*{_ENTRY}(\.riders\[\](\.(code|name))?)?")
+    riders = nested.flat(tree, rf".*{_ENTRY}\.riders\[\]", {"code": "string", "name": "string"})
+    entries = tree.filter(F.col("is_node") & F.col("shape").rlike(rf"{_ENTRY}$"))
+    return nested.contained(entries, riders, ["node_path"]).select("rec_id", "node_path", F.col("p_node_path").alias("entry_path"), "code", "name")
 
 
 def p6_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Variants with their rider and their limit."""
-    tree = _tree(spark, d)
+    """Variants with the rider whose interval contains theirs, and the limit theirs contains."""
+    tree = _tree(spark, d, r".*\.riders\[\](\..*)?")
     variants = nested.flat(tree, r".*\.variants\[\]", {"type": "string", "code": "string"})
-    limits = nested.flat(tree, r".*\.variants\[\]\.limit", {"max": "bigint", "unit": "string"}).select("rec_id", F.col("parent_pre").alias("pre"), "max", "unit")
-    return variants.join(limits, ["rec_id", "pre"], "left").select("rec_id", "pre", "post", "node_path", F.col("parent_path").alias("rider_path"), "type", "code", F.col("max").alias("limit_max"), F.col("unit").alias("limit_unit"))
+    limits = nested.flat(tree, r".*\.variants\[\]\.limit", {"max": "bigint", "unit": "string"})
+    riders = tree.filter((F.col("kind") == "object") & F.col("shape").rlike(r"\.riders\[\]$"))
+    limit = nested.contained(variants, limits, ["pre"], levels=1).select("doc", F.col("p_pre").alias("pre"), F.col("max").alias("limit_max"), F.col("unit").alias("limit_unit"))
+    held = nested.contained(riders, variants, ["node_path"], how="left")
+    return held.join(limit, ["doc", "pre"], "left").select("rec_id", "pre", "post", "node_path", F.col("p_node_path").alias("rider_path"), "type", "code", "limit_max", "limit_unit")
 
 
 def p6_attempts(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat(_tree(spark, d), r"attempts\[\]", {"no": "int", "method": "string"}).select("rec_id", "pre", "post", "node_path", "parent_path", "no", "method")
+    tree = nested.nodes(read(spark, d, "hybrid_result"), keep=r"attempts\[\](\.(no|method))?")
+    return nested.flat(tree, r"attempts\[\]", {"no": "int", "method": "string"}).select("rec_id", "pre", "post", "node_path", "parent_path", "no", "method")
 
 
 def p6_errors(spark: SparkSession, d: str) -> DataFrame:
     """Errors with the attempt whose interval contains them."""
-    tree = _tree(spark, d)
+    tree = _tree(spark, d, r"attempts\[\](\.errors\[\](\.(page|msg))?)?")
     errors = nested.flat(tree, r"attempts\[\]\.errors\[\]", {"page": "string", "msg": "string"})
     attempts = tree.filter(F.col("is_node") & (F.col("shape") == "attempts[]"))
     return nested.contained(attempts, errors, ["pre", "node_path"], levels=2).select("rec_id", "pre", "post", "node_path", F.col("p_pre").alias("attempt_pre"), F.col("p_node_path").alias("attempt_path"), F.col("page").try_cast("int").alias("page"), "msg")
@@ -122,18 +135,18 @@ def p6_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages of code entries, one row each with its position, from 1, and the entry that holds it."""
-    pages = _tree(spark, d).filter(F.col("shape").rlike(r"codes(\.\*|\[\])\.pages(\[\])?$") & F.col("value").isNotNull())
+    pages = nested.nodes(read(spark, d, "hybrid_result"), keep=rf".*{_ENTRY}\.pages(\[\])?").filter(F.col("value").isNotNull())
     pos = F.coalesce(F.regexp_extract("node_key", r"^\[(\d+)\]$", 1).try_cast("int") + 1, F.lit(1))
     return pages.select("rec_id", "pre", "node_path", F.col("parent_pre").alias("entry_pre"), F.col("parent_path").alias("entry_path"), pos.alias("pos"), F.col("value").try_cast("int").alias("page"))
 
 
 def p6_branches(spark: SparkSession, d: str) -> DataFrame:
-    """Branches of each record with what they say of themselves; the flags of terms are those of the analysis."""
-    tree = _tree(spark, d)
+    """Branches of each record with what they say of themselves; the flags of terms are those of the analysis, whose interval contains theirs."""
+    own, flags = ("success", "method", "insuCd", "codes_count"), ("insuTerm", "payTerm", "ageRange", "renew")
+    tree = _tree(spark, d, rf"[^.\[\]]+(\.({'|'.join(own)}))?|analysis\.terms(\.({'|'.join(flags)}))?")
     branches = nested.flat(tree, r"[^.\[\]]+", {"success": "boolean", "method": "string", "insuCd": "string", "codes_count": "bigint"})
-    flags = ("insuTerm", "payTerm", "ageRange", "renew")
-    terms = nested.flat(tree, r"analysis\.terms", dict.fromkeys(flags, "boolean")).select("rec_id", F.col("parent_pre").alias("pre"), *(F.col(c).alias(f"has_{c}") for c in flags))
-    return branches.join(terms, ["rec_id", "pre"], "left").select("rec_id", "pre", "post", F.col("node_path").alias("branch"), "success", "method", "insuCd", "codes_count", *(f"has_{c}" for c in flags))
+    terms = nested.contained(branches, nested.flat(tree, r"analysis\.terms", dict.fromkeys(flags, "boolean")), ["pre"], levels=1).select("doc", F.col("p_pre").alias("pre"), *(F.col(c).alias(f"has_{c}") for c in flags))
+    return branches.join(terms, ["doc", "pre"], "left").select("rec_id", "pre", "post", F.col("node_path").alias("branch"), "success", "method", "insuCd", "codes_count", *(f"has_{c}" for c in flags))
 
 
 def p6_ages(spark: SparkSession, d: str) -> DataFrame:
@@ -141,38 +154,48 @@ def p6_ages(spark: SparkSession, d: str) -> DataFrame:
 
     ``text`` is the value of an object or a text; one of an object that isn't two numbers with ~ between has no ``age_from`` and ``age_to``.
     """
-    tree = store(_tree(spark, d).filter(F.col("shape").contains("ageRange")))
+    tree = _tree(spark, d, r".*\.ageRange([.\[].*)?")
     listed = nested.flat(tree, r".*\.ageRange\[\]\.ages\[\]", {"sex": "string", "from": "int", "to": "int"})
     entries = nested.flat(tree, r".*\.ageRange\[\]", {"pay": "string"})
-    lists = nested.contained(entries, listed, ["pay", "node_path"], levels=2).select("rec_id", "pre", "node_path", F.col("p_node_path").alias("entry_path"), F.lit("list").alias("form"), F.col("p_pay").alias("pay"), "sex", F.col("from").alias("age_from"), F.col("to").alias("age_to"), F.lit(None).cast("string").alias("text"))
+    lists = nested.contained(entries, listed, ["pay", "node_path"], levels=2).select("rec_id", "node_path", F.col("p_node_path").alias("entry_path"), F.lit("list").alias("form"), F.col("p_pay").alias("pay"), "sex", F.col("from").alias("age_from"), F.col("to").alias("age_to"), F.lit(None).cast("string").alias("text"))
     ranges = tree.filter(F.col("shape").rlike(r"\.ageRange$") & (F.col("kind") == "object"))
     pays = nested.contained(ranges, tree.filter("kind = 'object'"), [], levels=1)
     sexes = nested.contained(pays, tree.filter("value IS NOT NULL"), ["node_key", "node_path"], levels=1)
     number = lambda i: F.regexp_extract("value", r"^\D*(\d+)\D*~\D*(\d+)\D*$", i).try_cast("int")
-    objects = sexes.select("rec_id", "pre", "node_path", F.col("p_node_path").alias("entry_path"), F.lit("object").alias("form"), F.col("p_node_key").alias("pay"), F.col("node_key").alias("sex"), number(1).alias("age_from"), number(2).alias("age_to"), F.col("value").alias("text"))
+    objects = sexes.select("rec_id", "node_path", F.col("p_node_path").alias("entry_path"), F.lit("object").alias("form"), F.col("p_node_key").alias("pay"), F.col("node_key").alias("sex"), number(1).alias("age_from"), number(2).alias("age_to"), F.col("value").alias("text"))
     nothing = F.lit(None)
-    texts = tree.filter(F.col("shape").rlike(r"\.ageRange$") & (F.col("kind") == "string")).select("rec_id", "pre", "node_path", F.col("parent_path").alias("entry_path"), F.lit("text").alias("form"), nothing.cast("string").alias("pay"), nothing.cast("string").alias("sex"), nothing.cast("int").alias("age_from"), nothing.cast("int").alias("age_to"), F.col("value").alias("text"))
+    texts = tree.filter(F.col("shape").rlike(r"\.ageRange$") & (F.col("kind") == "string")).select("rec_id", "node_path", F.col("parent_path").alias("entry_path"), F.lit("text").alias("form"), nothing.cast("string").alias("pay"), nothing.cast("string").alias("sex"), nothing.cast("int").alias("age_from"), nothing.cast("int").alias("age_to"), F.col("value").alias("text"))
     return lists.unionByName(objects).unionByName(texts)
 
 
 def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     """Entries of code lists in either shape, with the branch whose interval contains them; a bare text is the name."""
-    tree = _tree(spark, d)
-    named = nested.flat(tree, r".*codes(?:\.\*|\[\])", {"code": "string", "name": "string"}).select("rec_id", "pre", F.col("code").alias("own_code"), "name")
-    entries = tree.filter(F.col("is_node") & F.col("shape").rlike(r"codes(\.\*|\[\])$")).select("rec_id", "pre", "post", "depth", "node_path", "kind", "node_key", "value")
-    branches = tree.filter("is_node AND depth = 1").select("rec_id", "pre", "post", "depth", F.col("node_key").alias("branch"))
+    tree = _tree(spark, d, rf"[^.\[\]]+|.*{_ENTRY}(\.(code|name))?")
+    named = nested.flat(tree, r".*codes(?:\.\*|\[\])", {"code": "string", "name": "string"}).select("doc", "pre", F.col("code").alias("own_code"), "name")
+    entries = tree.filter(F.col("is_node") & F.col("shape").rlike(rf"{_ENTRY}$")).select("rec_id", "doc", "pre", "post", "depth", "node_path", "kind", "node_key", "value")
+    branches = tree.filter("is_node AND depth = 1").select("doc", "pre", "post", "depth", F.col("node_key").alias("branch"))
     held = nested.contained(branches, entries, ["branch"])
     code = F.coalesce("own_code", F.when(~F.col("node_key").startswith("["), F.col("node_key")))
-    return held.join(named, ["rec_id", "pre"], "left").select("rec_id", "pre", "post", "node_path", F.col("p_branch").alias("branch"), "kind", code.alias("code"), F.coalesce("name", "value").alias("name"))
+    return held.join(named, ["doc", "pre"], "left").select("rec_id", "node_path", F.col("p_branch").alias("branch"), "kind", code.alias("code"), F.coalesce("name", "value").alias("name"))
 
 
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of each branch as one flat row."""
-    return nested.flat(_tree(spark, d), r"(?:python|ocr|best)\.terms", {"insuTerm": "string", "payTerm": "string", "renew": "string", "specialNotes": "string"}).select("rec_id", "node_path", F.col("parent_path").alias("branch"), "insuTerm", "payTerm", "renew", "specialNotes")
+    """Terms of each branch as one flat row; ``ageRange`` where it is a text, its other shapes are in p6_ages."""
+    fields = ("insuTerm", "payTerm", "ageRange", "renew", "specialNotes")
+    tree = nested.nodes(read(spark, d, "hybrid_result"), keep=rf"(python|ocr|best)\.terms(\.({'|'.join(fields)}))?")
+    return nested.flat(tree, r"(?:python|ocr|best)\.terms", dict.fromkeys(fields, "string")).select("rec_id", "node_path", F.col("parent_path").alias("branch"), *fields)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p4_found, p4_report, p5_found, p5_values, p6_found, p6_entries, p6_terms, p6_riders, p6_variants, p6_attempts, p6_errors, p6_pages, p6_branches, p6_ages)}
+    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p4_found, p4_report, p5_found, p5_values, p6_found, p6_unreadable, p6_entries, p6_terms, p6_riders, p6_variants, p6_attempts, p6_errors, p6_pages, p6_branches, p6_ages)}
+
+
+# Every JSON value with its parent; the keys of nodes by their places, without quotes.
+_JSON = """
+WITH t AS (SELECT rec_id, j.id, j.parent, j.key, j.type AS kind, json_extract_string(j.value, '$') AS text, j.value AS value, substr(replace(j.fullkey, '"', ''), 3) AS f
+    FROM (SELECT * FROM hybrid_result WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'), json_tree(payload) j)
+"""
+_KIND = "CASE {0} WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
 
 
 _REFS = """
@@ -193,8 +216,22 @@ judged AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p6_terms": " UNION ALL ".join(f"""SELECT rec_id, '{b}.terms' AS node_path, '{b}' AS branch, json_extract_string(t, '$.insuTerm') AS "insuTerm", json_extract_string(t, '$.payTerm') AS "payTerm", json_extract_string(t, '$.renew') AS renew, json_extract_string(t, '$.specialNotes') AS "specialNotes"
+        "p6_terms": " UNION ALL ".join(f"""SELECT rec_id, '{b}.terms' AS node_path, '{b}' AS branch, json_extract_string(t, '$.insuTerm') AS "insuTerm", json_extract_string(t, '$.payTerm') AS "payTerm", CASE WHEN json_type(t, '$.ageRange') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN json_extract_string(t, '$.ageRange') END AS "ageRange", json_extract_string(t, '$.renew') AS renew, json_extract_string(t, '$.specialNotes') AS "specialNotes"
             FROM (SELECT rec_id, json_extract(payload, '$.{b}.terms') AS t FROM hybrid_result) WHERE json_type(t) = 'OBJECT'""" for b in ("python", "ocr", "best")),
+        "p6_riders": _JSON + """SELECT r.rec_id, r.f AS node_path, e.f AS entry_path, json_extract_string(r.value, '$.code') AS code, json_extract_string(r.value, '$.name') AS name
+            FROM t r JOIN t a ON a.rec_id = r.rec_id AND a.id = r.parent JOIN t e ON e.rec_id = r.rec_id AND e.id = a.parent JOIN t c ON c.rec_id = r.rec_id AND c.id = e.parent
+            WHERE r.kind = 'OBJECT' AND a.kind = 'ARRAY' AND a.key = 'riders' AND e.kind = 'OBJECT' AND c.key = 'codes'""",
+        "p6_entries": _JSON + f"""SELECT e.rec_id, e.f AS node_path, b.key AS branch, {_KIND.format('e.kind')} AS kind, coalesce(CASE WHEN e.kind = 'OBJECT' THEN json_extract_string(e.value, '$.code') END, CASE WHEN c.kind = 'OBJECT' THEN e.key END) AS code,
+            CASE WHEN e.kind = 'OBJECT' THEN json_extract_string(e.value, '$.name') WHEN e.kind NOT IN ('ARRAY', 'NULL') THEN e.text END AS name
+            FROM t e JOIN t c ON c.rec_id = e.rec_id AND c.id = e.parent JOIN t b ON b.rec_id = e.rec_id AND b.kind = 'OBJECT' AND b.f NOT LIKE '%.%' AND starts_with(e.f, b.f || '.') AND b.f <> ''
+            WHERE c.key = 'codes' AND (c.kind = 'OBJECT' OR c.kind = 'ARRAY' AND e.kind = 'OBJECT')""",
+        "p6_ages": _JSON + """, range AS (SELECT * FROM t WHERE key = 'ageRange' AND f LIKE '%.ageRange')
+            SELECT s.rec_id, s.f AS node_path, e.f AS entry_path, 'list' AS form, json_extract_string(e.value, '$.pay') AS pay, json_extract_string(s.value, '$.sex') AS sex, try_cast(json_extract_string(s.value, '$.from') AS INT) AS age_from, try_cast(json_extract_string(s.value, '$.to') AS INT) AS age_to, NULL AS text
+            FROM t s JOIN t l ON l.rec_id = s.rec_id AND l.id = s.parent JOIN t e ON e.rec_id = s.rec_id AND e.id = l.parent JOIN range r ON r.rec_id = s.rec_id AND r.id = e.parent
+            WHERE s.kind = 'OBJECT' AND l.key = 'ages' AND l.kind = 'ARRAY' AND e.kind = 'OBJECT' AND r.kind = 'ARRAY'
+            UNION ALL SELECT s.rec_id, s.f, e.f, 'object', e.key, s.key, try_cast(nullif(regexp_extract(s.text, '^[^0-9]*([0-9]+)[^0-9]*~[^0-9]*([0-9]+)[^0-9]*$', 1), '') AS INT), try_cast(nullif(regexp_extract(s.text, '^[^0-9]*([0-9]+)[^0-9]*~[^0-9]*([0-9]+)[^0-9]*$', 2), '') AS INT), s.text
+            FROM t s JOIN t e ON e.rec_id = s.rec_id AND e.id = s.parent JOIN range r ON r.rec_id = s.rec_id AND r.id = e.parent WHERE s.kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND e.kind = 'OBJECT' AND r.kind = 'OBJECT'
+            UNION ALL SELECT r.rec_id, r.f, p.f, 'text', NULL, NULL, NULL, NULL, r.text FROM range r JOIN t p ON p.rec_id = r.rec_id AND p.id = r.parent WHERE r.kind = 'VARCHAR'""",
         "p6_found": """WITH t AS (SELECT rec_id, j.type AS kind, replace(j.fullkey, '"', '') AS f, replace(j.path, '"', '') AS up FROM (SELECT * FROM hybrid_result WHERE payload IS NOT NULL), json_tree(payload) j)
             SELECT rec_id, substr(f, 3) AS node_path, coalesce(nullif(substr(regexp_replace(f, '\\.[^.]*$', ''), 3), ''), '') AS parent_path
             FROM t WHERE f <> '$' AND (kind = 'OBJECT' OR (regexp_matches(up, '[.]codes$') AND NOT regexp_matches(f, '\\]$')))""",

@@ -208,14 +208,14 @@ def brute(node, path="", parent="", key="", depth=0, entry=False):
 def test_nested(spark):
     deep = "{" + '"a":{' * 400 + "}" * 400 + "}"
     rows = [(1, json.dumps(PAYLOAD), 5), (2, None, 5), (3, "{}", 5), (4, "[1]", 5), (5, "nope", 5), (6, deep, 5), (1, json.dumps(PAYLOAD), 5)]
-    df = spark.createDataFrame(rows, "rec_id bigint, payload string, pre int")
+    df = spark.createDataFrame(rows, "rec_id bigint, payload string, doc int")
     tree = nested.nodes(df).cache()
     got = sorted((r.node_path, r.parent_path) for r in tree.filter("is_node AND rec_id = 1").collect())
     assert got == sorted(list(brute(PAYLOAD)) * 2)
     assert tree.filter("is_node AND rec_id = 6").count() == 400
     assert {r.rec_id for r in nested.errors(df).collect()} == {4, 5}
     riders = nested.flat(tree, r".*\.riders\[\]", {"code": "string", "name": "string"})
-    assert sorted((r.code, r.name) for r in riders.filter("rec_id = 1").collect() if r.code) == [("12", "c"), ("13", None)]
+    assert sorted((r.code, r.name) for r in riders.filter("rec_id = 1").collect() if r.code) == [("12", "c")] * 2 + [("13", None)] * 2
     assert nested.nodes(df.limit(0)).count() == 0
 
 
@@ -229,6 +229,42 @@ def test_labels(value):
     assert got == sorted(brute(record))
 
 
+def test_nested_repeated_ids(spark, tmp_path):
+    """Records of one rec_id keep their own links, exact copies too."""
+    one = lambda *names: json.dumps({"python": {"codes": {"11": {"riders": [{"code": n, "variants": [{"code": n, "limit": {"max": int(n)}}]} for n in names]}}}})
+    rows = [(1, one("1", "2")), (1, one("3")), (None, one("4")), (1, one("3"))]
+    spark.createDataFrame(rows, "rec_id bigint, payload string").write.parquet(f"{tmp_path}/hybrid_result.parquet")
+    d = str(tmp_path)
+    assert sorted((str(r.rec_id), r.code, r.entry_path) for r in problems.p6_riders(spark, d).collect()) == [("1", c, "python.codes.11") for c in "1233"] + [("None", "4", "python.codes.11")]
+    assert sorted((r.code, r.limit_max, r.rider_path) for r in problems.p6_variants(spark, d).collect()) == [("1", 1, "python.codes.11.riders[0]"), ("2", 2, "python.codes.11.riders[1]"), ("3", 3, "python.codes.11.riders[0]"), ("3", 3, "python.codes.11.riders[0]"), ("4", 4, "python.codes.11.riders[0]")]
+
+
+def test_nested_deep(spark):
+    deep = '{"k": ' * 3_000 + "[1, {}]" + "}" * 3_000
+    very = '{"k": ' * 200_000 + '"\\u00e9"' + "}" * 200_000
+    assert nested._read_deep(very)["k"]["k"] is not None
+    df = spark.createDataFrame([(1, deep), (2, deep[:-1]), (3, "[" * 100_000)], "rec_id bigint, payload string")
+    assert nested.nodes(df, only_nodes=True).groupBy("rec_id").count().collect()[0]["count"] == 3_000
+    assert {r.rec_id for r in nested.errors(df).collect()} == {2, 3}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False), st.text(max_size=5)), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=12), st.sampled_from([None, 1]), st.text("{}[],:\"1 a", max_size=2), st.integers(0, 40))
+def test_read_deep(value, indent, noise, at):
+    text = json.dumps(value, indent=indent)
+    assert nested._read_deep(text) == value
+    text = text[:at] + noise + text[at:]
+    try:
+        wanted = json.loads(text)
+    except ValueError:
+        wanted = ValueError
+    try:
+        got = nested._read_deep(text)
+    except ValueError:
+        got = ValueError
+    assert got == wanted
+
+
 def hybrid(spark, tmp_path, payloads):
     """A folder with these payloads, numbered from 1, as hybrid_result."""
     spark.createDataFrame(list(enumerate(payloads, 1)), "rec_id bigint, payload string").write.parquet(f"{tmp_path}/hybrid_result.parquet")
@@ -241,7 +277,7 @@ def test_ages_of_all_shapes(spark, tmp_path):
         json.dumps({"python": terms([{"pay": "7년납", "ages": [{"sex": "남", "from": 15, "to": 70}]}]), "ocr": terms({"5년납": {"남": "5~80", "여": "만 5세~83"}, "5.5년납": {"남": "?", "여": None}})}),
         json.dumps({"best": terms("5년납(남:15~70)"), "ocr": terms(""), "python": terms(None), "analysis": {"terms": {"ageRange": True}}}), None, "{}",
     ])
-    got = [tuple(r)[:1] + tuple(r)[2:] for r in problems.p6_ages(spark, d).collect()]
+    got = [tuple(r) for r in problems.p6_ages(spark, d).collect()]
     assert sorted(got, key=str) == sorted([
         (1, "python.terms.ageRange[0].ages[0]", "python.terms.ageRange[0]", "list", "7년납", "남", 15, 70, None),
         (1, "ocr.terms.ageRange.5년납.남", "ocr.terms.ageRange.5년납", "object", "5년납", "남", 5, 80, "5~80"), (1, "ocr.terms.ageRange.5년납.여", "ocr.terms.ageRange.5년납", "object", "5년납", "여", 5, 83, "만 5세~83"),
