@@ -5,9 +5,15 @@ precomputed. One multi-pattern automaton (Aho-Corasick) holds them all; it is ru
 texts, leftmost and longest first. Matches close to each other are a passage of their pair; a passage counts once its
 evidence suffices, and only its matched spans are replaced, so that correct text beside it stays untouched.
 
+CP949 read as UTF-8 loses most bytes; what stays are characters that the bytes of neighbouring syllables happen to form. These are generated
+from the bytes of the syllables; a passage counts if nearly all letters of its range in it can be formed so and don't stand in words with Latin ones.
+Marks on Latin letters are no evidence, and other scripts (Cyrillic, Armenian, Hebrew, Arabic, Latin letters with marks) hold letters that no syllables form.
+
 Pairs that lose bytes (replacement characters, dropped bytes) can't be undone as a whole: their passages are found and kept. In UTF-8 read as
 cp949, ``restore`` gives back the runs in which every byte of whole characters is left; what stands beside lost bytes is kept.
 
+Reading by Shift-JIS is no pair: in nearly every text it loses bytes. A single character read by a seldom reader (Mac, CP437) is no evidence; two syllables side by side are.
+
 Defined results: null gives null and no passage; empty and blank texts are sound; a text without passages comes back
 as it is; texts are run over whole, whatever their length; repeated rows give equal results.
 """
@@ -15,6 +21,7 @@ as it is; texts are run over whole, whatever their length; repeated rows give eq
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,6 +32,7 @@ from daram.session import ship
 
 GAP = 24
 LONGEST = 16
+UNFORMED = 0.1
 
 
 @dataclass(frozen=True)
@@ -44,11 +52,13 @@ PAIRS = (
     Pair("utf8_latin1_twice", "utf-8", "latin-1", 2), Pair("utf8_cp1252_twice", "utf-8", "cp1252", 2),
     Pair("cp949_latin1", "cp949", "latin-1", least=2, side_by_side=2), Pair("cp949_cp1252", "cp949", "cp1252", least=2, side_by_side=2),
     Pair("cp949_gbk", "cp949", "gbk", least=4, side_by_side=4),
+    Pair("utf8_mac", "utf-8", "mac-roman", least=2, side_by_side=2), Pair("utf8_cp437", "utf-8", "cp437", least=2, side_by_side=2),
 )
 SYLLABLES = [chr(c) for c in range(0xAC00, 0xD7A4)]
+SELDOM = ("mac-roman", "cp437")  # readers with an automaton of their own, so that their sequences don't hide those of the others; syllables and other characters only
 KS_SYLLABLES = [s for s in SYLLABLES if len(b := s.encode("cp949")) == 2 and b[0] >= 0xB0 and b[1] >= 0xA1]
-# Further characters of the corpus that several bytes write: Latin letters and signs, Hangul letters, punctuation, enclosed numbers, CJK signs, Greek, hanja of the basic set.
-OTHERS = [chr(c) for r in ((0xA0, 0x180), (0x391, 0x3CA), (0x1100, 0x1200), (0x2010, 0x2028), (0x2030, 0x203C), (0x20A9, 0x20AD), (0x2103, 0x2123), (0x2150, 0x2180), (0x2190, 0x21D5), (0x2200, 0x2290), (0x2460, 0x2500), (0x25A0, 0x2670), (0x3000, 0x3020), (0x3131, 0x3164), (0x3200, 0x3400), (0xFF01, 0xFF5F)) for c in range(*r)]
+# Further characters of the corpus that several bytes write: Latin letters and signs, Hangul letters, punctuation, enclosed numbers, CJK signs, Greek, Cyrillic, kana, hanja of the basic set.
+OTHERS = [chr(c) for r in ((0xA0, 0x180), (0x391, 0x3CA), (0x401, 0x460), (0x1100, 0x1200), (0x2010, 0x2028), (0x2030, 0x203C), (0x20A9, 0x20AD), (0x2103, 0x2123), (0x2150, 0x2180), (0x2190, 0x21D5), (0x2200, 0x2290), (0x2460, 0x2500), (0x25A0, 0x2670), (0x3000, 0x3020), (0x3041, 0x3100), (0x3131, 0x3164), (0x3200, 0x3400), (0xFF01, 0xFF5F)) for c in range(*r)]
 HANJA = [chr(c) for c in range(0x4E00, 0x9FA6)]
 EMOJI = [chr(c) for r in ((0x2600, 0x27C0), (0x1F300, 0x1F650), (0x1F680, 0x1F700), (0x1F900, 0x1FA00), (0xFE00, 0xFE10)) for c in range(*r)]
 CJK = range(0x3400, 0xA000)
@@ -81,7 +91,7 @@ def garbled(char: str, pair: Pair) -> str | None:
 def sequences():
     """(garbled sequence, pair's place, original) of all pairs, then the sequences of the pairs that lose bytes with no original."""
     for i, pair in enumerate(PAIRS):
-        repertoire = KS_SYLLABLES if pair.read == "gbk" else SYLLABLES + OTHERS + HANJA + EMOJI
+        repertoire = KS_SYLLABLES if pair.read == "gbk" else SYLLABLES + OTHERS if pair.read in SELDOM else SYLLABLES + OTHERS + HANJA + EMOJI
         for c in repertoire:
             if pair.written == "cp949" and not c.isascii() and 0xA0 <= ord(c) < 0x180:
                 continue
@@ -103,15 +113,18 @@ def sequences():
                     yield head + tail, LOSSY_CP949, None
             yield head + "�", LOSSY_CP949, None
             yield "�" + head, LOSSY_CP949, None
-    # cp949 read as UTF-8: bytes that happen to form two-byte characters of scripts the corpus doesn't write
-    for lead in range(0xC4, 0xE0):
-        for trail in range(0x80, 0xC0):
-            c = bytes([lead, trail]).decode("utf-8")
-            if not 0x370 <= ord(c) < 0x400:  # Greek letters are written here on purpose
-                yield c, LOSSY_UTF8, None
+    for c in formed():
+        yield c, LOSSY_UTF8, None
     yield "��", BROKEN, None
 
 
+def formed() -> set[str]:
+    """Characters of two bytes, beyond Latin-1, that bytes of syllables form when CP949 is read as UTF-8: both of one syllable, or the last of one and the first of the next."""
+    firsts, lasts = {s.encode("cp949")[0] for s in KS_SYLLABLES}, {s.encode("cp949")[1] for s in KS_SYLLABLES}
+    pairs = [bytes([a, b]) for a, b in [*((a, b) for a in firsts for b in lasts), *((a, b) for a in lasts for b in firsts)] if 0xC4 <= a < 0xE0 and 0x80 <= b < 0xC0]
+    return {p.decode("utf-8") for p in pairs}
+
+
 LOSSY_CP949, LOSSY_UTF8, BROKEN = len(PAIRS), len(PAIRS) + 1, len(PAIRS) + 2
 NAMES = [*(p.name for p in PAIRS), "utf8_cp949", "cp949_utf8", "replaced"]
 LEAST = [*(p.least for p in PAIRS), 2, 3, 1]
@@ -124,29 +137,39 @@ class Finder:
     def __init__(self) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        signs: set[str] = set()
+        self.parts = []
+        parts: tuple[dict, dict] = {}, {}
         for g, pair, original in sequences():
-            if (known := self.automaton.get(g, None)) is None:
-                self.automaton.add_word(g, (len(g), ((pair, original),)))
-            else:
-                self.automaton.add_word(g, (len(g), (*known[1], (pair, original))))
-            signs.update(c for c in g if not (c.isascii() or 0xAC00 <= ord(c) < 0xD7A4))
-        self.automaton.make_automaton()
-        # every sequence holds a sign that is neither ASCII nor a syllable, so the automaton need only run around these
-        self.sign = re.compile("[" + re.escape("".join(sorted(signs))) + "]+")
+            seldom = pair < len(PAIRS) and PAIRS[pair].read in SELDOM
+            parts[seldom].setdefault(g, []).append((pair, original))
+        for part in parts:
+            automaton = ahocorasick.Automaton()
+            for g, meanings in part.items():
+                automaton.add_word(g, (len(g), tuple(meanings)))
+            automaton.make_automaton()
+            # every sequence holds a sign that is neither ASCII nor a syllable, so the automaton need only run around these
+            signs = {c for g in part for c in g if not (c.isascii() or 0xAC00 <= ord(c) < 0xD7A4)}
+            self.parts.append((automaton, re.compile("[" + re.escape("".join(sorted(signs))) + "]+")))
+        # pairs of seldom readers need two syllables side by side, three characters each: texts without that aren't run a second time
+        leads = ["".join({garbled(c, p)[0] for c in SYLLABLES}) for p in PAIRS if p.read in SELDOM]
+        self.seldom = re.compile("|".join(f"[{re.escape(x)}][^\x00-\x7f]{{2}}[{re.escape(x)}]" for x in leads))
+        gbk = next(p for p in PAIRS if p.read == "gbk")
+        self.gbk_signs = {g: c for c in OTHERS if (g := garbled(c, gbk)) and len(g) == 1 and not "가" <= g <= "힣"}
+        formable = formed()
+        self.unformed = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x100, 0x800)) if c not in formable and not 0x370 <= ord(c) < 0x3D0 and c.isalpha())) + "]")
 
     def matches(self, text: str):
-        """All matches, leftmost and longest first. Between stretches around signs no sequence can lie, so they are left out."""
-        start, end = 0, -1
-        for m in self.sign.finditer(text):
-            if (begin := max(0, m.start() - LONGEST)) > end:
-                if end >= 0:
-                    yield from self.automaton.iter_long(text, start, end)
-                start = begin
-            end = min(len(text), m.end() + LONGEST)
-        if end >= 0:
-            yield from self.automaton.iter_long(text, start, end)
+        """All matches of each automaton, leftmost and longest first. Between stretches around signs no sequence can lie, so they are left out."""
+        for automaton, sign in self.parts[: 2 if self.seldom.search(text) else 1]:
+            start, end = 0, -1
+            for m in sign.finditer(text):
+                if (begin := max(0, m.start() - LONGEST)) > end:
+                    if end >= 0:
+                        yield from automaton.iter_long(text, start, end)
+                    start = begin
+                end = min(len(text), m.end() + LONGEST)
+            if end >= 0:
+                yield from automaton.iter_long(text, start, end)
 
     def passages(self, text: str) -> list[tuple[str, int, int, list]]:
         """(pair, start, end, [(start, end, original)]) of every passage with enough evidence."""
@@ -165,14 +188,26 @@ class Finder:
             out += self._sure(text, pair, run)
         return self._choose(out)
 
-    @staticmethod
-    def _sure(text: str, pair: int, run: list) -> list:
+    def _sure(self, text: str, pair: int, run: list) -> list:
         if len(run) < LEAST[pair]:
             return []
+        if pair == LOSSY_UTF8:  # letters in Latin words are no evidence, nor are those that stand among others of their range that no syllables form; Greek letters are written on purpose
+            run = [h for h in run if not 0x370 <= ord(text[h[0]]) < 0x400 and not _in_latin_word(text, h[0])]
+            if len(run) < LEAST[pair] or len({ord(text[h[0]]) >> 7 for h in run}) < 2:  # one block of letters is a script, several side by side are not
+                return []
+            start, end = run[0][0], run[-1][1]
+            while start and text[start - 1].isalpha():
+                start -= 1
+            while end < len(text) and text[end].isalpha():
+                end += 1
+            if len(self.unformed.findall(text, start, end)) > len(run) * UNFORMED:
+                return []
         if pair < len(PAIRS) and PAIRS[pair].read == "gbk":  # whole words of hanja must read as syllables; hanja written on purpose don't
             if len(_whole_words(text, run, 2)) < LEAST[pair]:
                 return []
             run = _whole_words(text, run, 1)
+            signs = self.gbk_signs  # single signs among the words went the same way
+            run = sorted([*run, *((i, i + 1, signs[text[i]]) for i in range(run[0][0], run[-1][1]) if text[i] in signs)], key=lambda h: h[0])
         elif SIDE[pair] > 1:  # Latin letters in a row may read as hanja by chance; syllables side by side are the evidence
             syllables = [h for h in run if h[2] and "가" <= h[2] <= "힣"]
             if len(syllables) < LEAST[pair] or not any(a[1] == b[0] for a, b in zip(syllables, syllables[1:])):
@@ -181,11 +216,12 @@ class Finder:
 
     @staticmethod
     def _choose(found: list) -> list:
-        """Of passages that claim the same spans the one with more spans counts; of equals the one named first."""
+        """Of passages that claim the same spans, or the same stretch where a seldom reader is one of them, the one with the longer spans counts; of equals the one named first."""
+        seldom = {p.name for p in PAIRS if p.read in SELDOM}
         kept: list = []
         for p in sorted(found, key=lambda p: (-sum(b - a for a, b, _ in p[3]), NAMES.index(p[0]))):
             spans = {a for a, _, _ in p[3]}
-            if not any(p[1] < k[2] and k[1] < p[2] and spans & {a for a, _, _ in k[3]} for k in kept):
+            if not any(p[1] < k[2] and k[1] < p[2] and (p[0] in seldom or k[0] in seldom or spans & {a for a, _, _ in k[3]}) for k in kept):
                 kept.append(p)
         return sorted(kept, key=lambda p: p[1])
 
@@ -257,6 +293,17 @@ def _decoded(text: str, start: int, end: int) -> tuple[int, str] | None:
     return best
 
 
+def _in_latin_word(text: str, at: int) -> bool:
+    """Whether the letters around a place hold an ASCII letter."""
+    for step in (-1, 1):
+        i = at + step
+        while 0 <= i < len(text) and i - at < LONGEST and at - i < LONGEST and (text[i].isalpha() or unicodedata.combining(text[i])):
+            if text[i].isascii():
+                return True
+            i += step
+    return False
+
+
 def _whole_words(text: str, run: list, least: int) -> list:
     """Matches that fill a whole run of at least so many hanja."""
     keep: list = []
