@@ -6,6 +6,10 @@ every constraint holds, leaves the smallest weighted norm of the residual vector
 weighted dot product of residual and item). An item above the token capacity alone is split into full
 containers and a rest; nothing else is split.
 
+The capacities besides tokens are parameters of ``assign``. By default both can bind: ``documents_factor`` (8) times the documents that
+a full container of the corpus holds on average, and ``cost_share`` (0.9) of the cost of one piece that fills the
+container. A piece that alone exceeds the cost capacity gets a container of its own.
+
 Items are packed in independent groups of about ``GROUP_ROWS`` by a hash of their id and their place in the
 written sizes, so the work is spread evenly whatever the sizes and however often an id is repeated, and only the
 last few containers of each group stay open.
@@ -18,6 +22,8 @@ Defined results:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,11 +31,12 @@ from pyspark.sql import functions as F
 
 from daram.session import cut, ship
 
-GROUP_ROWS = 20_000
+GROUP_ROWS = 10_000
 MAX_PACKS = 100
-TOKENS_PER_DOCUMENT = 8
+DOCUMENTS_FACTOR = 8.0
+COST_SHARE = 0.9
 WEIGHTS = (1.0, 0.1, 0.1)
-PLACED = "pack_name string, capacity_tokens int, group_id int, doc_id bigint, piece_no int, start_token bigint, n_tokens int, container bigint"
+PLACED = "pack_name string, capacity_tokens int, doc_id bigint, piece_no int, start_token bigint, n_tokens int, container bigint"
 
 
 class Bins:
@@ -87,7 +94,7 @@ class Bins:
         self.open = n
 
 
-def pack(sizes: np.ndarray, capacity: int, max_documents: int | None = None, max_cost: float | None = None, rule: str = "norm", weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pack(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float, rule: str = "norm", weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of items with the given sizes: (item, start, length, container)."""
     sizes = np.asarray(sizes, np.int64)
     full, rest = sizes // capacity, sizes % capacity
@@ -95,44 +102,54 @@ def pack(sizes: np.ndarray, capacity: int, max_documents: int | None = None, max
     number = np.arange(len(split)) - np.repeat(np.cumsum(full) - full, full)
     tail = np.flatnonzero((rest > 0) | (sizes == 0))
     order = tail[np.argsort(-rest[tail], kind="stable")]
-    limits = np.array([capacity, max_documents or max(1, capacity // TOKENS_PER_DOCUMENT), max_cost or float(capacity) ** 2])
-    bins = Bins(limits, np.asarray(weights), rule)
+    alone = int((rest[order].astype(float) ** 2 > max_cost).sum())  # the longest ones come first
+    bins = Bins(np.array([capacity, max(1, max_documents), max_cost], float), np.asarray(weights), rule)
     where = np.empty(len(order), np.int64)
+    where[:alone] = np.arange(alone)
     least = float(rest[order[-1]]) if len(order) else 0.0
-    for i, length in enumerate(rest[order].tolist()):
-        where[i] = bins.place(np.array([length, 1.0, float(length) * length]))
+    for i, length in enumerate(rest[order[alone:]].tolist(), alone):
+        where[i] = alone + bins.place(np.array([length, 1.0, float(length) * length]))
         if i % 512 == 511:
             bins.close(least)
     item = np.concatenate([split, order])
     start = np.concatenate([number * capacity, full[order] * capacity])
     length = np.concatenate([np.full(len(split), capacity), rest[order]])
-    return item, start, length, np.concatenate([bins.made + np.arange(len(split)), where])
+    return item, start, length, np.concatenate([alone + bins.made + np.arange(len(split)), where])
+
 
+def assign(
+    sizes: DataFrame, packs: DataFrame, rule: str = "norm", group_rows: int = GROUP_ROWS, max_documents: int | None = None, documents_factor: float = DOCUMENTS_FACTOR,
+    cost_share: float = COST_SHARE, weights: tuple[float, float, float] = WEIGHTS,
+) -> DataFrame:
+    """(doc_id, n_tokens) and (pack_name, capacity_tokens; a fixed few rows) to one row per piece and pack.
 
-def assign(sizes: DataFrame, packs: DataFrame, rule: str = "norm", group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, n_tokens) and (pack_name, capacity_tokens; a fixed few rows) to one row per piece and pack."""
+    ``max_documents`` is the capacity in documents, or else ``documents_factor`` times what a full container holds on average; ``cost_share`` is that of the attention
+    cost, as a share of the squared token capacity; ``weights`` are those of tokens, documents and cost in the norm or product. One shuffle of ids and sizes; every
+    group is packed for all packs at once.
+    """
     ship(sizes.sparkSession)
     sizes = cut(sizes.select("doc_id", "n_tokens"))
-    groups = max(1, -(-sizes.count() // group_rows))
-    offers = [F.struct(F.lit(n).alias("name"), F.lit(c).cast("int").alias("tokens")) for n, c in sorted((r["pack_name"] or "", r["capacity_tokens"]) for r in packs.select("pack_name", "capacity_tokens").filter(F.col("capacity_tokens") >= 1).limit(MAX_PACKS + 1).collect())]
+    offers = sorted({(r["pack_name"] or "", int(r["capacity_tokens"])) for r in packs.select("pack_name", "capacity_tokens").filter(F.col("capacity_tokens") >= 1).limit(MAX_PACKS + 1).collect()})
     if len(offers) > MAX_PACKS:
         raise ValueError(f"more than {MAX_PACKS} packs")
-    if not offers:
-        offers = [F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("tokens"))]
-    group = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    each = sizes.withColumn("group_id", group).withColumn("pack", F.explode(F.array(*offers)))
+    pieces = lambda c: F.sum(F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / c)))
+    whole = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), *(pieces(c).alias(f"p{i}") for i, (_, c) in enumerate(offers))).first()  # one row
+    groups = max(1, -(-whole["n"] // group_rows))
+    limits = [max_documents or max(2, math.ceil(documents_factor * (whole[f"p{i}"] or 0) * c / max(1, whole["tokens"] or 0))) for i, (_, c) in enumerate(offers)]
 
     def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
-        item, start, length, container = pack(rows["n_tokens"].to_numpy(), int(key[1]), rule=rule)
-        ids = rows["doc_id"].to_numpy()[item]
-        return pd.DataFrame({
-            "pack_name": key[0], "capacity_tokens": int(key[1]), "group_id": int(key[2]), "doc_id": ids, "piece_no": start // int(key[1]), "start_token": start, "n_tokens": length,
-            "container": container * groups + int(key[2]),
-        })
-
-    each = each.select("doc_id", "n_tokens", "group_id", F.col("pack.name").alias("pack_name"), F.col("pack.tokens").alias("capacity_tokens")).filter(F.col("capacity_tokens").isNotNull())
-    return each.groupBy("pack_name", "capacity_tokens", "group_id").applyInPandas(fill, PLACED).drop("group_id")
+        tokens, ids = rows["n_tokens"].to_numpy(), rows["doc_id"].array
+        parts = [pd.DataFrame(columns=[c.split(" ")[0] for c in PLACED.split(", ")])] if not offers else []
+        for (name, capacity), documents in zip(offers, limits):
+            item, start, length, container = pack(tokens, capacity, documents, cost_share * float(capacity) ** 2, rule, weights)
+            parts.append(pd.DataFrame({
+                "pack_name": name, "capacity_tokens": capacity, "doc_id": ids[item], "piece_no": start // capacity, "start_token": start, "n_tokens": length, "container": container * groups + int(key[0]),
+            }))
+        return pd.concat(parts)
+
+    group = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    return sizes.groupBy(group.alias("group_id")).applyInPandas(fill, PLACED)
 
 
 def usage(placed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from daram.llm import bpe, packing
 
@@ -77,21 +78,33 @@ def test_columns(spark):
         at += n
 
 
-@settings(max_examples=100, deadline=None)
-@given(sizes=st.lists(st.integers(0, 60), max_size=60), capacity=st.integers(1, 30), rule=st.sampled_from(["norm", "dot"]))
-def test_pack(sizes, capacity, rule):
+@settings(max_examples=200, deadline=None)
+@given(sizes=st.lists(st.integers(0, 60), max_size=60), capacity=st.integers(1, 30), rule=st.sampled_from(["norm", "dot"]), documents=st.integers(1, 6), share=st.sampled_from([0.3, 0.6, 0.9, 1.0]))
+def test_pack(sizes, capacity, rule, documents, share):
     sizes = np.array(sizes, np.int64)
-    limit = max(1, capacity // packing.TOKENS_PER_DOCUMENT)
-    item, start, length, container = packing.pack(sizes, capacity, rule=rule)
+    cost = share * capacity**2
+    item, start, length, container = packing.pack(sizes, capacity, documents, cost, rule=rule)
     for i, size in enumerate(sizes):
         mine = sorted((s, n) for s, n in zip(start[item == i], length[item == i]))
         assert sum(n for _, n in mine) == size and [s for s, _ in mine] == [k * capacity for k in range(len(mine))] and mine
         assert size > capacity or len(mine) == 1
     for b in np.unique(container):
-        assert length[container == b].sum() <= capacity and (container == b).sum() <= limit
+        held = length[container == b]
+        assert held.sum() <= capacity and len(held) <= documents and ((held**2).sum() <= cost or len(held) == 1)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_each_capacity_binds(rule):
+    """Items that fit by two of the capacities are kept apart by the third alone."""
+    bins = lambda sizes, *limits: len(np.unique(packing.pack(np.array(sizes), *limits, rule=rule)[3]))
+    loose = (100, 100, 1e9)
+    assert bins([60, 50], *loose) == 2 and bins([60, 40], *loose) == 1  # tokens
+    assert bins([10, 10, 10], 100, 2, 1e9) == 2 and bins([10, 10, 10], 100, 3, 1e9) == 1  # documents
+    assert bins([60, 30, 10], 100, 100, 4000) == 2 and bins([60, 30, 10], 100, 100, 4600) == 1  # cost
+    assert bins([80, 10], 100, 100, 3600) == 2  # alone beyond the cost
 
 
-def brute(sizes, capacity, limits, weights):
+def brute(sizes, limits, weights):
     """Best fit by the definition: every open container is scored for every item."""
     bins, out = [], []
     for n in sorted(sizes, reverse=True):
@@ -109,9 +122,9 @@ def brute(sizes, capacity, limits, weights):
 def test_pack_is_best_fit():
     rng = np.random.default_rng(2)
     for _ in range(5):
-        sizes = rng.integers(1, 100, 300)
-        limits = np.array([100, 12, 10_000.0])
-        assert abs(len(np.unique(packing.pack(sizes, 100)[3])) - brute(sizes, 100, limits, np.array(packing.WEIGHTS))) <= 1
+        sizes = rng.integers(1, 90, 300)
+        limits = np.array([100, 3, 8_100.0])
+        assert abs(len(np.unique(packing.pack(sizes, 100, 3, 8_100.0)[3])) - brute(sizes, limits, np.array(packing.WEIGHTS))) <= 1
 
 
 def test_assign(spark):
@@ -124,5 +137,8 @@ def test_assign(spark):
         assert p["n_tokens"].sum() == sum((i * 37) % 500 for i in range(3000)) + 5005
         assert p.groupby("container")["n_tokens"].sum().max() <= capacity
     usage = {r.pack_name: r.share_used for r in packing.usage(packing.assign(sizes, packs, group_rows=500)).collect()}
-    assert min(usage.values()) > 0.97
+    assert min(usage.values()) > 0.95
+    free = packing.assign(sizes, packs, group_rows=500, documents_factor=100, cost_share=1.0).groupBy("pack_name").agg(F.countDistinct("container").alias("n")).collect()
+    tight = packing.assign(sizes, packs, group_rows=500, max_documents=2).groupBy("pack_name", "container").count().groupBy("pack_name").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).collect()
+    assert {r.most for r in tight} == {2} and {r.pack_name: r.n for r in tight}["b"] > {r.pack_name: r.n for r in free}["b"]
     assert packing.assign(sizes.limit(0), packs).count() == 0 and packing.assign(sizes, packs.limit(0)).count() == 0
