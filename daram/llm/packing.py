@@ -33,6 +33,7 @@ from daram.session import cut, ship
 
 GROUP_ROWS = 10_000
 MAX_PACKS = 100
+MAX_TASKS = 10_000
 DOCUMENTS_FACTOR = 8.0
 COST_SHARE = 0.9
 WEIGHTS = (1.0, 0.1, 0.1)
@@ -149,7 +150,8 @@ def assign(
         return pd.concat(parts)
 
     group = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    return sizes.groupBy(group.alias("group_id")).applyInPandas(fill, PLACED)
+    spread = sizes.withColumn("group_id", group).repartition(min(groups, MAX_TASKS), "group_id")  # by number, as these small rows take long: they must not be put together by their bytes
+    return spread.groupBy("group_id").applyInPandas(fill, PLACED)
 
 
 def usage(placed: DataFrame) -> DataFrame:
