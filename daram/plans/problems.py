@@ -42,23 +42,23 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return unify.records(read(spark, d, "batch_export"), _aliases(spark))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, orphans.Verdicts]:
     log, pattern, example = (read(spark, d, t) for t in ("correction_log", "learned_pattern", "few_shot_example"))
     refs = (
-        orphans.references(pattern, "learned_pattern", "pattern_id", "learned_from_log_id", "correction_log")
+        orphans.references(pattern, "learned_pattern", "pattern_id", "learned_from_log_id", "correction_log", resent=False)  # pattern_id is unique
         .unionByName(orphans.references(example, "few_shot_example", "example_id", "source_log_id", "correction_log"))
         .unionByName(orphans.references(example, "few_shot_example", "example_id", "related_pattern_id", "learned_pattern"))
     )
-    known = orphans.targets({"correction_log": (log, "log_id"), "learned_pattern": (pattern, "pattern_id")}, read(spark, d, "deleted_key"))
-    return orphans.judge(refs, known)
+    alive = orphans.existing({"correction_log": (log, "log_id"), "learned_pattern": (pattern, "pattern_id")})
+    return refs, orphans.settle(refs, alive, orphans.removed(read(spark, d, "deleted_key")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).filter(F.col("orphan_kind").isNotNull()).select("table_name", "row_id", "field_name", "orphan_kind")
+    return orphans.judge(*_references(spark, d)).select("table_name", "row_id", "field_name", "orphan_kind")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.report(_judged(spark, d))
+    return orphans.report(*_references(spark, d))
 
 
 def _packed_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -110,29 +110,35 @@ def at(day):
     return dt.datetime(2024, 1, day)
 
 
-def judged(spark, refs, alive, gone, **k):
+def settled(spark, refs, alive, gone, **k):
     a = spark.createDataFrame(refs, "id bigint, ref bigint, created_at timestamp_ntz, target string, alive string")
     t = spark.createDataFrame(alive, "key bigint, created_at timestamp_ntz, gone string")
     g = spark.createDataFrame(gone, "table_name string, key_id bigint")
-    return orphans.judge(orphans.references(a, "a", "id", "ref", "t"), orphans.targets({"t": (t, "key")}, g), **k)
+    r = orphans.references(a, "a", "id", "ref", "t")
+    return r, orphans.settle(r, orphans.existing({"t": (t, "key")}), orphans.removed(g), **k)
 
 
 def test_orphans(spark):
-    refs = [(1, 10, at(5), "x", "y"), (1, 10, at(5), "x", "y"), (2, None, at(5), "", ""), (3, 11, at(5), "", ""), (4, 12, at(5), "", ""), (5, 13, at(5), "", ""), (6, 14, None, "", ""), (7, 15, at(9), "", "")]
+    refs = [(1, 10, at(5), "x", "y"), (1, 10, at(5), "x", "y"), (2, None, at(5), "", ""), (3, 11, at(5), "", ""), (4, 12, at(5), "", ""), (5, 13, at(5), "", ""), (6, 14, None, "", ""), (7, 15, at(9), "", ""), (8, 11, at(7), "", "")]
     alive = [(10, at(1), "z"), (10, at(9), "z"), (11, at(6), ""), (14, at(6), ""), (15, None, ""), (None, at(1), "")]
     gone = [("t", 12), ("t", 12), ("u", 13), ("t", 10), (None, None)]
-    wanted = {1: None, 3: "late", 4: "deleted", 5: "missing", 6: None, 7: None}
-    for heavy in (1, 10_000):
-        got = judged(spark, refs, alive, gone, heavy_rows=heavy).collect()
-        assert {r.row_id: r.orphan_kind for r in got} == wanted and len(got) == len(wanted)
-    assert judged(spark, [], [], []).count() == 0
-    assert {r.n_references for r in orphans.report(judged(spark, refs, alive, gone)).collect()} == {5, 1}
+    for share in (0.001, 0.2, 2.0):  # all keys heavy, one, none
+        r, v = settled(spark, refs, alive, gone, heavy_share=share)
+        assert sorted((x.row_id, x.orphan_kind) for x in orphans.judge(r, v).collect()) == [(3, "late"), (4, "deleted"), (5, "missing")]
+        assert sorted((str(x.period), x.n_references, x.n_missing, x.n_deleted, x.n_late) for x in orphans.report(r, v).collect()) == [("2024-01", 6, 1, 1, 1), ("None", 1, 0, 0, 0)]
+    r, v = settled(spark, [], [], [])
+    assert orphans.judge(r, v).count() == 0 and orphans.report(r, v).count() == 0
 
 
 def test_orphans_hot_key(spark):
-    refs = [(i, 1 if i % 3 else i, at(5), "", "") for i in range(600)]
-    got = judged(spark, refs, [(1, at(6), "")], [], heavy_rows=50, heavy_keys=5).groupBy("orphan_kind").count().collect()
-    assert {r.orphan_kind: r["count"] for r in got} == {"late": 400, "missing": 200}
+    """A key with two thirds of all references is heavy, and only it; the result is that of no split."""
+    refs = [(i, 1 if i % 3 else i, at(5 + i % 9), "", "") for i in range(3_000)] + [(5_000 + i, 2, at(3), "", "") for i in range(900)]
+    for share, n in ((0.1, 2), (2.0, 0)):
+        r, v = settled(spark, refs, [(1, at(10), "")], [("t", 2)], heavy_share=share)
+        assert v.heavy.count() == n
+        got = {x.orphan_kind: x["count"] for x in orphans.judge(r, v).groupBy("orphan_kind").count().collect()}
+        assert got == {"late": sum(1 for i in range(3_000) if i % 3 and i % 9 < 5), "missing": 1_000, "deleted": 900}
+        assert [(x.n_references, x.n_missing, x.n_deleted, x.n_late) for x in orphans.report(r, v).collect()] == [(3_900, 1_000, 900, got["late"])]
 
 
 def test_packed():
