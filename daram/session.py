@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_kept: set[str] = set()
+_stored: dict[str, list[str]] = {}
+_made: list[str] = []
+atexit.register(lambda: [shutil.rmtree(f.removeprefix("file://"), ignore_errors=True) for f in _made])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,16 +26,47 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none (tests)."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Without one a local session (one machine, as in tests) gets a temporary folder; a cluster gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if folder:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(folder)
-        return folder
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="daram-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    set_dir = context._jsc.sc().getCheckpointDir()
+    if not folder:
+        if not set_dir.isEmpty():
+            return set_dir.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="daram-")
+        _made.append(folder)
+    if set_dir.isEmpty():
+        context.setCheckpointDir(folder)
+    return folder if spark.conf.get("spark.checkpoint.dir", None) else context._jsc.sc().getCheckpointDir().get()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is deleted when the application ends."""
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/daram-{context.applicationId}"
+    if folder not in _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _kept.add(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that were stored so far; results that read them must be written before."""
+    for folder in _stored.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder for one stored table or stream, which ``release`` deletes."""
+    folder = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -40,7 +77,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def store(df: DataFrame) -> DataFrame:
     """Cut the lineage with a parquet table in the shared folder: compressed and columnar, for what is read several times."""
-    path = f"{shared_dir(df.sparkSession)}/daram-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,7 +94,7 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     whole = os.path.join(top, f)
                     z.write(whole, os.path.join("daram", os.path.relpath(whole, PACKAGE)))
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/daram-{context.applicationId}/daram.zip")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{own_dir(spark)}/daram.zip")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
     out.write(bytearray(packed.getvalue()))
     out.close()

@@ -1,27 +1,25 @@
-"""Corrections as a stream: a fold into versions of the pattern state, and windowed counts.
+"""Corrections as a stream: a fold into the pattern state, and windowed counts.
 
-Each micro-batch reads the state of the version before and writes its own, so a batch that is run again
-after a failure gives the same version. Versions and the ids already seen live in the shared folder.
+The state is Spark's own: one stateful operator leaves out logs sent before by their ids, another keeps the value and the
+count of every pattern. A micro-batch reads and writes only the keys it touches and gives their new
+versions, under its number, so that a batch that is run again after a failure gives the same; the latest version of each key is the result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from daram.plans.mutations import corrections
-from daram.session import read, shared_dir
+from daram.session import new_folder
 
 KEYS = ["insu_cd", "field_name"]
-STATE = "insu_cd string, field_name string, pattern_value string, last_log_id bigint, n bigint"
 
 
-def fold_batch(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after the corrections of a batch: the value of the greatest log id, and the number of corrections."""
-    new = corrections(batch).groupBy(*KEYS).agg(F.max_by("value", "log_id").alias("pattern_value"), F.max("log_id").alias("last_log_id"), F.count(F.lit(1)).alias("n"))
-    return state.unionByName(new).groupBy(*KEYS).agg(F.max_by("pattern_value", "last_log_id").alias("pattern_value"), F.max("last_log_id").alias("last_log_id"), F.sum("n").alias("n"))
+def fold(rows: DataFrame) -> DataFrame:
+    """Corrections to the value of the greatest log id per pattern, and the number of corrections; streaming or not."""
+    return corrections(rows).groupBy(*KEYS).agg(F.max_by("value", "log_id").alias("pattern_value"), F.max("log_id").alias("last_log_id"), F.count(F.lit(1)).alias("n"))
 
 
 def scored(state: DataFrame) -> DataFrame:
@@ -29,31 +27,25 @@ def scored(state: DataFrame) -> DataFrame:
 
 
 def learn(spark: SparkSession, source: str, folder: str, files_per_batch: int = 4) -> DataFrame:
-    """Runs over all files there are and gives the last version; logs that were sent before are left out by their ids."""
+    """Runs over all files there are and gives the last version of every pattern; logs that were sent before are left out by their ids."""
     schema = spark.read.parquet(source).schema
-
-    def version(epoch: int) -> DataFrame:
-        return spark.createDataFrame([], STATE) if epoch < 0 else spark.read.schema(STATE).parquet(f"{folder}/state/{epoch}")
-
-    last = [-1]
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        batch = batch.dropDuplicates(["log_id"])
-        if epoch:
-            batch = batch.join(spark.read.schema("log_id bigint").parquet(*(f"{folder}/seen/{e}" for e in range(epoch))), "log_id", "left_anti")
-        batch = batch.persist()
-        batch.select("log_id").write.mode("overwrite").parquet(f"{folder}/seen/{epoch}")
-        fold_batch(version(epoch - 1), batch).write.mode("overwrite").parquet(f"{folder}/state/{epoch}")
-        batch.unpersist()
-        last[0] = epoch
-
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a stream reads folders: the one file of its folder
         reader, source = reader.option("pathGlobFilter", path.getName()), str(path.getParent())
-    stream = reader.parquet(source)
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return version(last[0])
+    versions = fold(reader.parquet(source).dropDuplicates(["log_id"]))
+    kept = versions.schema
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/versions/epoch={epoch}")
+
+    versions.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], kept)
+    every = spark.read.schema(StructType([*kept, StructField("epoch", LongType())])).parquet(f"{folder}/versions")
+    rest = ("pattern_value", "last_log_id", "n")
+    return every.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "epoch").alias("v")).select(*KEYS, *(f"v.{c}" for c in rest))
 
 
 def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "7 days") -> DataFrame:
@@ -63,5 +55,4 @@ def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "7 days
 
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     """The whole correction log as a stream; equal to the fold of a batch."""
-    read(spark, d, "correction_log")
-    return scored(learn(spark, f"{d}/correction_log.parquet", f"{shared_dir(spark)}/learning-{uuid.uuid4().hex}"))
+    return scored(learn(spark, f"{d}/correction_log.parquet", new_folder(spark)))

@@ -75,6 +75,33 @@ def test_stream(spark, tmp_path):
     assert {(r.insu_cd, r.field_name): (r.pattern_value, r.apply_count) for r in got if r.field_name == "insuTerm"} == {("c0", "insuTerm"): ("t3", 1), ("c1", "insuTerm"): ("t4", 1), ("c2", "insuTerm"): ("t5", 1)}
 
 
+def test_shared_dir(spark, monkeypatch):
+    """A cluster without a shared folder is an error; stored tables go when they are released."""
+    import pytest
+
+    from daram import session
+
+    df = session.store(spark.range(5))
+    assert df.count() == 5 and df.inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir"))
+    session.release(spark)
+    with pytest.raises(Exception, match="(?i)not.exist|not found"):
+        df.count()
+
+    class Nothing:
+        def __getattr__(self, name):
+            return lambda *_: self if name != "isEmpty" else True
+
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("X", (), {"master": "spark://x:7077", "_jsc": Nothing()})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Bare)
+    Bare.sparkContext.master = "local-cluster[3,2,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Bare)
+
+
 def test_windowed_counts(spark, tmp_path):
     rows = spark.createDataFrame([(i, "c", None, None, None) for i in range(3)], LOG).withColumn("created_at", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.col("log_id") * 9))
     rows.write.parquet(str(tmp_path / "w"))
