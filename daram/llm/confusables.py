@@ -44,25 +44,21 @@ def table() -> tuple[str, str]:
     return "".join(pairs), "".join(pairs.values())
 
 
-# Letters as digits: beside a digit, or alone in front of a unit or a range sign.
-_DIGITS = (
-    (r"(^|[^A-Za-z])[Oo](\s*[~세년])", r"\g1" "0" r"\g2"),
-    (r"([0-9])[Oo]", r"\g1" "0"), (r"([0-9])[Oo]", r"\g1" "0"), (r"[Oo]([0-9])", "0" r"\g1"), (r"[Oo]([0-9])", "0" r"\g1"),
-    (r"([0-9])[lI]", r"\g1" "1"), (r"([0-9])[lI]", r"\g1" "1"), (r"[lI]([0-9])", "1" r"\g1"), (r"[lI]([0-9])", "1" r"\g1"),
-    (r"(^|[^A-Za-z])[lI](\s*[~세년])", r"\g1" "1" r"\g2"),
-    (r"([0-9])[Oo]", r"\g1" "0"), (r"[Oo]([0-9])", "0" r"\g1"),
-)
+# Letters as digits: a run of digits and these letters with at least one digit, or of these letters alone in front of a unit or a range sign.
+_WORDS = r"[A-Za-z0-9]+\s*[~세년]?|[^A-Za-z0-9]+"
+_RUNS = "[0-9OolI]+|[^0-9OolI]+"
+_ALONE = r"^[OolI]+\s*[~세년]$"
 
 
 def statement() -> str:
     """The embedded SQL over a relation ``part`` with a column ``text``; parameters: the translate pair.
 
-    Texts of plain signs only skip the translation, which leaves them as they are; forms without O, o, I, l skip the digits.
+    Texts of plain signs only skip the translation, which leaves them as they are; forms without O, o, I, l skip the digits. Both give a fixed point: the form of a form is itself.
     """
-    form = f"nfc_normalize(translate(regexp_replace(text, '[{SHOWS_NOTHING}]', '', 'g'), $1, $2))"
-    digits = "mapped"
-    for pattern, put in _DIGITS:
-        digits = f"regexp_replace({digits}, '{pattern}', '{put.replace(chr(92) + 'g', chr(92))}', 'g')"
+    form = f"nfc_normalize(translate(nfc_normalize(regexp_replace(text, '[{SHOWS_NOTHING}]', '', 'g')), $1, $2))"
+    read = "translate({0}, 'OolI', '0011')"
+    runs = f"array_to_string(list_transform(regexp_extract_all(w, '{_RUNS}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN {read.format('x')} ELSE x END), '')"
+    digits = f"array_to_string(list_transform(regexp_extract_all(mapped, '{_WORDS}'), lambda w: CASE WHEN regexp_matches(w, '{_ALONE}') THEN {read.format('w')} WHEN regexp_matches(w, '[0-9]') THEN {runs} ELSE w END), '')"
     return f"""
         WITH a AS (SELECT *, CASE WHEN regexp_matches(text, '[^ -~\\n\\r\\t가-힣]') THEN {form} ELSE text END AS mapped FROM part),
         b AS (SELECT * EXCLUDE (mapped), CASE WHEN regexp_matches(mapped, '[OolI]') THEN {digits} ELSE mapped END AS form FROM a)

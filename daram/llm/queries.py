@@ -44,7 +44,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_forms(spark: SparkSession, d: str) -> DataFrame:
-    return confusables.normalise(_lookalike_texts(spark, d)).withColumn("comparable", confusables.comparable(F.col("form"))).distinct()
+    """Every text with its consistent form; a re-sent log once, left out by its id before anything is normalised."""
+    texts = _lookalike_texts(spark, d)
+    once = texts.filter("table_name <> 'correction_log'").unionByName(texts.filter("table_name = 'correction_log'").dropDuplicates(["row_id"]))
+    return confusables.normalise(once).withColumn("comparable", confusables.comparable(F.col("form")))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +87,13 @@ _BLANKS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}
 _SHUT = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{00AD}\x{034F}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 
 
+# Fixed values, written apart from the operator's own tables: signs that look like others, by ranges. Invisible ones, spaces, wide and narrow forms, letters for formulas, and the letters and signs of other scripts that the tables hold.
+_ODD = (
+    r"[\x{0001}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{0084}\x{0086}-\x{00A0}\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{1680}\x{180B}-\x{180F}\x{2000}-\x{200F}\x{2010}\x{2011}\x{2024}\x{202A}-\x{202F}\x{2044}\x{2053}\x{205F}-\x{206F}\x{2215}\x{2223}\x{223C}\x{223D}\x{2236}"
+    r"\x{3000}\x{3007}\x{301C}\x{3131}-\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FF01}-\x{FF5E}\x{FFA0}-\x{FFDC}\x{FFE0}-\x{FFE6}\x{1D400}-\x{1D7FF}\x{0391}-\x{03A9}\x{03BF}\x{03F9}\x{0405}\x{0406}\x{0410}-\x{042F}\x{0430}\x{0435}\x{043E}\x{0440}\x{0441}\x{0443}\x{0445}\x{0455}\x{0456}\x{0458}\x{04AE}\x{04C0}\x{04CF}\x{02D0}\x{02DC}\x{02F8}\x{05C3}\x{A789}\x{0589}\x{2160}\x{217C}\x{2768}\x{2769}\x{201A}\x{01C0}]"
+)
+
+
 def _blank(c: str) -> str:
     return f"({c} IS NULL OR regexp_replace(CAST({c} AS VARCHAR), '{_BLANKS}', '', 'g') IN ('', '-', '—'))"
 
@@ -107,8 +117,6 @@ def oracle_sql() -> dict[str, str]:
             WHEN m = 'E' OR period_value = 999 THEN 'E999' WHEN NOT {_blank('period_kind')} AND period_value IS NOT NULL THEN m || CAST(period_value AS VARCHAR) END AS p FROM u),
     t AS (SELECT k, p, min(map_id) AS group_id, max(filled) AS f, max(loaded_at) AS a, max(trust) AS r, count(*) AS n FROM g WHERE p IS NOT NULL GROUP BY k, p)
     SELECT group_id, min(map_id) AS best_id FROM t JOIN g USING (k, p) WHERE n > 1 AND filled = f AND loaded_at = a AND trust = r GROUP BY group_id HAVING count(*) = 1"""
-    form, (wide, narrow) = confusables.statement(), confusables.table()
-    form = form.replace("$1", "'" + wide.replace("'", "''") + "'").replace("$2", "'" + narrow.replace("'", "''") + "'")
     part = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS row_id, '{f}' AS field_name, {f} AS text FROM {t}" for t, k, f in (("uw_code_mapping", "map_id", "entry_age_m"), ("correction_log", "log_id", "corrected.ageRange"), ("parse_result", "parse_id", "terms.ageRange")))
-    alike = f"WITH part AS ({part}), found AS ({form}) SELECT DISTINCT table_name, row_id, field_name FROM found WHERE differs"
+    alike = f"SELECT DISTINCT table_name, row_id, field_name FROM ({part}) WHERE regexp_matches(text, '{_ODD}') OR nfc_normalize(text) <> text OR regexp_matches(text, '[0-9][OolI]|[OolI][0-9]') OR regexp_matches(text, '(^|[^A-Za-z0-9])[OolI]+\\s*[~세년]')"
     return {"p2_found": best, "p7_found": alike}

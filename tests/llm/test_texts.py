@@ -75,12 +75,21 @@ def test_lookalikes(spark):
         "만 15세 ~ 80세": None, "①5년납(남:15~80), B플랜 0~65세": None, "—": None, "-": None, "": None, " \n": None, "5·6、7…": None, "L플랜 5~7": None, "I": None,
         "１５～８０": "15~80", "15〜80": "15~80", "남꞉15": "남:15", unicodedata.normalize("NFD", "10년납"): "10년납", "1\u200b5": "15", "15\u2009~\u00a080": "15 ~ 80", "𝟏𝟓~𝟖𝟎": "15~80",
         "4O~55": "40~55", "l5~6o": "15~60", "2Ο년납": "20년납", "O~7О": "0~70", "남:I9~70": "남:19~70", "（남；１）": "(남;1)", "А플랜": "A플랜",
+        "1OOOOOO": "1000000", "OOO세": "000세", "lOO세~I2O": "100세~120", "OIO": None, "Oil 5년": None, "lI": None,
     }
     assert forms(spark, list(cases)) == [(c if w is None else w, w is not None) for c, w in cases.items()]
     assert forms(spark, [None, "１" * 200_000]) == [(None, False), ("1" * 200_000, True)]
     assert forms(spark, ["１"])[0] == forms(spark, ["1"])[0][:1] + (True,)
 
 
+def test_lookalikes_fixed_point(spark):
+    """The form of a form is itself."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("OolI0123~세년 ５Ο〜꞉\u200b\u3000각ᄀ\u0301é𝟏ㅏＡ-") for _ in range(rng.randint(0, 12))) for _ in range(3_000)]
+    once = [f for f, _ in forms(spark, texts)]
+    assert [d for _, d in forms(spark, once)] == [False] * len(once)
+
+
 KOREAN = "가입나이는 15세부터 60세이고 보험료 납입을 면제합니다."
 
 
