@@ -119,4 +119,7 @@ def oracle_sql() -> dict[str, str]:
     SELECT group_id, min(map_id) AS best_id FROM t JOIN g USING (k, p) WHERE n > 1 AND filled = f AND loaded_at = a AND trust = r GROUP BY group_id HAVING count(*) = 1"""
     part = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS row_id, '{f}' AS field_name, {f} AS text FROM {t}" for t, k, f in (("uw_code_mapping", "map_id", "entry_age_m"), ("correction_log", "log_id", "corrected.ageRange"), ("parse_result", "parse_id", "terms.ageRange")))
     alike = f"SELECT DISTINCT table_name, row_id, field_name FROM ({part}) WHERE regexp_matches(text, '{_ODD}') OR nfc_normalize(text) <> text OR regexp_matches(text, '[0-9][OolI]|[OolI][0-9]') OR regexp_matches(text, '(^|[^A-Za-z0-9])[OolI]+\\s*[~세년]')"
-    return {"p2_found": best, "p7_found": alike}
+    values = ", ".join(f"arg_max({c}, {{'r': trust, 'a': coalesce(loaded_at, TIMESTAMP '0001-01-01'), 'v': {c}}}) FILTER (NOT {_blank(c)}) AS {c}" for c in survivorship.FIELDS)
+    survivors = best.replace(best[best.index("    t AS ("):], f"    x AS (SELECT 1) SELECT min(map_id) AS group_id, count(*) AS n_rows, k AS code_key, p AS period_key, {values} FROM g WHERE p IS NOT NULL GROUP BY k, p")
+    survivors = f"SELECT s.*, f.best_id FROM ({survivors}) s LEFT JOIN ({best}) f USING (group_id)"
+    return {"p2_survivors": survivors, "p2_found": best, "p7_found": alike}

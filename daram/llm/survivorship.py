@@ -1,7 +1,9 @@
 """Problem 2: the best representative of each duplicate group, field by field.
 
-One aggregation, combined on the map side, takes for every attribute the greatest struct
-(non-blank, source priority, time, value). The same aggregation finds the row that no other row of its
+One aggregation takes for every attribute the greatest struct (non-blank, source priority, time, value); blanks are null structs,
+which never count. Rows are shuffled once and whole, as groups are small and thirteen structs a row are wider than the row; the
+groups that hold at least ``HEAVY_SHARE`` of the rows (1 / HEAVY_SHARE of them at most) are spread over salts and
+aggregated twice. The same aggregation finds the row that no other row of its
 group beats or equals: the greatest (fill, time, trust) must reach all three maxima and be held by one row.
 
 Defined results:
@@ -17,10 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daram.functions.text import is_blank, spelling
+from daram.session import store
 
 # The thirteen fields from src_file to class_tag.
 FIELDS = ("src_file", "code", "product_name", "main_code", "period_label", "period_value", "pay_term", "entry_age_m", "entry_age_f", "product_group", "type_label", "period_kind", "class_tag")
 WHOLE_LIFE = 999
+HEAVY_SHARE = 0.001
+SALTS = 64
+KEY = ["code_key", "period_key"]
 
 
 def period_key(label: Column, kind: Column, value: Column) -> Column:
@@ -53,21 +59,34 @@ def prepare(mapping: DataFrame, trust: DataFrame) -> DataFrame:
     )
 
 
-def survive(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One row per group: its surviving value of every field, its size, and ``best_id`` (null where no row is best)."""
-    lead = ("filled", "loaded_at", "trust")
-    value = lambda c: F.max(F.struct((~is_blank(F.col(c))).alias("given"), "trust", "loaded_at", F.col(c).alias("value")))
-    grouped = rows.groupBy("code_key", "period_key").agg(
+LEAD = ("filled", "loaded_at", "trust")
+
+
+def _maxima(rows: DataFrame, keys: list[str], fields: tuple[str, ...]) -> DataFrame:
+    value = lambda c: F.max(F.when(~is_blank(F.col(c)), F.struct("trust", "loaded_at", F.col(c).alias("value")))).alias(f"s_{c}")
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("map_id").alias("group_id"),
-        F.max(F.struct(*lead, "map_id")).alias("top"), F.max(F.struct(*lead, (-F.col("map_id")).alias("neg_id"))).alias("low"),
-        F.max("filled").alias("max_filled"), F.max("loaded_at").alias("max_at"), F.max("trust").alias("max_trust"),
-        *(value(c).alias(f"s_{c}") for c in fields),
+        F.max(F.struct(*LEAD, "map_id")).alias("top"), F.max(F.struct(*LEAD, (-F.col("map_id")).alias("neg_id"))).alias("low"),
+        F.max("filled").alias("max_filled"), F.max("loaded_at").alias("max_at"), F.max("trust").alias("max_trust"), *(value(c) for c in fields),
     )
+
+
+def _combined(parts: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Maxima of the salts of a group put together."""
+    most = ("top", "low", "max_filled", "max_at", "max_trust", *(f"s_{c}" for c in fields))
+    return parts.groupBy(*KEY).agg(F.sum("n_rows").alias("n_rows"), F.min("group_id").alias("group_id"), *(F.max(c).alias(c) for c in most))
+
+
+def survive(rows: DataFrame, fields: tuple[str, ...] = FIELDS, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """One row per group: its surviving value of every field, its size, and ``best_id`` (null where no row is best)."""
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    heavy = store(sizes.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))), F.col("n") >= heavy_share * F.col("total")).select(*KEY, F.lit(True).alias("heavy")))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("map_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    spread = rows.join(F.broadcast(heavy), KEY, "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).withColumn("salt", salt).repartition(*KEY, "salt")
+    parts = _maxima(spread, [*KEY, "salt", "heavy"], fields)
+    grouped = parts.filter("NOT heavy").drop("salt", "heavy").unionByName(_combined(parts.filter("heavy"), fields)) if heavy.head(1) else parts.drop("salt", "heavy")
     best = (
         (F.col("n_rows") > 1) & (F.col("top.filled") == F.col("max_filled")) & F.col("top.loaded_at").eqNullSafe(F.col("max_at"))
         & (F.col("top.trust") == F.col("max_trust")) & (F.col("top.map_id") == -F.col("low.neg_id"))
     )
-    return grouped.select(
-        "group_id", "n_rows", "code_key", "period_key", F.when(best, F.col("top.map_id")).alias("best_id"),
-        *(F.when(F.col(f"s_{c}.given"), F.col(f"s_{c}.value")).alias(c) for c in fields),
-    )
+    return grouped.select("group_id", "n_rows", *KEY, F.when(best, F.col("top.map_id")).alias("best_id"), *(F.col(f"s_{c}.value").alias(c) for c in fields))

@@ -38,6 +38,15 @@ def test_fields(spark):
     assert survivors(spark, []) == []
 
 
+def test_heavy_groups(spark):
+    """A group of a third of the rows is spread over salts and comes out as one, as without the split."""
+    rows = [row(i, code="hot", day=1 + i % 28, pay_term=f"p{i % 7}" if i % 3 else "-", channel="ab"[i % 2]) for i in range(1, 301)] + [row(1000 + i, code=str(i), day=2, pay_term="x") for i in range(600)]
+    trust = spark.createDataFrame([("a", 10), ("b", 20)], "load_channel string, trust_rank int")
+    prepared = S.prepare(spark.createDataFrame(rows, DDL), trust)
+    got = [sorted(map(str, S.survive(prepared, heavy_share=h).collect())) for h in (0.1, 2.0, 0.0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 601
+
+
 def test_periods(spark):
     cases = [("10년만기", None, None, "N10"), ("갱신형(10년)", None, None, "R10"), ("1년마다 갱신", None, None, "R1"), ("100세까지", None, None, "S100"), ("종신 보장", None, None, "E999"), (None, "S", 80, "S80"), ("-", "e", None, "E999"), ("", None, 999, "E999"), (None, "N", None, None), ("기타", "N", 5, "?기타")]
     df = spark.createDataFrame(cases, "l string, k string, v int, w string").select(S.period_key(F.col("l"), F.col("k"), F.col("v")).alias("p"), "w")
@@ -46,4 +55,5 @@ def test_periods(spark):
 
 def test_against_sql(spark):
     con = compare.tables(FOLDER)
-    assert compare.rows(queries.p2_found(spark, FOLDER).toPandas()) == compare.rows(con.execute(queries.oracle_sql()["p2_found"]).df())
+    for name in ("p2_found", "p2_survivors"):
+        assert compare.rows(queries.queries()[name](spark, FOLDER).toPandas()) == compare.rows(con.execute(queries.oracle_sql()[name]).df())
