@@ -14,7 +14,7 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_survivors(spark, d).filter(F.col("best_id").isNotNull()).select("group_id", "best_id")
+    return survivorship.best_rows(survivorship.prepare(read(spark, d, "uw_code_mapping"), read(spark, d, "source_trust")))
 
 
 def _truncatable(spark: SparkSession, d: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Problem 2: the best representative of each duplicate group, field by field.
 
 One aggregation takes for every attribute the greatest struct (non-blank, source priority, time, value); blanks are null structs,
-which never count. Rows are shuffled once and whole, as groups are small and thirteen structs a row are wider than the row; the
-groups that hold at least ``HEAVY_SHARE`` of the rows (1 / HEAVY_SHARE of them at most) are spread over salts and
-aggregated twice. The same aggregation finds the row that no other row of its
+which never count. Rows are written once with their keys, then shuffled once and whole, as groups are small and thirteen structs a row are
+wider than the row; the groups that hold at least ``HEAVY_SHARE`` of the rows (1 / HEAVY_SHARE of them at most) are spread over salts and
+aggregated twice. For the best rows alone (``best_rows``) few and narrow maxima do, which are combined on the map side. The same aggregation finds the row that no other row of its
 group beats or equals: the greatest (fill, time, trust) must reach all three maxima and be held by one row.
 
 Defined results:
@@ -77,16 +77,27 @@ def _combined(parts: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return parts.groupBy(*KEY).agg(F.sum("n_rows").alias("n_rows"), F.min("group_id").alias("group_id"), *(F.max(c).alias(c) for c in most))
 
 
+def _best() -> Column:
+    """The row that reaches all three maxima of its group, if one alone does."""
+    best = (
+        (F.col("n_rows") > 1) & (F.col("top.filled") == F.col("max_filled")) & F.col("top.loaded_at").eqNullSafe(F.col("max_at"))
+        & (F.col("top.trust") == F.col("max_trust")) & (F.col("top.map_id") == -F.col("low.neg_id"))
+    )
+    return F.when(best, F.col("top.map_id"))
+
+
+def best_rows(rows: DataFrame) -> DataFrame:
+    """(group_id, best_id) of the groups with a best row: the maxima of ``survive`` without those of the fields."""
+    return _maxima(rows, KEY, ()).select("group_id", _best().alias("best_id")).filter(F.col("best_id").isNotNull())
+
+
 def survive(rows: DataFrame, fields: tuple[str, ...] = FIELDS, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """One row per group: its surviving value of every field, its size, and ``best_id`` (null where no row is best)."""
+    rows = store(rows)
     sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     heavy = store(sizes.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))), F.col("n") >= heavy_share * F.col("total")).select(*KEY, F.lit(True).alias("heavy")))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("map_id"), F.lit(SALTS))).otherwise(0).cast("int")
     spread = rows.join(F.broadcast(heavy), KEY, "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))).withColumn("salt", salt).repartition(*KEY, "salt")
     parts = _maxima(spread, [*KEY, "salt", "heavy"], fields)
     grouped = parts.filter("NOT heavy").drop("salt", "heavy").unionByName(_combined(parts.filter("heavy"), fields)) if heavy.head(1) else parts.drop("salt", "heavy")
-    best = (
-        (F.col("n_rows") > 1) & (F.col("top.filled") == F.col("max_filled")) & F.col("top.loaded_at").eqNullSafe(F.col("max_at"))
-        & (F.col("top.trust") == F.col("max_trust")) & (F.col("top.map_id") == -F.col("low.neg_id"))
-    )
-    return grouped.select("group_id", "n_rows", *KEY, F.when(best, F.col("top.map_id")).alias("best_id"), *(F.col(f"s_{c}.value").alias(c) for c in fields))
+    return grouped.select("group_id", "n_rows", *KEY, _best().alias("best_id"), *(F.col(f"s_{c}.value").alias(c) for c in fields))
