@@ -13,18 +13,14 @@ def lines(c: Column) -> Column:
 
 def sections(df: DataFrame, text: str, heading: str, keys: list[str]) -> DataFrame:
     """One row per line below a heading: (keys, section, line_no, line). The last heading before a line names its section;
-    heading lines and lines before the first heading are left out. A fold over the row's own lines.
+    heading lines and lines before the first heading are left out. The lines between two headings are cut out as one slice, so time is in proportion to the text.
     """
-    state = F.aggregate(
-        F.transform(lines(F.col(text)), lambda x, i: F.struct(x.alias("line"), i.alias("line_no"))),
-        F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<struct<section:string,line_no:int,line:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.coalesce(F.nullif(F.regexp_extract(x["line"], heading, 1), F.lit("")), acc["now"]).alias("now"),
-            F.when(F.regexp_extract(x["line"], heading, 1).isin("") & acc["now"].isNotNull(), F.array_append(acc["out"], F.struct(acc["now"].alias("section"), x["line_no"].alias("line_no"), x["line"].alias("line")))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return df.select(*keys, F.explode(state).alias("s")).select(*keys, "s.*")
+    head = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), F.regexp_extract(x, heading, 1).alias("section")))
+    parts = df.select(*keys, lines(F.col(text)).alias("_lines")).withColumn("_heads", F.filter(head, lambda h: h["section"] != ""))
+    end = lambda i: F.coalesce(F.get("_heads", i + 1)["at"], F.size("_lines"))
+    cut = F.transform("_heads", lambda h, i: F.struct(h["section"].alias("section"), h["at"].alias("at"), F.slice(F.col("_lines"), h["at"] + 2, end(i) - h["at"] - 1).alias("below")))
+    below = parts.select(*keys, F.explode(cut).alias("s")).select(*keys, "s.section", "s.at", F.posexplode("s.below").alias("n", "line"))
+    return below.select(*keys, "section", (F.col("at") + F.col("n") + 1).alias("line_no"), "line")
 
 
 def with_neighbours(c: Column, before: int, after: int) -> Column:
@@ -34,17 +30,15 @@ def with_neighbours(c: Column, before: int, after: int) -> Column:
     return F.transform(F.array(lines(c)), per_line)[0]  # bound as a variable, so the text is split once and not for each line
 
 
-def combine(c: Column, done: str, ahead: int = 2) -> Column:
-    """Lines without what ``done`` matches take up to ``ahead`` following lines until one has it; every line is used once.
+def combine(df: DataFrame, text: str, keys: list[str], done: str, ahead: int = 2) -> DataFrame:
+    """(keys, part_no, part): lines without what ``done`` matches take up to ``ahead`` following lines until one has it; every line is used once, empty ones are left out.
 
-    A fold: the open part, how many lines it took, and the finished lines.
+    What ``done`` matches must stand in one line. The lines behind one such line, to the next, are a run; runs are cut into slices of
+    ``ahead`` + 1 lines, so time is in proportion to the text.
     """
-    empty = F.array().cast("array<string>")
-
-    def step(acc, x):
-        joined = F.when(acc["open"] == "", x).otherwise(F.concat_ws(" ", acc["open"], x))
-        full = joined.rlike(done) | (acc["taken"] >= ahead)
-        return F.struct(F.when(full, F.lit("")).otherwise(joined).alias("open"), F.when(full, F.lit(0)).otherwise(acc["taken"] + 1).alias("taken"), F.when(full, F.array_append(acc["out"], joined)).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("taken"), empty.alias("out"))
-    return F.aggregate(F.filter(lines(c), lambda x: F.trim(x) != ""), start, step, lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["open"])))
+    rows = df.select(*keys, F.filter(lines(F.col(text)), lambda x: F.trim(x) != "").alias("_lines"))
+    hits = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(done), i + 1)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_ends", F.array_distinct(F.concat(hits, F.array(F.size("_lines"))))).filter(F.size("_lines") > 0)
+    run = lambda end, i: F.struct(F.coalesce(F.when(i > 0, F.get("_ends", i - 1)), F.lit(0)).alias("start"), end.alias("end"))
+    slices = lambda r: F.transform(F.sequence(r["start"], r["end"] - 1, F.lit(ahead + 1)), lambda at: F.array_join(F.slice(F.col("_lines"), at + 1, F.least(F.lit(ahead + 1), r["end"] - at)), " "))
+    return rows.select(*keys, F.posexplode(F.flatten(F.transform(F.transform("_ends", run), slices))).alias("part_no", "part"))

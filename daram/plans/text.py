@@ -27,13 +27,13 @@ def code_normalise(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "uw_code_mapping").select("map_id", terms.join_code(F.trim("code")).alias("code"))
 
 
-@query("""SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[0-9]+[년세]납|전기납|일시납')), ',') IS NULL AS none, coalesce(len(list_distinct(regexp_extract_all(text, '[0-9]+[년세]납|전기납|일시납'))), 0) AS n_pay, coalesce(len(list_distinct(regexp_extract_all(text, '종신|[0-9]+[세년]만기'))), 0) AS n_term,
+@query("""SELECT doc_id, coalesce(len(list_distinct(regexp_extract_all(text, '[0-9]+[년세]납|전기납|일시납'))), 0) AS n_pay, coalesce(len(list_distinct(regexp_extract_all(text, '종신|[0-9]+[세년]만기'))), 0) AS n_term,
     array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+[년세]납|전기납|일시납'))), ',') AS pay, CASE WHEN contains(text, '비갱신') THEN '비갱신형' WHEN contains(text, '갱신') THEN '갱신형' ELSE '비갱신형' END AS renew FROM documents WHERE text IS NOT NULL""")
 def terms_extract(spark: SparkSession, d: str) -> DataFrame:
     """Payment terms, insurance terms and the kind of renewal named in a document."""
     t = F.col("text")
     pay = terms.pay_terms(t)
-    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.lit(False).alias("none"), F.size(pay).cast("bigint").alias("n_pay"), F.size(terms.insurance_terms(t)).cast("bigint").alias("n_term"), F.array_join(F.array_sort(pay), ",").alias("pay"), terms.renewal(t, "비갱신형").alias("renew"))
+    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(pay).cast("bigint").alias("n_pay"), F.size(terms.insurance_terms(t)).cast("bigint").alias("n_term"), F.array_join(F.array_sort(pay), ",").alias("pay"), terms.renewal(t, "비갱신형").alias("renew"))
 
 
 @query("""WITH l AS (SELECT doc_id, text, coalesce(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+ *[년세회] *납|전기납|일시납|월납|연납'), lambda x: replace(x, ' ', ''))), []) AS pay,
@@ -64,10 +64,18 @@ def line_context(spark: SparkSession, d: str) -> DataFrame:
     return x.filter(F.col("x.line").rlike(r"\(\d{5}\)")).select("doc_id", "x.line_no", F.size("x.around").alias("n_around"))
 
 
-@query(None)
+LINES = """WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS n FROM (SELECT doc_id, string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+    f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, len(list_filter(regexp_extract_all(line, '[0-9]+'), lambda x: length(x) = 5)) > 0 AS done FROM l WHERE trim(line, ' ') <> ''),
+    r AS (SELECT *, coalesce(sum(CAST(done AS INT)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM f),
+    g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY n) - 1) // 3 AS part_of_run FROM r),
+    p AS (SELECT doc_id, string_agg(line, ' ' ORDER BY n) AS part, min(n) AS n FROM g GROUP BY doc_id, run, part_of_run),
+    parts AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS part_no, part FROM p)"""
+
+
+@query(LINES + " SELECT doc_id, part_no, part FROM parts")
 def lines_combined(spark: SparkSession, d: str) -> DataFrame:
     """Lines put together until they name a code; each line is used once."""
-    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(sections.combine(F.col("text"), terms.CODE)).alias("part_no", "part"))
+    return sections.combine(read(spark, d, "documents").filter("text IS NOT NULL"), "text", ["doc_id"], terms.CODE)
 
 
 @query("""SELECT map_id, lower(regexp_replace(regexp_replace(product_name, '\\(무\\)|\\[[^\\]]*\\]', '', 'g'), '[^가-힣0-9A-Za-z]', '', 'g')) AS title FROM uw_code_mapping""")
@@ -111,7 +119,9 @@ def gender_ages(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "parse_result").select("parse_id", terms.gender_age(a, "남").alias("men"), terms.gender_age(a, "여").alias("women"))
 
 
-@query(None)
+@query("""WITH p AS (SELECT parse_id, terms.ageRange AS a, unnest(list_distinct(regexp_extract_all(terms.payTerm, '[0-9]+[년세]납|전기납|일시납'))) AS pay_term FROM parse_result),
+    s AS (SELECT *, CASE WHEN contains(a, pay_term) THEN substr(a, strpos(a, pay_term) + length(pay_term)) END AS behind FROM p)
+    SELECT parse_id, pay_term, coalesce(nullif(regexp_extract(behind, '^\\(([^)]*)\\)', 1), ''), nullif(regexp_extract(behind, '^\\s*:\\s*([^,]*)', 1), ''), a) AS ages FROM s""")
 def age_for_pay_term(spark: SparkSession, d: str) -> DataFrame:
     """Age range of each payment term a record names."""
     return read(spark, d, "parse_result").select("parse_id", F.col("terms.ageRange").alias("a"), F.explode(terms.pay_terms(F.col("terms.payTerm"))).alias("pay_term")).select("parse_id", "pay_term", terms.age_for_pay_term(F.col("a"), F.col("pay_term")).alias("ages"))

@@ -52,8 +52,11 @@ def test_votes_and_lines(spark):
     for a, b, c, wanted in [("a", "a", "b", "a"), ("a", "b", "b", "b"), ("a", "longer", "c", "longer"), ("a", None, "longer", "longer"), ("a", "b", "c", "a")]:
         df = spark.createDataFrame([(a, b, c)], "a string, b string, c string")
         assert df.select(relational.three_way_vote(*map(F.col, "abc")).alias("y")).first()["y"] == wanted
-    got = one(spark, "이름\n12345 끝\n\n다음\n또\n셋\n넷", "string", sections.combine(F.col("x"), terms.CODE))
-    assert got == ["이름 12345 끝", "다음 또 셋", "넷"]
+    rows = spark.createDataFrame([(1, "이름\n12345 끝\n\n다음\n또\n셋\n넷"), (2, None), (3, " \n"), (4, "a\n" * 40_000)], "id int, t string")
+    got = sections.combine(rows, "t", ["id"], terms.CODE).orderBy("id", "part_no").collect()
+    assert [r.part for r in got if r.id == 1] == ["이름 12345 끝", "다음 또 셋", "넷"] and [r.part_no for r in got if r.id == 1] == [0, 1, 2]
+    assert {r.id for r in got} == {1, 4} and sum(r.id == 4 for r in got) == 13_334
+    assert sections.sections(spark.createDataFrame([(1, "[A]\n" + "a\n" * 40_000)], "id int, t string"), "t", r"^\[(\w)\]", ["id"]).count() == 40_001
     df = spark.createDataFrame([(1, "x\n[A] h\na\n[B] h\nb\r\nc"), (2, None), (3, "")], "id int, t string")
     assert [(r.id, r.section, r.line) for r in sections.sections(df, "t", r"^\[(\w)\]", ["id"]).orderBy("id", "line_no").collect()] == [(1, "A", "a"), (1, "B", "b"), (1, "B", "c")]
 
