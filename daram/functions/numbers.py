@@ -40,6 +40,18 @@ def won(text: Column) -> Column:
     return number * factor.cast("bigint")
 
 
+def won_by_hint(number: Column, hint: Column) -> Column:
+    """Won of a bare number by what stands around it: a unit of 만 for the whole table, a price per 구좌, 만원, or nothing and a small number, which counts as 만원."""
+    n = F.replace(number, F.lit(","), F.lit("")).try_cast("bigint")
+    hint = F.coalesce(hint, F.lit(""))
+    each = F.replace(F.regexp_extract(hint, r"1\s*구좌[^0-9]*([0-9,]+)\s*만원", 1), F.lit(","), F.lit("")).try_cast("bigint")
+    man = n * 10_000
+    return (
+        F.when(hint.contains("가입단위") & hint.contains("만"), man).when(hint.contains("구좌"), F.coalesce(each * 10_000 * n, man))
+        .when(hint.contains("만원") | (~hint.contains("원") & (n < 10_000)), man).otherwise(n)
+    )
+
+
 def money_display(amount: Column) -> Column:
     """Won as 억 and 만: ``1억 5000만원``."""
     eok, man = _div(amount, F.lit(100_000_000)), _div(F.pmod(amount, F.lit(100_000_000)), F.lit(10_000))

@@ -162,3 +162,8 @@ def alias_match(a: Column, b: Column, groups: list[list[str]]) -> Column:
 def date_or_default(c: Column, as_of: Column, days: int) -> Column:
     """Date of an ISO text; where there is none, so many days before ``as_of``."""
     return F.coalesce(F.to_date(F.nullif(F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))), F.date_sub(as_of, days))
+
+
+def json_part(c: Column) -> Column:
+    """The JSON record within other output: from the first line that starts with a brace to the first line end behind a closing brace where the text ends or a line of other kind follows; null if there is none."""
+    return F.nullif(F.regexp_extract(c, r"(?s)(?:^|\n)(\{.*?\})\s*(?:\n(?![\s{}\[\]\",])|$)", 1), F.lit(""))

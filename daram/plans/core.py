@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from daram.plans import extraction, mutations, relational, text  # noqa: F401  (register their queries)
+from daram.plans import extraction, mutations, parsing, relational, rules, text  # noqa: F401  (register their queries)
 from daram.plans.registry import QUERIES, SQL
 from daram.streaming import learning
 

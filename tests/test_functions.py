@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from daram.functions import numbers, terms, text
-from daram.operators import extraction, relational, sections
+from daram.operators import codes, extraction, relational, sections
 
 
 def one(spark, value, kind, column):
@@ -90,3 +90,24 @@ def test_terms_all_forms(spark, tmp_path):
     assert split(got[1].pay) == {"월납", "연납", "12회납", "10년납", "60세납", "전기납", "일시납"}
     assert split(got[1].insu) == {"평생", "종신", "80세까지", "90세종료", "10년만기", "100세만기"} and split(got[1].ages) == {"15~80", "0~70"}
     assert (got[2].pay, got[2].insu, got[2].ages) == ("", "", "") and len(got) == 2
+
+
+def test_code_tables(spark):
+    text = "특약 이름\n(무)참든든보장 12345 54321\n(무)갱신형 특약(갱신형) 22222\n할증특약 33333\n새이름 12345\n끝"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string")
+    got = {r.code: r.name for r in codes.code_table(df, "t", ["id"]).collect()}
+    assert got == {"12345": "새이름", "54321": "특약 이름 (무)참든든보장"}
+    assert codes.code_table(df, "t", ["id"], drop=()).count() == 4
+    x = F.col("x")
+    rows = lambda v, *names: [tuple(r) for r in one(spark, v, "string", codes.typed_rows(x, names))]
+    assert rows("참든든 11111 22222 ", "V2", "표준형") == [("참든든", "V2", None, None, "11111"), ("참든든", "표준형", None, None, "22222")]
+    assert rows("암특약(갱신형, 10년) 최초계약 33333", "V2", "표준형") == [("암특약", "갱신형", "최초계약", "10년", "33333")] and rows("암특약 (갱신형) 갱신계약 33333", "a") == [("암특약", "갱신형", "갱신계약", None, "33333")]
+    assert rows("이름 11111 22222 33333", "V2", "표준형") == [] and rows("이름", "a") == [] and rows("a 11111 22222 33333 44444", *"abcd")[3][4] == "44444"
+
+
+def test_json_part_and_hints(spark):
+    x = F.col("x")
+    for value, wanted in [("log\n{\"a\": 1}\nend", '{"a": 1}'), ('{"a": {"b": 2}}', '{"a": {"b": 2}}'), ('x {no}\n{\n  "a": "}",\n  "b": {}\n}\n\ndone {}', '{\n  "a": "}",\n  "b": {}\n}'), ("no {json}", None), ("", None), (None, None)]:
+        assert one(spark, value, "string", terms.json_part(x)) == wanted, value
+    for number, hint, wanted in [("3", "(가입단위 : 만)", 30_000), ("5", "1구좌=100만원", 5_000_000), ("5", "구좌", 50_000), ("1,000", "만원", 10_000_000), ("9999", "", 99_990_000), ("10,000", "", 10_000), ("500", "원", 500), ("7", None, 70_000), ("x", "", None)]:
+        assert one(spark, number, "string", numbers.won_by_hint(x, F.lit(hint).cast("string"))) == wanted, (number, hint)
