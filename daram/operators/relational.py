@@ -39,11 +39,13 @@ def cascade(df: DataFrame, keys: list[str], confidence: str, priority: str, name
     return pick_per_key(df, keys, order, columns, largest=False)
 
 
-def keep_flagged_or_all(df: DataFrame, keys: list[str], flag: Column) -> DataFrame:
-    """Flagged rows of each key, or all its rows where none is flagged."""
-    flagged = df.groupBy(*keys).agg(F.max(flag.cast("int")).alias("_any"))
-    joined = df.alias("l").join(flagged.alias("r"), reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]))
-    return joined.filter(F.coalesce(flag, F.lit(False)) | (F.coalesce("_any", F.lit(0)) == 0)).select("l.*")
+def keep_flagged_or_all(df: DataFrame, keys: list[str], flag: Column, salts: int = 16) -> DataFrame:
+    """Flagged rows of each key, or all its rows where none is flagged. What is known of a key is one row, which meets the key's rows under several salts, so that a hot key is several tasks' work."""
+    flagged = df.groupBy(*keys).agg(F.max(flag.cast("int")).alias("_any")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._salt") == F.col("r._salt")]
+    joined = salted.alias("l").join(flagged.alias("r"), reduce(lambda a, b: a & b, same))
+    return joined.filter(F.coalesce(flag, F.lit(False)) | (F.coalesce("_any", F.lit(0)) == 0)).select(*(f"l.{c}" for c in df.columns))
 
 
 def availability(base: DataFrame, key: str, sides: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from daram.functions import terms
 from daram.operators import relational as R
 from daram.operators import state
 from daram.plans.registry import query
@@ -83,9 +84,9 @@ def trailing_counts(spark: SparkSession, d: str) -> DataFrame:
     return n.select("day", "n", F.sum("n").over(w.rangeBetween(-6, 0)).alias("n_week"), F.sum("n").over(w.rangeBetween(-29, 0)).alias("n_month"))
 
 
-@query("""SELECT insu_cd AS code, min(product_name) AS product_name FROM correction_log c WHERE insu_cd IS NOT NULL AND NOT EXISTS (SELECT 1 FROM uw_code_mapping u WHERE u.code = c.insu_cd) GROUP BY 1""")
+@query("""SELECT c AS code, min(src_file) AS src_file FROM (SELECT src_file, unnest(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 5)) AS c FROM documents WHERE text IS NOT NULL) WHERE NOT EXISTS (SELECT 1 FROM uw_code_mapping u WHERE u.code = c) GROUP BY 1""")
 def insert_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Rows a get-or-insert would append to the mapping."""
+    """Rows a get-or-insert would append to the mapping for the codes that documents name."""
     u = read(spark, d, "uw_code_mapping").select("map_id", "code")
-    new = read(spark, d, "correction_log").select(F.col("insu_cd").alias("code"), "product_name")
-    return R.insert_missing(u, new, "code", "map_id").select("code", "product_name")
+    new = read(spark, d, "documents").filter("text IS NOT NULL").select(F.explode(terms.codes(F.col("text"))).alias("code"), "src_file")
+    return R.insert_missing(u, new, "code", "map_id").select("code", "src_file")

@@ -188,11 +188,11 @@ def conditional_count_avg(spark: SparkSession, d: str) -> DataFrame:
     return _logs(spark, d).groupBy(F.col("created_date").cast("string").alias("created_date")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_learned"), 1)).alias("n_learned"), F.count(F.when(F.col("is_verified"), 1)).alias("n_verified"), F.round(F.avg("validation_score"), 4).alias("avg_score"))
 
 
-@query("""SELECT CASE WHEN count(quality_score) = 0 THEN 'N/A' ELSE CAST(round(avg(quality_score)) AS INT) || '%' END AS quality, example_type FROM (SELECT DISTINCT ON (example_id) * FROM few_shot_example) GROUP BY 2""")
+@query("""SELECT CASE WHEN count(quality_score) = 0 THEN 'N/A' ELSE printf('%.1f%%', round(avg(quality_score), 1)) END AS quality, example_type FROM (SELECT DISTINCT ON (example_id) * FROM few_shot_example) GROUP BY 2""")
 def formatted_average(spark: SparkSession, d: str) -> DataFrame:
-    """Mean as a text, N/A where there is none."""
+    """Mean with one decimal as a text, N/A where there is none."""
     e = read(spark, d, "few_shot_example").dropDuplicates(["example_id"])
-    mean = F.when(F.count("quality_score") == 0, "N/A").otherwise(F.concat(F.round(F.avg("quality_score")).cast("int").cast("string"), F.lit("%")))
+    mean = F.when(F.count("quality_score") == 0, "N/A").otherwise(F.format_string("%.1f%%", F.round(F.avg("quality_score"), 1)))
     return e.groupBy("example_type").agg(mean.alias("quality"))
 
 
@@ -363,9 +363,9 @@ def key_intersection(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_custkey").intersect(read(spark, d, "events").select(F.col("user_id").alias("o_custkey")))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events")
 def key_difference(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "customer").select("c_custkey").subtract(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return read(spark, d, "customer").select("c_custkey").subtract(read(spark, d, "events").select(F.col("user_id").alias("c_custkey")))
 
 
 @query("""SELECT log_id, CAST(original.insuTerm IS DISTINCT FROM corrected.insuTerm AS INT) + CAST(original.payTerm IS DISTINCT FROM corrected.payTerm AS INT) + CAST(original.ageRange IS DISTINCT FROM corrected.ageRange AS INT) + CAST(original.renew IS DISTINCT FROM corrected.renew AS INT) AS n_changed,

@@ -65,3 +65,10 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 def write_results(df: DataFrame, path: str, code: str = "insu_cd") -> None:
     """Results as JSON lines, a folder per code."""
     df.write.mode("overwrite").partitionBy(code).json(path)
+
+
+def write_statistics(rows: DataFrame, folder: str) -> None:
+    """Statistics, as many rows as there are groups, as CSV with a header and as JSON lines, in subfolders of their own."""
+    one = rows.coalesce(1)
+    one.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    one.write.mode("overwrite").json(f"{folder}/json")

@@ -111,3 +111,17 @@ def test_json_part_and_hints(spark):
         assert one(spark, value, "string", terms.json_part(x)) == wanted, value
     for number, hint, wanted in [("3", "(가입단위 : 만)", 30_000), ("5", "1구좌=100만원", 5_000_000), ("5", "구좌", 50_000), ("1,000", "만원", 10_000_000), ("9999", "", 99_990_000), ("10,000", "", 10_000), ("500", "원", 500), ("7", None, 70_000), ("x", "", None)]:
         assert one(spark, number, "string", numbers.won_by_hint(x, F.lit(hint).cast("string"))) == wanted, (number, hint)
+
+
+def test_layers_and_bands(spark):
+    x = F.col("x")
+    r = one(spark, "15~80", "string", extraction.layered_score({"a": {"p": (x == "15~80", 30), "q": (F.lit(None).cast("boolean"), 30)}, "b": {"r": (x.isNotNull(), 40)}}, 90, 70))
+    assert tuple(r) == (70, "WARNING", "a.q", 30, 40)
+    for value, wanted in [("15~80", True), ("80~15", False), ("1~130", False), ("15~80, 20~19", False), ("", True), (None, False), ("0~99999999999", False)]:
+        assert one(spark, value, "string", extraction.ages_in_order(x)) is wanted, value
+    for value, wanted in [(None, 0), (5, 0), (10, 1), (20, 3), (99, 5)]:
+        assert one(spark, value, "int", extraction.steps(x, [(50, 5), (10, 1), (20, 3)])) == wanted
+    assert [one(spark, v, "int", extraction.grade(x, [(90, "S"), (50, "D")], "F")) for v in (95, 90, 60, 1, None)] == ["S", "S", "D", "F", "F"]
+    found = lambda *fields: extraction.share_found([F.lit(f).cast("string") for f in fields], x)
+    for value, fields, wanted in [("10년납 종신", ("종신", "5년납"), True), ("10년납", ("종신", "5년납"), False), ("", ("a",), True), (None, ("a",), True), ("z", (None, "—"), True), ("b", ("a, b",), True)]:
+        assert one(spark, value, "string", found(*fields)) is wanted, (value, fields)

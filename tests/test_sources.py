@@ -46,6 +46,21 @@ def test_merge(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [("a", 1, "keep"), ("b", 7, "keep"), ("c", 9, None)]
 
 
+def test_delete_update_batches(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a", None), (2, "b", None), (None, "c", None), (2, "d", "x")], "k int, v string, w string")
+    keys = spark.createDataFrame([(2,), (2,), (None,)], "k int")
+    assert sorted(r.v for r in state.delete(t, keys, ["k"]).collect()) == ["a", "c"]
+    assert state.truncate(t).count() == 0 and state.truncate(t).schema == t.schema
+    got = state.update(t, spark.createDataFrame([(2, "new")], "k int, n string"), ["k"], {"w": F.col("s.n")}).collect()
+    assert sorted((str(r.k), r.v, r.w) for r in got) == [("1", "a", None), ("2", "b", "new"), ("2", "d", "new"), ("None", "c", None)]
+    assert sorted((r.rule, r.key, r.n) for r in state.violations(t, [["k"], ["v"]], ["k", "v"]).collect()) == [("required k", None, 1), ("unique k", '{"k":2}', 2)]
+    rows = spark.createDataFrame([("a", i, i // 4) for i in range(25)] + [("b", i, None) for i in range(9)] + [(None, i, 0) for i in range(10)], "k string, at int, part int")
+    got = state.full_batches(rows, ["k"], F.col("part"), [F.col("at")], 10).collect()
+    assert sorted((str(r.k), r.at, r.batch_no) for r in got) == [("None", i, 0) for i in range(10)] + [("a", i, i // 10) for i in range(20)]
+    D.write_statistics(t, str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s" / "csv")).count() == spark.read.json(str(tmp_path / "s" / "json")).count() == 4
+
+
 def test_fold_in_batches(spark):
     rows = [(i % 7, f"v{i}", i) for i in range(50)]
     df = spark.createDataFrame(rows, "k int, value string, at int")
