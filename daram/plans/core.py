@@ -8,8 +8,11 @@ from daram.streaming import learning
 
 
 def queries() -> dict:
-    return QUERIES | {"stream_fold": learning.stream_fold}
+    return QUERIES | {"stream_fold": learning.stream_fold, "running_counters": learning.running_counters}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {"stream_fold": SQL["pattern_upsert_fold"]}
+    return SQL | {
+        "stream_fold": SQL["pattern_upsert_fold"],
+        "running_counters": "SELECT method, count(*) AS attempts, count(*) FILTER (success) AS successes, count(*) FILTER (NOT coalesce(success, false)) AS failures FROM parse_result GROUP BY 1",
+    }

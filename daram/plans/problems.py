@@ -195,6 +195,14 @@ _JSON = """
 WITH t AS (SELECT rec_id, j.id, j.parent, j.key, j.type AS kind, json_extract_string(j.value, '$') AS text, j.value AS value, substr(replace(j.fullkey, '"', ''), 3) AS f
     FROM (SELECT * FROM hybrid_result WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'), json_tree(payload) j)
 """
+# The same with interval labels: of a value that is the i-th of its record, from 0, at a depth, pre is 2 i - depth; post follows from the number of values below.
+_LABELS = """
+WITH RECURSIVE j AS (SELECT rec_id, j.id, j.parent, j.key, j.type AS kind, json_extract_string(j.value, '$') AS text, j.value AS value, substr(replace(j.fullkey, '"', ''), 3) AS f, row_number() OVER (PARTITION BY rec_id ORDER BY j.id) - 1 AS i
+    FROM (SELECT * FROM hybrid_result WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'), json_tree(payload) j),
+up AS (SELECT rec_id, id, id AS above, 0 AS steps FROM j UNION ALL SELECT u.rec_id, u.id, p.parent, u.steps + 1 FROM up u JOIN j p ON p.rec_id = u.rec_id AND p.id = u.above WHERE p.parent IS NOT NULL),
+d AS (SELECT rec_id, id, max(steps) AS depth FROM up GROUP BY 1, 2), n AS (SELECT rec_id, above AS id, count(*) AS n FROM up GROUP BY 1, 2),
+t AS (SELECT j.*, depth, CAST(2 * i - depth AS INT) AS pre, CAST(2 * i - depth + 2 * n - 1 AS INT) AS post FROM j JOIN d USING (rec_id, id) JOIN n USING (rec_id, id))
+"""
 _KIND = "CASE {0} WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
 
 
@@ -218,6 +226,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p6_terms": " UNION ALL ".join(f"""SELECT rec_id, '{b}.terms' AS node_path, '{b}' AS branch, json_extract_string(t, '$.insuTerm') AS "insuTerm", json_extract_string(t, '$.payTerm') AS "payTerm", CASE WHEN json_type(t, '$.ageRange') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN json_extract_string(t, '$.ageRange') END AS "ageRange", json_extract_string(t, '$.renew') AS renew, json_extract_string(t, '$.specialNotes') AS "specialNotes"
             FROM (SELECT rec_id, json_extract(payload, '$.{b}.terms') AS t FROM hybrid_result) WHERE json_type(t) = 'OBJECT'""" for b in ("python", "ocr", "best")),
+        "p6_attempts": _LABELS + """SELECT t.rec_id, t.pre, t.post, t.f AS node_path, '' AS parent_path, try_cast(json_extract_string(t.value, '$.no') AS INT) AS no, json_extract_string(t.value, '$.method') AS method
+            FROM t JOIN t a ON a.rec_id = t.rec_id AND a.id = t.parent WHERE a.f = 'attempts' AND a.kind = 'ARRAY' AND t.kind = 'OBJECT'""",
+        "p6_errors": _LABELS + """SELECT e.rec_id, e.pre, e.post, e.f AS node_path, t.pre AS attempt_pre, t.f AS attempt_path, try_cast(json_extract_string(e.value, '$.page') AS INT) AS page, json_extract_string(e.value, '$.msg') AS msg
+            FROM t e JOIN t l ON l.rec_id = e.rec_id AND l.id = e.parent JOIN t ON t.rec_id = e.rec_id AND t.id = l.parent JOIN t a ON a.rec_id = e.rec_id AND a.id = t.parent WHERE e.kind = 'OBJECT' AND l.key = 'errors' AND a.f = 'attempts' AND t.kind = 'OBJECT'""",
+        "p6_pages": _LABELS + """SELECT p.rec_id, p.pre, p.f AS node_path, e.pre AS entry_pre, e.f AS entry_path, CAST(regexp_extract(p.f, '([0-9]+)\\]$', 1) AS INT) + 1 AS pos, try_cast(p.text AS INT) AS page
+            FROM t p JOIN t l ON l.rec_id = p.rec_id AND l.id = p.parent JOIN t e ON e.rec_id = p.rec_id AND e.id = l.parent JOIN t c ON c.rec_id = p.rec_id AND c.id = e.parent WHERE l.key = 'pages' AND l.kind = 'ARRAY' AND c.key = 'codes' AND p.kind NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
+        "p6_variants": _LABELS + """SELECT v.rec_id, v.pre, v.post, v.f AS node_path, r.f AS rider_path, json_extract_string(v.value, '$.type') AS type, json_extract_string(v.value, '$.code') AS code, try_cast(json_extract_string(v.value, '$.limit.max') AS BIGINT) AS limit_max, json_extract_string(v.value, '$.limit.unit') AS limit_unit
+            FROM t v JOIN t l ON l.rec_id = v.rec_id AND l.id = v.parent JOIN t r ON r.rec_id = v.rec_id AND r.id = l.parent JOIN t a ON a.rec_id = v.rec_id AND a.id = r.parent WHERE v.kind = 'OBJECT' AND l.key = 'variants' AND a.key = 'riders'""",
+        "p6_branches": _LABELS + """SELECT rec_id, pre, post, f AS branch, try_cast(json_extract_string(value, '$.success') AS BOOLEAN) AS success, json_extract_string(value, '$.method') AS method, json_extract_string(value, '$.insuCd') AS "insuCd", try_cast(json_extract_string(value, '$.codes_count') AS BIGINT) AS codes_count, """
+        + ", ".join(f"""CASE WHEN f = 'analysis' THEN try_cast(json_extract_string(value, '$.terms.{x}') AS BOOLEAN) END AS "has_{x}\"""" for x in ("insuTerm", "payTerm", "ageRange", "renew")) + " FROM t WHERE depth = 1 AND kind = 'OBJECT'",
         "p6_riders": _JSON + """SELECT r.rec_id, r.f AS node_path, e.f AS entry_path, json_extract_string(r.value, '$.code') AS code, json_extract_string(r.value, '$.name') AS name
             FROM t r JOIN t a ON a.rec_id = r.rec_id AND a.id = r.parent JOIN t e ON e.rec_id = r.rec_id AND e.id = a.parent JOIN t c ON c.rec_id = r.rec_id AND c.id = e.parent
             WHERE r.kind = 'OBJECT' AND a.kind = 'ARRAY' AND a.key = 'riders' AND e.kind = 'OBJECT' AND c.key = 'codes'""",
