@@ -228,7 +228,8 @@ def renames(lines: DataFrame, raw: DataFrame, happened: DataFrame, min_share: fl
     wanted = changed.groupBy("feed", "run_no").agg(F.collect_list(F.struct("path", "at_run", "event")).alias("wanted"))  # as many as fields changed in one file
     of_file = wanted.join(headers(raw), ["feed", "run_no"], "left")
     rows = with_files(placed(lines).filter(F.col("payload").isNotNull() & ~is_header()), of_file)
-    once = rows.select("feed", "payload", "fmt", "header", "wanted").mapInArrow(wanted_values, VALUE).groupBy("feed", "at_run", "rec_id", "path", "event").agg(F.max("value").alias("value"))
+    once = rows.select("feed", "payload", "fmt", "header", "wanted").mapInArrow(wanted_values, VALUE).withColumn("value", F.xxhash64("value"))  # only equality counts: long texts needn't be shuffled
+    once = once.groupBy("feed", "at_run", "rec_id", "path", "event").agg(F.max("value").alias("value"))
     fields = once.groupBy("feed", "at_run", "rec_id").agg(  # as many entries as fields changed in one file, whatever the rows
         F.collect_list(F.when(F.col("event") == "gone", F.struct("path", "value"))).alias("olds"),
         F.collect_list(F.when(F.col("event") == "new", F.struct("path", "value"))).alias("news"),
