@@ -35,10 +35,14 @@ def section_cascade(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.coalesce(*(F.when(F.length(f) > 5, f) for f in found), F.col("text")).alias("part"))
 
 
-@query("""SELECT label, count(*) AS n_docs FROM documents, (VALUES ('보험기간'), ('납입기간'), ('가입나이'), ('갱신'), ('한도')) l(label) WHERE contains(text, label) GROUP BY 1""")
+# Labels that policy documents give their terms.
+LABELS = ("보험기간", "납입기간", "가입나이", "갱신", "한도")
+
+
+@query(f"""SELECT label, count(*) AS n_docs FROM documents, (VALUES {', '.join(f"('{x}')" for x in LABELS)}) l(label) WHERE contains(text, label) GROUP BY 1""")
 def label_scan(spark: SparkSession, d: str) -> DataFrame:
     """Documents per label they name; a fixed list of labels within each row."""
-    labels = F.filter(F.array(*(F.when(F.contains("text", F.lit(x)), x) for x in ("보험기간", "납입기간", "가입나이", "갱신", "한도"))), lambda x: x.isNotNull())
+    labels = F.filter(F.array(*(F.when(F.contains("text", F.lit(x)), x) for x in LABELS)), lambda x: x.isNotNull())
     return read(spark, d, "documents").select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -48,8 +48,8 @@ def longer_text(plain: str, scanned: str, factor: float = 1.5):
 
 
 def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Mapping exports with quoting by RFC 4180; malformed lines are dropped, empty texts are null."""
-    return spark.read.schema(CSV_SCHEMA).option("header", True).option("mode", "DROPMALFORMED").option("quote", '"').option("escape", '"').csv(path)
+    """Mapping exports with quoting by RFC 4180; empty texts are null. A line that doesn't fit the columns keeps what does and stands whole in ``malformed``, which is null for the others."""
+    return spark.read.schema(f"{CSV_SCHEMA}, malformed string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_mapping_csv(df: DataFrame, path: str) -> None:

@@ -24,7 +24,13 @@ def test_mapping_csv(spark, tmp_path):
     df = spark.createDataFrame([row], D.CSV_SCHEMA)
     D.write_mapping_csv(df, path)
     got = D.read_mapping_csv(spark, path).first()
-    assert got.product_name == '이름, "둘"' and got.pay_term == "5년납, 7년납" and got.period_value == 10 and got.entry_age_m is None
+    assert got.malformed is None and got.product_name == '이름, "둘"' and got.pay_term == "5년납, 7년납" and got.period_value == 10 and got.entry_age_m is None
+
+
+def test_malformed_csv(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(D.CSV_HEADER + "\n30001,a,,,30001,10년만기,ten,N,x,y,z,M,UW1\n30002,b\n", encoding="utf-8")
+    got = {r.code: r for r in D.read_mapping_csv(spark, str(tmp_path / "m.csv")).collect()}
+    assert got["30001"].period_value is None and got["30001"].product_name == "a" and got["30001"].malformed.startswith("30001,a") and got["30002"].malformed == "30002,b" and len(got) == 2
 
 
 def test_json(spark, tmp_path):
