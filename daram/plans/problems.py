@@ -42,6 +42,14 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return unify.records(read(spark, d, "batch_export"), _aliases(spark))
 
 
+def p1_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What the consistent table holds per file: records, values (read or not) and entries of codes. Nothing of the lines may be missing."""
+    rows = p1_records(spark, d)
+    fields = [c for c in rows.columns if c not in unify.OWN]
+    given = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in fields), F.lit(0)) + F.size("unread")
+    return rows.groupBy("feed", "run_no").agg(F.count(F.lit(1)).alias("n_records"), F.sum(given).alias("n_values"), F.sum(F.size("codes")).alias("n_codes"))
+
+
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, orphans.Verdicts]:
     log, pattern, example = (read(spark, d, t) for t in ("correction_log", "learned_pattern", "few_shot_example"))
     refs = (
@@ -187,7 +195,22 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p4_found, p4_report, p5_found, p5_values, p6_found, p6_unreadable, p6_entries, p6_terms, p6_riders, p6_variants, p6_attempts, p6_errors, p6_pages, p6_branches, p6_ages)}
+    return {f.__name__: f for f in (p1_found, p1_lifespans, p1_aliases, p1_records, p1_totals, p4_found, p4_report, p5_found, p5_values, p6_found, p6_unreadable, p6_entries, p6_terms, p6_riders, p6_variants, p6_attempts, p6_errors, p6_pages, p6_branches, p6_ages)}
+
+
+# Fields of every file: JSON values that are no objects, outside of arrays and of what is named codes; CSV cells by the place of their name in the header.
+_FIELDS = """
+WITH b AS (SELECT feed, run_no, line_no, payload, file_name LIKE '%.csv' OR feed LIKE '%_mapping' AS csv FROM batch_export WHERE feed IS NOT NULL AND run_no IS NOT NULL),
+files AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY run_no) AS ix FROM (SELECT DISTINCT feed, run_no FROM b)),
+cells AS (SELECT feed, run_no, line_no, list_transform(regexp_extract_all(',' || payload, ',("(?:[^"]|"")*"|[^,]*)', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS c FROM b WHERE csv AND payload IS NOT NULL),
+heads AS (SELECT feed, run_no, max(c) AS h FROM cells WHERE line_no = 0 GROUP BY 1, 2),
+csv_values AS (SELECT feed, run_no, h[i] AS path, c[i] AS v FROM (SELECT feed, run_no, h, c, unnest(range(1, len(h) + 1)) AS i FROM cells JOIN heads USING (feed, run_no) WHERE line_no IS DISTINCT FROM 0) WHERE c[i] <> ''),
+json_values AS (SELECT feed, run_no, substr(replace(j.fullkey, '"', ''), 3) AS path, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS type
+    FROM (SELECT * FROM b WHERE NOT csv AND json_valid(payload) AND json_type(payload) = 'OBJECT') b, json_tree(payload) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.fullkey, '[') AND NOT contains(replace(j.fullkey, '"', '') || '.', '.codes.')),
+footers AS (SELECT feed, run_no, path, CASE WHEN bool_and(regexp_full_match(v, '[0-9]+')) THEN 'number' ELSE 'string' END AS type, count(*) AS n FROM csv_values GROUP BY 1, 2, 3
+    UNION ALL SELECT feed, run_no, path, arg_max(type, {'n': k, 't': type}), CAST(sum(k) AS BIGINT) FROM (SELECT feed, run_no, path, type, count(*) AS k FROM json_values GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+islands AS (SELECT *, ix - row_number() OVER (PARTITION BY feed, path, type ORDER BY ix) AS island FROM footers JOIN files USING (feed, run_no))
+"""
 
 
 # Every JSON value with its parent; the keys of nodes by their places, without quotes.
@@ -226,6 +249,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p6_terms": " UNION ALL ".join(f"""SELECT rec_id, '{b}.terms' AS node_path, '{b}' AS branch, json_extract_string(t, '$.insuTerm') AS "insuTerm", json_extract_string(t, '$.payTerm') AS "payTerm", CASE WHEN json_type(t, '$.ageRange') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN json_extract_string(t, '$.ageRange') END AS "ageRange", json_extract_string(t, '$.renew') AS renew, json_extract_string(t, '$.specialNotes') AS "specialNotes"
             FROM (SELECT rec_id, json_extract(payload, '$.{b}.terms') AS t FROM hybrid_result) WHERE json_type(t) = 'OBJECT'""" for b in ("python", "ocr", "best")),
+        "p1_lifespans": _FIELDS + "SELECT feed, path, type, min(run_no) AS first_run, max(run_no) AS last_run, CAST(sum(n) AS BIGINT) AS n_values FROM islands GROUP BY feed, path, type, island",
+        "p1_totals": _FIELDS.replace("FROM batch_export WHERE", "FROM (SELECT feed, run_no, line_no, max(file_name) AS file_name, max(payload) AS payload FROM batch_export GROUP BY 1, 2, 3) WHERE") + """,
+            n AS (SELECT feed, run_no, count(*) AS n_records FROM b WHERE NOT (csv AND line_no = 0) GROUP BY 1, 2), v AS (SELECT feed, run_no, sum(n) AS n FROM footers GROUP BY 1, 2),
+            k AS (SELECT feed, run_no, count(*) AS n FROM (SELECT * FROM b WHERE NOT csv AND json_valid(payload) AND json_type(payload) = 'OBJECT') b, json_tree(payload) j WHERE regexp_matches(replace(j.path, '"', ''), '\\.codes$') AND NOT contains(j.fullkey, '[') AND length(replace(j.path, '"', '')) - length(replace(replace(j.path, '"', ''), '.codes', '')) = 6 GROUP BY 1, 2)
+            SELECT feed, run_no, n_records, CAST(coalesce(v.n, 0) AS BIGINT) AS n_values, CAST(coalesce(k.n, 0) AS BIGINT) AS n_codes FROM n LEFT JOIN v USING (feed, run_no) LEFT JOIN k USING (feed, run_no)""",
         "p6_attempts": _LABELS + """SELECT t.rec_id, t.pre, t.post, t.f AS node_path, '' AS parent_path, try_cast(json_extract_string(t.value, '$.no') AS INT) AS no, json_extract_string(t.value, '$.method') AS method
             FROM t JOIN t a ON a.rec_id = t.rec_id AND a.id = t.parent WHERE a.f = 'attempts' AND a.kind = 'ARRAY' AND t.kind = 'OBJECT'""",
         "p6_errors": _LABELS + """SELECT e.rec_id, e.pre, e.post, e.f AS node_path, t.pre AS attempt_pre, t.f AS attempt_path, try_cast(json_extract_string(e.value, '$.page') AS INT) AS page, json_extract_string(e.value, '$.msg') AS msg
