@@ -31,8 +31,8 @@ def int_percent(part: Column, whole: Column) -> Column:
 
 def won(text: Column) -> Column:
     """Amount in won of a text such as ``3,500만원``, ``9억원`` or ``67,000,000원``; null without a unit."""
-    found = F.regexp_extract(text, r"([\d,]+)\s*(억|천만|백만|만|천)?\s*원", 1)
-    unit = F.regexp_extract(text, r"([\d,]+)\s*(억|천만|백만|만|천)?\s*원", 2)
+    found = F.regexp_extract(text, r"(?<![\d,])([\d,]++)\s*+(억|천만|백만|만|천)?\s*원", 1)
+    unit = F.regexp_extract(text, r"(?<![\d,])([\d,]++)\s*+(억|천만|백만|만|천)?\s*원", 2)
     number = F.regexp_replace(found, ",", "").try_cast("bigint")
     factor = F.lit(1)
     for name, value in UNITS:

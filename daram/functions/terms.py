@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CODE = r"(?<!\d)(\d{5})(?!\d)"
+NUMBER = r"(?<!\d)\d++"  # a whole run of digits: a search never starts inside one, so long runs cost no more than their length
 WHOLE_LIFE = 999
 
 
@@ -27,27 +28,27 @@ def unique_list(c: Column, pattern: str, group: int = 1) -> Column:
 
 def pay_terms(c: Column) -> Column:
     """Payment terms as written: 10년납, 60세납, 전기납, 일시납."""
-    return unique_list(c, r"(\d+[년세]납|전기납|일시납)")
+    return unique_list(c, rf"({NUMBER}[년세]납|전기납|일시납)")
 
 
 def insurance_terms(c: Column) -> Column:
     """Insurance terms: 종신, n세만기, n년만기."""
-    return unique_list(c, r"(종신|\d+[세년]만기)")
+    return unique_list(c, rf"(종신|{NUMBER}[세년]만기)")
 
 
 def all_pay_terms(c: Column) -> Column:
     """Payment terms of every form, without blanks: those of ``pay_terms``, n회납, 월납, 연납, and numbers set apart (10 년 납)."""
-    return F.array_distinct(F.transform(unique_list(c, r"(\d+ *[년세회] *납|전기납|일시납|월납|연납)"), lambda x: F.regexp_replace(x, " ", "")))
+    return F.array_distinct(F.transform(unique_list(c, rf"({NUMBER} *[년세회] *납|전기납|일시납|월납|연납)"), lambda x: F.regexp_replace(x, " ", "")))
 
 
 def all_insurance_terms(c: Column) -> Column:
     """Insurance terms of every form, without blanks: those of ``insurance_terms``, 평생, n세까지, n세종료, and numbers set apart (10 년 만기)."""
-    return F.array_distinct(F.transform(unique_list(c, r"(종신|평생|\d+ *[세년] *만기|\d+ *세 *(?:까지|종료))"), lambda x: F.regexp_replace(x, " ", "")))
+    return F.array_distinct(F.transform(unique_list(c, rf"(종신|평생|{NUMBER} *[세년] *만기|{NUMBER} *세 *(?:까지|종료))"), lambda x: F.regexp_replace(x, " ", "")))
 
 
 def age_ranges(c: Column) -> Column:
     """Ranges such as 15~80 with or without 만 and 세, in plain numbers."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(만? ?\d+세? ?~ ?만? ?\d+세?)"), F.lit(1)), lambda x: F.regexp_replace(x, "[만세 ]", "")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rf"(만? ?{NUMBER}세? ?~ ?만? ?{NUMBER}세?)"), F.lit(1)), lambda x: F.regexp_replace(x, "[만세 ]", "")))
 
 
 def renewal(c: Column, default: str | None = None) -> Column:

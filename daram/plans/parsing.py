@@ -12,6 +12,11 @@ from daram.plans.registry import query
 from daram.plans.text import LINES
 from daram.session import read
 
+def _runs(pattern: str) -> str:
+    """A pattern whose numbers are whole runs of digits (and commas): a search never starts inside one, which finds the same and costs no more than the length of the run."""
+    return pattern.replace("[0-9][0-9,]*", "(?<![0-9])(?<![0-9],)[0-9][0-9,]*+").replace("[0-9]+", "(?<![0-9])[0-9]++")
+
+
 _FIVE = "list_filter(regexp_extract_all({0}, '[0-9]+'), lambda x: length(x) = 5)"
 
 
@@ -74,7 +79,7 @@ _LABELS = {"insu_term": (("보험기간[은:이 ]*", _INSU), ("", _INSU)), "pay_
 @query("SELECT doc_id, " + ", ".join(f"coalesce({', '.join(f'''nullif(regexp_extract(text, '{a}{b}', 1), '')''' for a, b in ways)}, '—') AS {n}" for n, ways in _LABELS.items()) + ", CASE WHEN contains(text, '비갱신') THEN '비갱신형' WHEN contains(text, '갱신') THEN '갱신형' ELSE '비갱신형' END AS renew FROM documents WHERE text IS NOT NULL")
 def labelled_terms(spark: SparkSession, d: str) -> DataFrame:
     """First term behind its label, else the first anywhere in the text, else a dash; non-renewal is the default."""
-    first = lambda ways: F.coalesce(*(F.nullif(F.regexp_extract("text", a + b, 1), F.lit("")) for a, b in ways), F.lit("—"))
+    first = lambda ways: F.coalesce(*(F.nullif(F.regexp_extract("text", _runs(a + b), 1), F.lit("")) for a, b in ways), F.lit("—"))
     return _texts(spark, d).select("doc_id", *(first(w).alias(n) for n, w in _LABELS.items()), terms.renewal(F.col("text"), "비갱신형").alias("renew"))
 
 
@@ -103,7 +108,7 @@ def json_in_noise(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, hint, CASE WHEN contains(hint, '구좌') OR contains(hint, '만원') THEN try_cast(v AS BIGINT) * 10000 WHEN NOT contains(hint, '원') AND try_cast(v AS BIGINT) < 10000 THEN try_cast(v AS BIGINT) * 10000 ELSE try_cast(v AS BIGINT) END AS won FROM m WHERE v <> ''""")
 def amount_by_hint(spark: SparkSession, d: str) -> DataFrame:
     """Number of won by what the line around it says of its unit."""
-    part = lambda i: F.regexp_extract("text", r"([0-9][0-9,]*) ?(구좌|만원|원|%)", i)
+    part = lambda i: F.regexp_extract("text", _runs(r"([0-9][0-9,]*) ?(구좌|만원|원|%)"), i)
     return _texts(spark, d).select("doc_id", part(1).alias("v"), part(0).alias("hint")).filter("v <> ''").select("doc_id", "hint", numbers.won_by_hint(F.col("v"), F.col("hint")).alias("won"))
 
 
@@ -115,8 +120,9 @@ _LIMIT = "([가-힣]+) ([0-9][0-9,]*) ?(억|천만|백만|만|천)?원"
     SELECT doc_id, name, min(won) AS min_won, max(won) AS max_won, count(*) AS n FROM v GROUP BY 1, 2""")
 def limit_rows(spark: SparkSession, d: str) -> DataFrame:
     """Named amounts of documents that speak of limits, with the smallest and greatest of each name."""
-    found = read(spark, d, "documents").filter(F.contains("text", F.lit("한도"))).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_LIMIT), F.lit(0))).alias("m"))
-    return found.select("doc_id", F.regexp_extract("m", _LIMIT, 1).alias("name"), numbers.won(F.col("m")).alias("won")).groupBy("doc_id", "name").agg(F.min("won").alias("min_won"), F.max("won").alias("max_won"), F.count(F.lit(1)).alias("n"))
+    whole = _LIMIT.replace("([가-힣]+)", "(?<![가-힣])([가-힣]++)")  # a search never starts inside a run of syllables
+    found = read(spark, d, "documents").filter(F.contains("text", F.lit("한도"))).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(whole), F.lit(0))).alias("m"))
+    return found.select("doc_id", F.regexp_extract("m", whole, 1).alias("name"), numbers.won(F.col("m")).alias("won")).groupBy("doc_id", "name").agg(F.min("won").alias("min_won"), F.max("won").alias("max_won"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH v AS (SELECT doc_id, text, regexp_extract(text, '합산 한도[^.0-9]*([0-9][0-9,]*) ?(억|천만|백만|만|천)?원', 0) AS a, regexp_extract(text, '최대 ?([0-9][0-9,]*) ?(억|천만|백만|만|천)?원', 0) AS b, regexp_extract(text, '([0-9][0-9,]*) ?(억|천만|백만|만|천)?원까지', 0) AS c FROM documents WHERE text IS NOT NULL),
@@ -124,7 +130,7 @@ def limit_rows(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, source, try_cast(replace(regexp_extract(m, '([0-9][0-9,]*) ?(억|천만|백만|만|천)?원', 1), ',', '') AS BIGINT) * CASE regexp_extract(m, '([0-9][0-9,]*) ?(억|천만|백만|만|천)?원', 2) WHEN '억' THEN 100000000 WHEN '천만' THEN 10000000 WHEN '백만' THEN 1000000 WHEN '만' THEN 10000 WHEN '천' THEN 1000 ELSE 1 END AS won FROM f""")
 def limit_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Limit of a document by the first of several patterns that gives one, with its source."""
-    amount = r"([0-9][0-9,]*) ?(억|천만|백만|만|천)?원"
+    amount = _runs(r"([0-9][0-9,]*) ?(억|천만|백만|만|천)?원")
     ways = {"sum": rf"(합산 한도[^.0-9]*{amount})", "most": rf"(최대 ?{amount})", "up_to": rf"({amount}까지)"}
     found = X.resolve([(n, F.nullif(F.regexp_extract("text", p, 1), F.lit(""))) for n, p in ways.items()])
     return _texts(spark, d).select("doc_id", found.alias("r")).select("doc_id", "r.source", numbers.won(F.col("r.value")).alias("won"))
@@ -150,3 +156,42 @@ def alias_match(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT parse_id, CAST(coalesce(try_cast(regexp_extract(error, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS DATE), DATE '2024-01-31' - 30) AS VARCHAR) AS day FROM parse_result""")
 def date_or_default(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "parse_result").select("parse_id", terms.date_or_default(F.col("error"), F.lit("2024-01-31").cast("date"), 30).cast("string").alias("day"))
+
+
+_SECTION = ("(?s)\\n[ \\t]*4\\.(.{100,}?)\\n[ \\t]*5\\.", "(?s)\\n[ \\t]*4\\.(.{100,})$", "(?s)보험기간(.{100,}?)가입한도")
+_ROWS = ("([^\\n]*[0-9]년납[^\\n]*\\n[^\\n]*[0-9]년납[^\\n]*)", "([^\\n]{15,}[0-9]세만기[^\\n]{15,})")
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_extract(text, '{p}', 1) <> '' THEN 'section' || {i}" for i, p in enumerate(_SECTION)) + " " + " ".join(f"WHEN length(regexp_extract(text, '{p}', 1)) > 30 THEN 'rows' || {i}" for i, p in enumerate(_ROWS)) + " ELSE 'whole' END AS found_by, length(CASE "
+       + " ".join(f"WHEN regexp_extract(text, '{p}', 1) <> '' THEN regexp_extract(text, '{p}', 1)" for p in _SECTION) + " " + " ".join(f"WHEN length(regexp_extract(text, '{p}', 1)) > 30 THEN regexp_extract(text, '{p}', 1)" for p in _ROWS) + " ELSE text END) AS n_chars FROM documents WHERE text IS NOT NULL")
+def find_section(spark: SparkSession, d: str) -> DataFrame:
+    """Section 4 of a document by the first pattern that gives a hundred characters, else rows that look like its table, else the whole text."""
+    # where a pattern doesn't hold from its first beginning on, it doesn't from any later one: only that is tried
+    begins = [F.call_function("regexp_instr", F.col("text"), F.lit(p)) for p in ("\n[ \t]*4\\.", "\n[ \t]*4\\.", "보험기간")]
+    tails = [F.when(at > 0, F.call_function("substring", F.col("text"), at)) for at in begins]
+    ways = [(f"section{i}", F.nullif(F.regexp_extract(tail, p.replace("(?s)", "(?s)^"), 1), F.lit(""))) for i, (tail, p) in enumerate(zip(tails, _SECTION))]
+    has = lambda x: x.rlike("[0-9]년납")
+    below = lambda i: F.get("_lines", i + 1)
+    first = lambda each: F.get(F.filter(F.transform("_lines", each), lambda x: x.isNotNull()), F.lit(0))
+    rows = [first(lambda x, i: F.when(has(x) & has(below(i)), F.concat(x, F.lit("\n"), below(i)))), first(lambda x, i: F.when(x.rlike(f"^{_ROWS[1]}$"), x))]  # line by line, as a pattern over the text would look at a long line again for each of its places
+    ways += [(f"rows{i}", F.when(F.length(r) > 30, r)) for i, r in enumerate(rows)]
+    found = F.coalesce(*(F.when(c.isNotNull(), F.struct(F.lit(n).alias("by"), c.alias("part"))) for n, c in ways), F.struct(F.lit("whole").alias("by"), F.col("text").alias("part")))
+    return _texts(spark, d).withColumn("_lines", F.split("text", "\n")).select("doc_id", found.alias("f")).select("doc_id", F.col("f.by").alias("found_by"), F.length("f.part").alias("n_chars"))
+
+
+_NAME = r"trim(regexp_replace(regexp_replace({0}, '\(?[0-9]{{5,}}\)?', ' ', 'g'), '\s+', ' ', 'g'))"
+_GOOD = "length({0}) >= 8 AND regexp_matches({0}, '[가-힣(]')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS n FROM (SELECT doc_id, string_split(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' '), chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+    c AS (SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS below FROM l),
+    k AS (SELECT doc_id, n, unnest(list_distinct({_FIVE.format('line')})) AS code, {_NAME.format('line')} AS same, {_NAME.format('below')} AS below FROM c),
+    v AS (SELECT doc_id, code, n, CASE WHEN {_GOOD.format('same')} THEN same WHEN {_GOOD.format('below')} THEN below END AS name, CASE WHEN {_GOOD.format('same')} THEN 'line' WHEN {_GOOD.format('below')} THEN 'below' ELSE 'none' END AS source FROM k)
+    SELECT doc_id, code, arg_min(coalesce(name, '—'), n) AS name, arg_min(source, n) AS source FROM v GROUP BY 1, 2""")
+def names_of_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Name of each code a document gives: what stands in the first line that has the code, if it is long enough and Korean, else the line below."""
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\(?\d{5,}\)?", " "), r"\s+", " "))
+    lines = _texts(spark, d).select("doc_id", F.explode(sections.with_neighbours(F.col("text"), 0, 1)).alias("x")).select("doc_id", "x.line_no", "x.line", F.get("x.around", F.lit(1)).alias("below"))
+    good = lambda c: F.when((F.length(c) >= 8) & c.rlike("[가-힣(]"), c)
+    rows = lines.select("doc_id", "line_no", F.explode(terms.codes(F.col("line"))).alias("code"), X.resolve([("line", good(bare(F.col("line")))), ("below", good(bare(F.col("below"))))]).alias("r"))
+    return rows.groupBy("doc_id", "code").agg(F.min_by(F.coalesce("r.value", F.lit("—")), "line_no").alias("name"), F.min_by("r.source", "line_no").alias("source"))

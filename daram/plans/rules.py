@@ -9,7 +9,8 @@ from daram.functions import numbers, terms
 from daram.operators import extraction as X
 from daram.operators import relational as R
 from daram.operators import state
-from daram.plans.registry import query
+from daram.plans.parsing import labelled_terms
+from daram.plans.registry import SQL, query
 from daram.plans.relational import containment_validation
 from daram.session import read
 
@@ -246,3 +247,37 @@ def constraint_check(spark: SparkSession, d: str) -> DataFrame:
     """Constraints of two tables with the number of keys (or columns) that break them."""
     found = state.violations(read(spark, d, "learned_pattern"), [["pattern_id"]], ["learned_from_log_id"]).unionByName(state.violations(read(spark, d, "correction_log"), [["log_id"]], ["insu_cd"]))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BLANK_TERMS = " AND ".join(f"coalesce(terms.{f}, '') IN ('', '—')" for f in ("insuTerm", "payTerm", "ageRange"))
+
+
+@query(f"""WITH t AS ({SQL['labelled_terms']}), f AS (SELECT insu_cd, min(doc_id) AS doc_id FROM documents WHERE insu_cd IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+    SELECT parse_id, t.insu_term, t.pay_term, t.age_range, CASE WHEN t.doc_id IS NULL THEN 'none' WHEN t.insu_term <> '—' OR t.pay_term <> '—' OR t.age_range <> '—' THEN 'partial' ELSE 'empty' END AS recovered FROM (SELECT * FROM parse_result WHERE {_BLANK_TERMS}) p LEFT JOIN f ON f.insu_cd = p.insu_cd LEFT JOIN t ON t.doc_id = f.doc_id""")
+def partial_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Records without any terms get what the first document of their code gives."""
+    empty = F.lit(True)
+    for f in ("insuTerm", "payTerm", "ageRange"):
+        empty = empty & F.coalesce(F.col(f"terms.{f}"), F.lit("")).isin("", "—")
+    docs = read(spark, d, "documents").filter("insu_cd IS NOT NULL AND text IS NOT NULL").groupBy("insu_cd").agg(F.min("doc_id").alias("doc_id"))
+    found = docs.join(labelled_terms(spark, d).drop("renew"), "doc_id")
+    rows = read(spark, d, "parse_result").filter(empty).select("parse_id", "insu_cd").join(found, "insu_cd", "left")
+    some = (F.col("insu_term") != "—") | (F.col("pay_term") != "—") | (F.col("age_range") != "—")
+    return rows.select("parse_id", "insu_term", "pay_term", "age_range", F.when(F.col("doc_id").isNull(), "none").when(some, "partial").otherwise("empty").alias("recovered"))
+
+
+@query(f"""WITH m AS (SELECT code, min(pay_term) FILTER (pay_term NOT IN ('', '—')) AS p FROM uw_code_mapping WHERE load_channel = 'manual_mapping' AND code IS NOT NULL GROUP BY 1), v AS ({SQL['validated_hybrid']}), l AS (SELECT insu_cd, max(pattern_value) AS p FROM learned_pattern WHERE field_name = 'payTerm' AND is_active GROUP BY 1),
+    h AS (SELECT insu_cd, arg_min(value, t.rec_id) AS p FROM ({SQL['two_parsers']}) t JOIN hybrid_result r ON r.rec_id = t.rec_id WHERE field = 'payTerm' AND value IS NOT NULL AND insu_cd IS NOT NULL GROUP BY 1),
+    c AS (SELECT parse_id, [m.p, CASE WHEN v.source = 'parsed' THEN v.pay_term END, l.p, h.p, terms.payTerm] AS ways FROM parse_result r LEFT JOIN m ON m.code = r.insu_cd LEFT JOIN v USING (parse_id) LEFT JOIN l ON l.insu_cd = r.insu_cd LEFT JOIN h ON h.insu_cd = r.insu_cd),
+    i AS (SELECT parse_id, ways, list_position(list_transform(ways, lambda x: coalesce(x NOT IN ('', '—'), false)), true) AS i FROM c)
+    SELECT parse_id, coalesce(ways[i], '—') AS pay_term, coalesce(['mapping', 'validated', 'learned', 'hybrid', 'parsed'][i], 'default') AS source FROM i""")
+def five_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Payment terms by the first of five sources that has any, with that source; a dash where none has."""
+    m = read(spark, d, "uw_code_mapping").filter("load_channel = 'manual_mapping' AND code IS NOT NULL").groupBy(F.col("code").alias("insu_cd")).agg(F.min(F.when(~F.col("pay_term").isin("", "—"), F.col("pay_term"))).alias("m"))
+    v = validated_hybrid(spark, d).filter("source = 'parsed'").select("parse_id", F.col("pay_term").alias("v"))
+    learned = read(spark, d, "learned_pattern").filter("field_name = 'payTerm' AND is_active").groupBy("insu_cd").agg(F.max("pattern_value").alias("l"))
+    records = read(spark, d, "hybrid_result").filter("insu_cd IS NOT NULL").select("rec_id", "insu_cd")
+    h = two_parsers(spark, d).filter("field = 'payTerm' AND value IS NOT NULL").join(records, "rec_id").groupBy("insu_cd").agg(F.min_by("value", "rec_id").alias("h"))
+    rows = read(spark, d, "parse_result").select("parse_id", "insu_cd", F.col("terms.payTerm").alias("p")).join(m, "insu_cd", "left").join(v, "parse_id", "left").join(learned, "insu_cd", "left").join(h, "insu_cd", "left")
+    r = X.resolve([("mapping", F.col("m")), ("validated", F.col("v")), ("learned", F.col("l")), ("hybrid", F.col("h")), ("parsed", F.col("p"))])
+    return rows.select("parse_id", r.alias("r")).select("parse_id", F.coalesce("r.value", F.lit("—")).alias("pay_term"), F.when(F.col("r.source") == "none", "default").otherwise(F.col("r.source")).alias("source"))

@@ -125,3 +125,17 @@ def test_layers_and_bands(spark):
     found = lambda *fields: extraction.share_found([F.lit(f).cast("string") for f in fields], x)
     for value, fields, wanted in [("10년납 종신", ("종신", "5년납"), True), ("10년납", ("종신", "5년납"), False), ("", ("a",), True), (None, ("a",), True), ("z", (None, "—"), True), ("b", ("a, b",), True)]:
         assert one(spark, value, "string", found(*fields)) is wanted, (value, fields)
+
+
+def test_long_runs(spark, tmp_path):
+    """Long runs of digits, syllables, blanks and lines take no more than in proportion to them."""
+    import time
+
+    from daram.plans import core
+
+    rows = [(i, t, "1") for i, t in enumerate(["1" * 60_000, "1," * 30_000, "가" * 60_000 + "한도", " " * 60_000, "1 " * 30_000, "가\n" * 30_000, "4.\n" * 30_000, "10년납" * 15_000, "," * 60_000, "(무)" * 20_000, "\n" * 60_000])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, insu_cd string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("code_extract", "terms_extract", "terms_all_forms", "labelled_terms", "limit_rows", "limit_cascade", "won_parse", "bare_years", "three_sections", "section_split", "lines_combined", "code_lines", "code_table", "names_of_codes", "find_section", "amount_by_hint"):
+        began = time.time()
+        core.queries()[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+        assert time.time() - began < 10, name
