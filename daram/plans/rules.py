@@ -42,29 +42,34 @@ def layered_validation(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "correction_log").dropDuplicates(["log_id"]).select("log_id", X.layered_score(layers, 90, 60).alias("r")).select("log_id", "r.*")
 
 
-@query("""WITH p AS (SELECT *, CASE WHEN coalesce(apply_count, 0) > 0 THEN CAST(coalesce(success_count, 0) * 20 // apply_count AS INT) ELSE 0 END AS success, date_diff('day', CAST(updated_at AS DATE), DATE '2025-01-01') AS age, length(regexp_replace(pattern_value, '[\\p{L}\\p{N}\\s]', '', 'g')) AS signs FROM learned_pattern),
-    s AS (SELECT pattern_id, CAST(least(greatest(coalesce(confidence_score, 0) + success + CASE WHEN age < 1 THEN 10 WHEN age < 7 THEN 7 WHEN age < 30 THEN 3 ELSE 0 END + CASE WHEN apply_count >= 50 THEN 5 WHEN apply_count >= 20 THEN 3 WHEN apply_count >= 10 THEN 1 ELSE 0 END
-        + CASE WHEN priority >= 80 THEN 5 WHEN priority >= 60 THEN 3 WHEN priority >= 40 THEN 1 ELSE 0 END - CASE WHEN length(pattern_value) > 200 THEN 5 WHEN length(pattern_value) > 100 THEN 3 ELSE 0 END - CASE WHEN signs > 20 THEN 2 ELSE 0 END, 0), 100) AS INT) AS score FROM p)
-    SELECT pattern_id, score, CASE WHEN score >= 90 THEN 'S' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 50 THEN 'D' ELSE 'F' END AS grade FROM s""")
+# Bands of the scores, as (lower bound, points): examples, not figures to match.
+RECENT, USED, URGENT = [(-60, 2), (-14, 4), (-1, 6)], [(5, 1), (15, 2), (40, 4)], [(30, 1), (70, 3)]
+LONG, SIGNS, GRADES = [(81, 2), (161, 4)], [(16, 3)], [(85, "A"), (65, "B"), (45, "C")]
+
+
+def _banded(value: str, bands: list, lowest: str = "0") -> str:
+    return "CASE " + " ".join(f"WHEN {value} >= {bound} THEN {points!r}" for bound, points in sorted(bands, reverse=True)) + f" ELSE {lowest} END"
+
+
+@query(f"""WITH p AS (SELECT *, CASE WHEN coalesce(apply_count, 0) > 0 THEN CAST(coalesce(success_count, 0) * 15 // apply_count AS INT) ELSE 0 END AS success, -date_diff('day', CAST(updated_at AS DATE), DATE '2025-01-01') AS age, length(regexp_replace(pattern_value, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) AS signs FROM learned_pattern),
+    s AS (SELECT pattern_id, CAST(least(greatest(coalesce(confidence_score, 0) + success + {_banded('age', RECENT)} + {_banded('apply_count', USED)} + {_banded('priority', URGENT)} - {_banded('length(pattern_value)', LONG)} - {_banded('signs', SIGNS)}, 0), 100) AS INT) AS score FROM p)
+    SELECT pattern_id, score, {_banded('score', GRADES, "'D'")} AS grade FROM s""")
 def pattern_score(spark: SparkSession, d: str) -> DataFrame:
     """Score of a pattern: its confidence, points for success, recency, use and priority in bands, less points for long and intricate values; as of a given day."""
     applied = F.coalesce("apply_count", F.lit(0))
-    success = F.when(applied > 0, F.call_function("div", F.coalesce("success_count", F.lit(0)).cast("bigint") * 20, F.nullif(applied.cast("bigint"), F.lit(0)))).otherwise(0)
-    age = F.datediff(F.lit("2025-01-01").cast("date"), F.col("updated_at").cast("date"))
+    success = F.when(applied > 0, F.call_function("div", F.coalesce("success_count", F.lit(0)).cast("bigint") * 15, F.nullif(applied.cast("bigint"), F.lit(0)))).otherwise(0)
+    age = -F.datediff(F.lit("2025-01-01").cast("date"), F.col("updated_at").cast("date"))
     signs = F.length(F.regexp_replace("pattern_value", r"[\p{L}\p{N}\s]", ""))
-    score = (
-        F.coalesce("confidence_score", F.lit(0)) + success + X.steps(-age, [(-29, 3), (-6, 7), (0, 10)]) + X.steps(F.col("apply_count"), [(10, 1), (20, 3), (50, 5)])
-        + X.steps(F.col("priority"), [(40, 1), (60, 3), (80, 5)]) - X.steps(F.length("pattern_value"), [(101, 3), (201, 5)]) - X.steps(signs, [(21, 2)])
-    )
+    score = F.coalesce("confidence_score", F.lit(0)) + success + X.steps(age, RECENT) + X.steps(F.col("apply_count"), USED) + X.steps(F.col("priority"), URGENT) - X.steps(F.length("pattern_value"), LONG) - X.steps(signs, SIGNS)
     rows = read(spark, d, "learned_pattern").select("pattern_id", F.least(F.greatest(score, F.lit(0)), F.lit(100)).cast("int").alias("score"))
-    return rows.withColumn("grade", X.grade(F.col("score"), [(90, "S"), (80, "A"), (70, "B"), (60, "C"), (50, "D")], "F"))
+    return rows.withColumn("grade", X.grade(F.col("score"), GRADES, "D"))
 
 
-@query(f"""SELECT log_id, CAST(least(70 + 10 * (CAST({_USABLE.format('corrected.insuTerm')} AS INT) + CAST({_USABLE.format('corrected.payTerm')} AS INT)) + CASE WHEN length(pdf_text) > 200 THEN 10 ELSE 0 END + CASE WHEN coalesce(correction_reason, '') <> '' THEN 10 ELSE 0 END, 100) AS INT) AS quality FROM {_LOG}""")
+@query(f"""SELECT log_id, CAST(least(50 + 15 * (CAST({_USABLE.format('corrected.insuTerm')} AS INT) + CAST({_USABLE.format('corrected.payTerm')} AS INT)) + CASE WHEN length(pdf_text) > 300 THEN 15 ELSE 0 END + CASE WHEN coalesce(correction_reason, '') <> '' THEN 5 ELSE 0 END, 100) AS INT) AS quality FROM {_LOG}""")
 def example_quality(spark: SparkSession, d: str) -> DataFrame:
     """Quality of a log as an example: a base, points per usable field, for a long text and for a reason, up to a hundred."""
     usable = lambda f: F.coalesce(~F.trim(F.col(f"corrected.{f}")).isin("", "—", "-"), F.lit(False)).cast("int")
-    score = F.lit(70) + 10 * (usable("insuTerm") + usable("payTerm")) + X.steps(F.length("pdf_text"), [(201, 10)]) + F.when(F.coalesce("correction_reason", F.lit("")) != "", 10).otherwise(0)
+    score = F.lit(50) + 15 * (usable("insuTerm") + usable("payTerm")) + X.steps(F.length("pdf_text"), [(301, 15)]) + F.when(F.coalesce("correction_reason", F.lit("")) != "", 5).otherwise(0)
     return read(spark, d, "correction_log").dropDuplicates(["log_id"]).select("log_id", F.least(score, F.lit(100)).cast("int").alias("quality"))
 
 
