@@ -121,7 +121,7 @@ def vocabulary(rows: DataFrame, once: DataFrame) -> DataFrame:
 
 def discoveries(tested: DataFrame, q: float) -> DataFrame:
     """Tests whose ``log_p`` Benjamini and Hochberg's rule keeps at rate q. Their order is taken on a histogram of log p, so that no task sorts all tests."""
-    step = F.floor(-F.col("log_p") * 10).cast("int")
+    step = F.floor(-F.col("log_p") * 10)  # bigint: log p grows with the rows, over 32 bits at 1 GB
     bins = tested.groupBy(*KEY, step.alias("step")).agg(F.count(F.lit(1)).alias("tests"))
     down = Window.partitionBy(*KEY).orderBy(F.desc("step"))
     passed = bins.withColumn("rank", F.sum("tests").over(down)).withColumn("m", F.sum("tests").over(Window.partitionBy(*KEY)))

@@ -65,6 +65,15 @@ def test_truncation_ways(spark):
     assert T.cut_texts(T.texts(spark.createDataFrame(rows, "id bigint, src_file string, x string"), "t", "id", {"x": "list"})).count() == 0
 
 
+def test_truncation_of_many_rows(spark):
+    """Counts as tables of some GB have them: their log p, in tenths, exceeds 32 bits."""
+    counts = [("t:x", "0", 179_000, 116_000_000, 1 - 4e-9), ("t:x", "0년", 2_000_000_000, 600_000_000_000, 0.9), ("t:x", "전", 40, 60, 0.5), ("t:x", "5년납", 900, 100, 0.9), ("u:x", "0", 0, 90_000_000_000, 0.9)]
+    words = spark.createDataFrame(counts, "field string, unit string, stops bigint, goes bigint, h0 double")
+    assert {(r.field, r.last): r.sure for r in T.unfinished(words).collect()} == {("t:x", "0"): True, ("t:x", "0년"): True, ("t:x", "전"): False, ("u:x", "0"): True}
+    tested = spark.createDataFrame([("t:x", i, p) for i, p in enumerate((-1e15, -214_748_364.8, -214_748_364.7, -9.0, -1.0, 0.0))], "field string, i int, log_p double")
+    assert {r.i for r in T.discoveries(tested, 0.01).collect()} == {0, 1, 2, 3}
+
+
 def forms(spark, values):
     df = spark.createDataFrame([("t", i, "f", v, "x") for i, v in enumerate(values)], "table_name string, row_id bigint, field_name string, text string, form string")
     return [(r.form, r.differs) for r in C.normalise(df).orderBy("row_id").collect()]
